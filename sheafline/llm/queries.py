@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafline.llm.mixing import mix
+from sheafline.llm.reading import hard_documents, reading_levels
 from sheafline.llm.tokens import encode_corpus
 from sheafline.session import table
 
@@ -25,5 +26,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES: dict[str, Query] = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+QUERIES: dict[str, Query] = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 ORACLES: dict[str, str] = {}
