@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafline.llm.mixing import mix
+from sheafline.llm.mojibake import garbled_rows
 from sheafline.llm.reading import hard_documents, reading_levels
 from sheafline.llm.tokens import encode_corpus
 from sheafline.session import table
@@ -14,6 +15,14 @@ from sheafline.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_rows(*(table(spark, sf_dir, n) for n in ("document_models", "document_lines", "documents")))
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_rows(*(table(spark, sf_dir, n) for n in ("document_models", "document_lines", "documents")), restored=True)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -34,5 +43,5 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES: dict[str, Query] = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 ORACLES: dict[str, str] = {}
