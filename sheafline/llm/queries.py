@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheafline.llm.address import address_records, same_places
 from sheafline.llm.mixing import mix
 from sheafline.llm.mojibake import garbled_rows
 from sheafline.llm.reading import hard_documents, reading_levels
@@ -15,6 +16,10 @@ from sheafline.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_places(address_records(table(spark, sf_dir, "field_extractions"), table(spark, sf_dir, "expected_fixtures")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_rows(*(table(spark, sf_dir, n) for n in ("document_models", "document_lines", "documents")))
 
@@ -43,5 +48,5 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 ORACLES: dict[str, str] = {}
