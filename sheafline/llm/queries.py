@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafline.llm.address import address_records, same_places
+from sheafline.llm.mail import find_old_lines, new_text
 from sheafline.llm.mixing import mix
 from sheafline.llm.mojibake import garbled_rows
 from sheafline.llm.reading import hard_documents, reading_levels
@@ -17,6 +18,14 @@ from sheafline.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_old_lines(table(spark, sf_dir, "document_models"))
+
+
+def p2_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return new_text(table(spark, sf_dir, "document_models"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_places(address_records(table(spark, sf_dir, "field_extractions"), table(spark, sf_dir, "expected_fixtures")))
 
@@ -57,5 +66,5 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_texts": p4_texts, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_new_text": p2_new_text, "p3_found": p3_found, "p4_found": p4_found, "p4_texts": p4_texts, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 ORACLES: dict[str, str] = {}
