@@ -10,6 +10,7 @@ from sheafline.llm.address import address_records, same_places
 from sheafline.llm.mail import find_old_lines, new_text
 from sheafline.llm.mixing import mix
 from sheafline.llm.mojibake import garbled_rows
+from sheafline.llm.pii import find_personal
 from sheafline.llm.reading import hard_documents, reading_levels
 from sheafline.llm.scans import repair_scans
 from sheafline.llm.tokens import encode_corpus
@@ -38,6 +39,14 @@ def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_scans(table(spark, sf_dir, "document_lines"), texts=True)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "document_models"), table(spark, sf_dir, "expected_fixtures"))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "document_models"), table(spark, sf_dir, "expected_fixtures"), redacted=True)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_rows(*(table(spark, sf_dir, n) for n in ("document_models", "document_lines", "documents")))
 
@@ -66,5 +75,5 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_new_text": p2_new_text, "p3_found": p3_found, "p4_found": p4_found, "p4_texts": p4_texts, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_new_text": p2_new_text, "p3_found": p3_found, "p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_restored": p6_restored, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
 ORACLES: dict[str, str] = {}
