@@ -7,6 +7,7 @@ sent to it, so documents whose labels all stand there as written cost no compari
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -14,8 +15,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-HIT = "array<struct<label:string,idx:int,conf:double,same:string,same_conf:double>>"
+# types as objects: a worker that imports this module has no session to parse their names
+HIT = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("idx", T.IntegerType()), T.StructField("conf", T.DoubleType()), T.StructField("same", T.StringType()), T.StructField("same_conf", T.DoubleType())]))
 
 
 @lru_cache(maxsize=100_000)
@@ -24,7 +27,7 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """``ratio`` of two columns; null where one is null."""
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -35,24 +38,35 @@ def _clean(s: str) -> str:
     return re.sub("\n{3,}", "\n\n", s).strip(" :\n")
 
 
+@lru_cache(maxsize=1_000)
+def _letters(label: str) -> tuple[tuple[str, int], ...]:
+    return tuple(Counter(label).items())
+
+
 def locate(lines: list[str], label: str, threshold: float) -> tuple[int, float] | None:
-    """(index, similarity) of the line that is most like ``label``; windows of as many words as the label has in longer lines, the earliest best wins."""
+    """(index, similarity) of the line that is most like ``label``; windows of as many words as the label has in longer lines, the earliest best wins.
+
+    A comparison is made only if neither the lengths nor the letters in common rule out that it reaches the threshold
+    and beats the best so far; both bounds are exact.
+    """
     target = label.lower().strip()
-    size = len(target.split())
-    best, where = 0.0, -1
+    size, n, letters = len(target.split()), len(target), _letters(target)
+    best, where = threshold, -1
     for i, line in enumerate(lines):
         low = line.lower().strip()
-        if len(low) > len(target) + 5:
+        if len(low) > n + 5:
             words = low.split()
-            tries = (" ".join(words[k : k + size]) for k in range(len(words) - size + 1))
+            tries = [" ".join(words[k : k + size]) for k in range(len(words) - size + 1)] if size > 1 else words
         else:
-            tries = iter((low,))
+            tries = [low]
         for t in tries:
-            if 2 * min(len(t), len(target)) > best * (len(t) + len(target)):  # else its lengths alone rule it out
-                r = ratio(target, t)
-                if r > best:
-                    best, where = r, i
-    return (where, best) if where >= 0 and best >= threshold else None
+            m = len(t)
+            if 2 * min(m, n) < best * (m + n) or 2 * sum(min(c, t.count(x)) for x, c in letters) < best * (m + n):
+                continue
+            r = ratio(target, t)
+            if r > best or (where < 0 and r >= threshold):
+                best, where = r, i
+    return (where, best) if where >= 0 else None
 
 
 def value_beside(line: str, label: str, conf: float) -> tuple[str | None, float]:
@@ -88,6 +102,10 @@ def _locate_all(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> It
         yield pd.Series(out)
 
 
+# the optimizer must not move the call into the expressions that use its result
+_locate_all = _locate_all.asNondeterministic()
+
+
 def fuzzy_hits(lines: Column, labels: list[str], threshold: float = 0.72) -> Column:
     """A hit for each of ``labels`` that no line contains as it is written but some line resembles."""
     low = F.transform(lines, F.lower)

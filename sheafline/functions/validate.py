@@ -60,7 +60,7 @@ def suspicious(field: str, value: Column, text: Column, label_vrm: Column) -> Co
         short = (F.length(v) < 5) & ~v.rlike("^[A-Z]{1,3}[0-9]{1,3}[A-Z]{1,3}$")
         # followed in the text by the second half of a postcode
         spaced = F.regexp_replace(v, "(.)", "$1\\\\s*")
-        goes_on = text.rlike(F.concat(F.lit(r"(?i)\b"), F.regexp_replace(spaced, r"[^A-Za-z0-9\\s*]", "."), F.lit(r"[0-9][ABD-HJLNP-UW-Z]{2}\b")))
+        goes_on = F.rlike(text, F.concat(F.lit(r"(?i)\b"), F.regexp_replace(spaced, r"[^A-Za-z0-9\\s*]", "."), F.lit(r"[0-9][ABD-HJLNP-UW-Z]{2}\b")))
         return filled & (short | F.coalesce(goes_on, F.lit(False)))
     if field == "reference":
         return filled & (label | v.rlike("^[A-Za-z!/?]{1,10}$") | _any(v, REFERENCE_PHRASES))
