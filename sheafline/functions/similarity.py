@@ -1,25 +1,16 @@
-"""Similarity of strings and fuzzy location of labels, the operations for which no built-in exists.
-
-Arrow-batched. The location runs for all labels of a document in one call, and only labels without an exact hit are
-sent to it, so documents whose labels all stand there as written cost no comparison.
-"""
+"""Similarity of strings and fuzzy location of labels, the operations for which no built-in exists."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# types as objects: a worker that imports this module has no session to parse their names
-HIT = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("idx", T.IntegerType()), T.StructField("conf", T.DoubleType()), T.StructField("same", T.StringType()), T.StructField("same_conf", T.DoubleType())]))
-
 
 @lru_cache(maxsize=100_000)
 def ratio(a: str, b: str) -> float:
@@ -27,6 +18,7 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+# the type as an object: a worker that imports this module has no session to parse its name
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """``ratio`` of two columns; null where one is null."""
@@ -83,35 +75,3 @@ def value_beside(line: str, label: str, conf: float) -> tuple[str | None, float]
         if r >= 0.7:
             return _clean(line[m.end() :]), max(conf, r)
     return None, conf
-
-
-@F.pandas_udf(HIT)
-def _locate_all(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for lines, labels, least in batches:
-        out = []
-        for rows, names, t in zip(lines, labels, least):
-            hits = []
-            if rows is not None and names is not None:
-                texts = [x or "" for x in rows]
-                for n in names:
-                    got = locate(texts, n, t)
-                    if got:
-                        same, conf = value_beside(texts[got[0]], n, got[1])
-                        hits.append({"label": n, "idx": got[0], "conf": got[1], "same": same, "same_conf": conf})
-            out.append(hits)
-        yield pd.Series(out)
-
-
-# the optimizer must not move the call into the expressions that use its result
-_locate_all = _locate_all.asNondeterministic()
-
-
-def fuzzy_hits(lines: Column, labels: list[str], threshold: float = 0.72) -> Column:
-    """A hit for each of ``labels`` that no line contains as it is written but some line resembles."""
-    low = F.transform(lines, F.lower)
-    missing = F.filter(F.array(*(F.lit(x) for x in labels)), lambda n: ~F.exists(low, lambda t: t.contains(F.lower(F.trim(n)))))
-    return _locate_all(F.when(F.size(missing) > 0, lines), missing, F.lit(float(threshold)))
-
-
-def no_hits() -> Column:
-    return F.array().cast(HIT)

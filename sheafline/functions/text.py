@@ -128,7 +128,7 @@ def is_narrative(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines at any line end, without a last empty one."""
-    a = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")
+    a = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
     return F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a)
 
 

@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.functions import normalize as N
-from sheafline.functions.similarity import fuzzy_hits, no_hits
 from sheafline.functions.text import line_structs, split_lines
 from sheafline.functions.validate import issues_of
 from sheafline.operators import engine
-from sheafline.operators.rules import View, build, labels_of
+from sheafline.operators.rules import View, build
 from sheafline.schema import DATES, FIELD_ORDER, FIELDS, REQUIRED
 
 #: Rules for providers without their own; a parameter.
@@ -36,8 +35,8 @@ def documents_of(models: DataFrame) -> DataFrame:
     return models.withColumn("lines", line_structs(t)).withColumn("texts", F.transform("lines", lambda x: x["text"])).withColumn("raw_lines", split_lines(t))
 
 
-def view_of(hits: str | None = None, as_of: Column | None = None) -> View:
-    return View(F.col("texts"), F.coalesce(F.col("plain_text"), F.lit("")), F.col("raw_lines"), F.col(hits) if hits else no_hits(), as_of)
+def view_of(as_of: Column | None = None) -> View:
+    return View(F.col("texts"), F.coalesce(F.col("plain_text"), F.lit("")), F.col("raw_lines"), as_of)
 
 
 def normalised(field: str, value: Column, force_postcode: Column | bool = False) -> Column:
@@ -131,12 +130,23 @@ def scorecard(long_records: DataFrame) -> DataFrame:
     return long_records.cube("provider_id", "field_key").agg(F.count("*").alias("documents"), F.count_if(F.trim(F.col("value")) != "").alias("filled"), F.grouping_id().alias("level"))
 
 
-def rerun_rule(docs: DataFrame, field: str, rule: dict, fuzzy: bool = True, key: str = "model_id") -> DataFrame:
-    """key, value, raw_value, confidence, pos of one rule, normalised, without gate or fallback."""
-    labels = labels_of({field: rule})
-    df = docs.withColumn("_hits", fuzzy_hits(F.col("texts"), labels) if fuzzy and labels else no_hits())
-    e, code = build(view_of("_hits"), rule)
-    return df.select(key, normalised(field, e["value"]).alias("value"), e["value"].alias("raw_value"), e["confidence"].alias("confidence"), e["pos"].alias("pos"), F.lit(code).cast("string").alias("error"))
+def rerun_rule(docs: DataFrame, field: str, rule: dict, fuzzy: bool = True, as_of: dt.date | None = None, key: str = "model_id") -> DataFrame:
+    """key, value (normalised), raw_value, confidence, pos, error of one rule, without gate or fallback. Without ``fuzzy`` it is a column expression."""
+    day = as_of or dt.date.today()
+    if not fuzzy:
+        e, code = build(view_of(F.lit(day)), rule)
+        return docs.select(key, e.alias("e")).select(key, normalised(field, F.col("e.value")).alias("value"), F.col("e.value").alias("raw_value"), F.col("e.confidence").alias("confidence"), F.col("e.pos").alias("pos"), F.lit(code).cast("string").alias("error"))
+    src = docs.select(key, F.coalesce("plain_text", F.lit("")).alias("plain_text"), "texts", "raw_lines")
+    kind = dict(src.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [engine.apply_rule(engine.Doc(t or [], p, r or [], day), rule) for p, t, r in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+            cols = [pa.array([getattr(g, n) for g in got], t) for n, t in (("value", pa.string()), ("confidence", pa.float64()), ("pos", pa.int32()), ("issue", pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, "raw_value", "confidence", "pos", "error"])
+
+    found = src.mapInArrow(run, f"`{key}` {kind}, raw_value string, confidence double, pos int, error string")
+    return found.select(key, normalised(field, F.col("raw_value")).alias("value"), "raw_value", "confidence", "pos", "error")
 
 
 __all__ = ["extract_records", "wide", "long", "overlay", "audit_flags", "audit_summary", "scorecard", "rerun_rule", "documents_of"]

@@ -1,7 +1,7 @@
 """Extraction rules: each kind is a builder of one Column over a document.
 
-A document is seen through a ``View``: its clean lines (array of strings, in flat order), its plain text, its raw lines
-and the hits of labels that only fuzzy comparison finds (``functions.similarity``). Every builder returns
+A document is seen through a ``View``: its clean lines (array of strings, in flat order), its plain text, its raw lines.
+Labels are found as they are written, all in the JVM; misspelt ones are the business of ``engine``. Every builder returns
 ``struct<value, rule_id, confidence, pos>``; ``pos`` is the flat position of the line the value stands on, null where a
 kind has none. A miss has the value ``''``.
 """
@@ -21,8 +21,8 @@ KINDS: dict[str, Callable[[View, dict, str], Column]] = {}
 
 
 class View:
-    def __init__(self, lines: Column, text: Column, raw_lines: Column, hits: Column, as_of: Column | None = None):
-        self.lines, self.text, self.raw_lines, self.hits = lines, text, raw_lines, hits
+    def __init__(self, lines: Column, text: Column, raw_lines: Column, as_of: Column | None = None):
+        self.lines, self.text, self.raw_lines = lines, text, raw_lines
         self.as_of = as_of if as_of is not None else F.current_date()
 
 
@@ -55,17 +55,9 @@ def at(lines: Column, i: Column) -> Column:
 
 
 def located(view: View, label: Column) -> Column:
-    """struct<label, idx, conf, same, same_conf, exact> of a label; null if no line contains or resembles it.
-
-    For an exact hit ``same`` is null: ``same_line`` reads it from the line.
-    """
-    low = F.lower(strip(label))
-    where = F.array_position(F.transform(view.lines, lambda t: F.contains(F.lower(t), low)), True)
-    fuzzy = F.get(F.filter(view.hits, lambda h: h["label"] == label), F.lit(0))
-    null = F.lit(None).cast("string")
-    exact = F.struct(label.alias("label"), (where - 1).cast("int").alias("idx"), F.lit(1.0).alias("conf"), null.alias("same"), F.lit(1.0).alias("same_conf"), F.lit(True).alias("exact"))
-    near = F.struct(label.alias("label"), fuzzy["idx"].alias("idx"), fuzzy["conf"].alias("conf"), fuzzy["same"].alias("same"), fuzzy["same_conf"].alias("same_conf"), F.lit(False).alias("exact"))
-    return F.when(where > 0, exact).when(fuzzy.isNotNull(), near)
+    """struct<label, idx, conf> of the first line that contains a label; null if none does."""
+    where = F.array_position(F.transform(view.lines, lambda t: F.contains(F.lower(t), F.lower(strip(label)))), True)
+    return F.when(where > 0, F.struct(label.alias("label"), (where - 1).cast("int").alias("idx"), F.lit(1.0).alias("conf")))
 
 
 def same_line(view: View, hit: Column) -> Column:
@@ -90,8 +82,7 @@ def same_line(view: View, hit: Column) -> Column:
     by_dash = F.when(line.rlike(dash), after(F.regexp_extract(line, dash, 1), F.regexp_extract(line, dash, 2)))
     tail = F.substr(line, F.instr(F.lower(line), label) + F.length(label))
     plain = F.struct(clean(tail).alias("value"), hit["conf"].alias("confidence"), F.lit(False).alias("final"))
-    fuzzy = F.struct(F.coalesce(hit["same"], F.lit("")).alias("value"), hit["same_conf"].alias("confidence"), hit["same"].isNotNull().alias("final"))
-    return F.when(hit["exact"], F.coalesce(cut(":"), cut("|"), by_dash, plain)).otherwise(fuzzy)
+    return F.coalesce(cut(":"), cut("|"), by_dash, plain)
 
 
 def _labels(rule: dict) -> Column:

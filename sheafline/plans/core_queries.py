@@ -1,21 +1,485 @@
-"""The queries of the core, by name, and the SQL they are held against."""
+"""The queries of the core, by name, and the SQL they are held against (DuckDB on the same tables)."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sheafline.operators.timestamps import find_dates
+from sheafline.functions import normalize as N
+from sheafline.functions import text as X
+from sheafline.functions.similarity import similarity
+from sheafline.functions.validate import issues_of
+from sheafline.operators import catalog as C
+from sheafline.operators import detect as D
+from sheafline.operators import fallbacks as K
+from sheafline.operators import record as R
+from sheafline.operators import rules as U
+from sheafline.operators.timestamps import date_cases, find_dates, normalise_timestamps
+from sheafline.schema import FIELD_ORDER
 from sheafline.session import table
+from sheafline.sinks import exports
+from sheafline.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+#: The day that stands for today, so that results do not depend on the day of a run.
+AS_OF = dt.date(2026, 4, 15)
+#: Line ends that DuckDB's split does not know; the two engines are compared on texts without them, the rest is tested in tests/.
+UNUSUAL_ENDS = r"[\r\x0b\x0c\x1c-\x1f\x85\u2000-\u200a\u2028\u2029\u3000]"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "document_models").select("model_id", "plain_text")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return R.documents_of(_models(spark, d))
+
+
+def _raw(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    return table(spark, d, "field_extractions").where(F.col("field_key").isin(*fields)).select("record_id", "field_key", "raw_value")
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fe, fx, models = (table(spark, sf_dir, n) for n in ("field_extractions", "expected_fixtures", "document_models"))
+# ---- problem 1
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    fe, fx, models = (table(spark, d, n) for n in ("field_extractions", "expected_fixtures", "document_models"))
     return find_dates(fe, fx, models, estimate_missing=True).select("record_id", "normal_form")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found}
-ORACLES: dict[str, str] = {}
+@query()
+def p1_zone_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How many dates are placed by which knowledge of their zone."""
+    cases = date_cases(*(table(spark, d, n) for n in ("field_extractions", "expected_fixtures", "document_models")))
+    got = normalise_timestamps(cases, "spelling", "tz_name", "sent_at", "arrived_at", estimate_missing=True)
+    return got.groupBy("field", "zone_from").agg(F.count("*").alias("cases"))
+
+
+# ---- text primitives
+
+_STRIP = r"' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0'"
+_CLEAN = "trim(regexp_replace(regexp_replace(translate({0}, chr(13) || chr(9), '  '), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' :' || chr(10))"
+
+
+@query(f"SELECT record_id, {_CLEAN.format('raw_value')} AS cleaned FROM field_extractions WHERE raw_value IS NOT NULL")
+def clean_val(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "field_extractions").where("raw_value is not null").select("record_id", X.clean(F.col("raw_value")).alias("cleaned"))
+
+
+@query("SELECT provider_id, trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS label, regexp_replace(lower(name), '[^a-z0-9_ ]+', ' ', 'g') AS low FROM provider_catalog")
+def label_norm(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "provider_catalog").select("provider_id", X.label_form(F.col("name")).alias("label"), F.regexp_replace(F.lower("name"), "[^a-z0-9_ ]+", " ").alias("low"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*') AND text IS NOT NULL")
+def search_norm(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*\z")).select("doc_id", X.search_form(F.col("text")).alias("norm"))
+
+
+@query("SELECT model_id, coalesce(nullif(replace(trim(regexp_replace(source_path, '[^A-Za-z0-9._ -]', '', 'g')), ' ', '_'), ''), 'export') AS name FROM document_models")
+def safe_filename(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "document_models").select("model_id", X.safe_filename(F.col("source_path")).alias("name"))
+
+
+@query(r"""
+WITH d AS (SELECT model_id, unnest(string_split(plain_text, chr(10))) AS t, generate_subscripts(string_split(plain_text, chr(10)), 1) - 1 AS i FROM document_models WHERE NOT regexp_matches(plain_text, '[\r\x0b\x0c\x1c-\x1f\x{85}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]')),
+c AS (SELECT model_id, i, trim(replace(t, chr(9), ' '), ' ' || chr(160)) AS t FROM d)
+SELECT model_id, CAST(i AS INTEGER) AS line_index, t AS text FROM c WHERE t <> ''
+""")
+def read_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = _models(spark, d).where(~F.col("plain_text").rlike(UNUSUAL_ENDS)).select("model_id", F.explode(X.line_structs(F.col("plain_text"), keep_first=False)).alias("x"))
+    return rows.select("model_id", "x.line_index", "x.text")
+
+
+@query(r"""
+WITH d AS (SELECT model_id, unnest(string_split(plain_text, chr(10))) AS t, generate_subscripts(string_split(plain_text, chr(10)), 1) - 1 AS i FROM document_models WHERE NOT regexp_matches(plain_text, '[^\x00-\x7f]')),
+c AS (SELECT model_id, i, trim(translate(t, chr(13) || chr(9), '  ')) AS t FROM d WHERE trim(translate(t, chr(13) || chr(9), '  ')) <> '')
+SELECT model_id, CAST(i AS INTEGER) AS line_index, t AS text FROM (SELECT *, row_number() OVER (PARTITION BY model_id, lower(t) ORDER BY i) AS k FROM c) WHERE k = 1
+""")
+def line_dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
+    ascii_ = _models(spark, d).where(~F.col("plain_text").rlike(r"[^\x00-\x7f]"))
+    return ascii_.select("model_id", F.explode(X.line_structs(F.col("plain_text"))).alias("x")).select("model_id", "x.line_index", "x.text")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AS has_props FROM events")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("props").isNotNull().alias("has_props"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN day(l_shipdate) IN (1, 21, 31) THEN day(l_shipdate) || 'st' WHEN day(l_shipdate) IN (2, 22) THEN day(l_shipdate) || 'nd' WHEN day(l_shipdate) IN (3, 23) THEN day(l_shipdate) || 'rd' ELSE day(l_shipdate) || 'th' END || strftime(l_shipdate, ' %B %Y') AS worded FROM lineitem")
+def date_ordinal(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.ordinal_date(F.date_format("l_shipdate", "dd/MM/yyyy")).alias("worded"))
+
+
+@query()
+def html_strip(spark: SparkSession, d: str) -> DataFrame:
+    rows = _models(spark, d).select("model_id", F.concat(F.lit("<html><p>"), F.replace("plain_text", F.lit("\n"), F.lit("</p><br/>")), F.lit("</html>")).alias("h"))
+    return rows.select("model_id", X.looks_like_html(F.col("h")).alias("is_html"), X.strip_html(F.col("h")).alias("text"))
+
+
+@query()
+def similarity_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d, "work_provider").select("record_id", F.round(similarity(F.lower("raw_value"), F.lit("hollin gate law")), 6).alias("ratio"))
+
+
+# ---- normal forms
+
+_VRM = "upper(regexp_replace(coalesce(raw_value, ''), '\\s+', '', 'g'))"
+
+
+@query(f"SELECT record_id, {_VRM} AS vrm FROM field_extractions WHERE field_key = 'vrm'")
+def norm_vrm(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d, "vrm").select("record_id", N.vrm(F.col("raw_value")).alias("vrm"))
+
+
+@query("SELECT record_id, replace(regexp_extract(coalesce(raw_value, ''), '[0-9][0-9,]*', 0), ',', '') AS mileage FROM field_extractions WHERE field_key = 'mileage'")
+def norm_mileage(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d, "mileage").select("record_id", N.mileage(F.col("raw_value")).alias("mileage"))
+
+
+_SQL_DATE = r"""
+WITH a AS (SELECT record_id, trim(coalesce(raw_value, ''), ' ' || chr(9) || chr(10) || chr(13)) AS raw FROM field_extractions WHERE field_key IN ('incident_date', 'instruction_date', 'inspection_date')),
+b AS (SELECT record_id, raw, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(raw, '([0-9]+)\s*(?:st|nd|rd|th)\b', '\1', 'gi'), '^[^0-9A-Za-z]+', ''), '([0-9]{1,2}/[0-9]{2})([0-9]{4})\b', '\1/\2', 'g'), ',', ' '), '\s+', ' ', 'g')) AS t FROM a),
+c AS (SELECT record_id, raw, CASE
+ WHEN regexp_full_match(t, '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}') THEN try_strptime(t, '%d/%m/%Y') WHEN regexp_full_match(t, '[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}') THEN try_strptime(t, '%d-%m-%Y')
+ WHEN regexp_full_match(t, '[0-9]{1,2}([/-])[0-9]{1,2}[/-][0-9]{2}') THEN try_strptime(regexp_replace(replace(t, '-', '/'), '/([0-9]{2})$', CASE WHEN right(t, 2) >= '69' THEN '/19\1' ELSE '/20\1' END), '%d/%m/%Y')
+ WHEN regexp_full_match(t, '[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}') THEN try_strptime(t, '%d-%b-%Y') WHEN regexp_full_match(t, '[0-9]{1,2}-[A-Za-z]{4,9}-[0-9]{4}') THEN try_strptime(t, '%d-%B-%Y')
+ WHEN regexp_full_match(t, '[0-9]{1,2} [A-Za-z]{3} [0-9]{4}') THEN try_strptime(t, '%d %b %Y') WHEN regexp_full_match(t, '[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}') THEN try_strptime(t, '%d %B %Y')
+ WHEN regexp_full_match(t, '[A-Za-z]{3} [0-9]{1,2} [0-9]{4}') THEN try_strptime(t, '%b %d %Y') WHEN regexp_full_match(t, '[A-Za-z]{4,9} [0-9]{1,2} [0-9]{4}') THEN try_strptime(t, '%B %d %Y')
+ WHEN regexp_full_match(t, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') THEN try_strptime(t, '%Y-%m-%d') END AS d FROM b)
+SELECT record_id, coalesce(strftime(d, '%d/%m/%Y'), raw) AS day FROM c
+"""
+
+
+@query(_SQL_DATE)
+def norm_date(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d, "incident_date", "instruction_date", "inspection_date").select("record_id", N.date(F.col("raw_value")).alias("day"))
+
+
+@query("SELECT record_id, CASE WHEN lower(trim(v)) IN ('yes', 'y', 'true', '1') THEN 'Yes' WHEN lower(trim(v)) IN ('no', 'n', 'false', '0') THEN 'No' ELSE trim(v) END AS vat FROM (SELECT record_id, coalesce(raw_value, '') AS v FROM field_extractions WHERE field_key = 'vat_status')")
+def norm_vat(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d, "vat_status").select("record_id", N.vat_status(F.col("raw_value")).alias("vat"))
+
+
+@query("SELECT record_id, CASE WHEN lower(v) LIKE '%mi%' OR lower(trim(v)) = 'm' THEN 'Miles' WHEN lower(v) LIKE '%km%' OR lower(v) LIKE '%kilomet_r%' THEN 'Km' ELSE trim(v) END AS unit FROM (SELECT record_id, coalesce(raw_value, '') AS v FROM field_extractions WHERE field_key = 'mileage_unit')")
+def norm_unit(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d, "mileage_unit").select("record_id", N.mileage_unit(F.col("raw_value")).alias("unit"))
+
+
+_POST = r"\b[A-Za-z]{1,2}[0-9][A-Za-z0-9]?\s*[0-9][ABD-HJLNP-UW-Zabd-hjlnp-uw-z]{2}\b"
+
+
+@query(f"SELECT record_id, CASE WHEN length(c) < 5 THEN '' ELSE substr(c, 1, length(c) - 3) || ' ' || right(c, 3) END AS code FROM (SELECT record_id, upper(regexp_replace(regexp_extract(coalesce(raw_value, ''), '{_POST}', 0), '\\s+', '', 'g')) AS c FROM field_extractions WHERE field_key = 'inspection_address')")
+def postcode(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d, "inspection_address").select("record_id", N.postcode(F.regexp_extract(F.coalesce("raw_value", F.lit("")), X.POSTCODE, 0)).alias("code"))
+
+
+_SQL_ADDRESS = rf"""
+WITH a AS (SELECT record_id, list_filter(list_transform(string_split(regexp_replace(trim(coalesce(raw_value, '')), '\s*,\s*', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM field_extractions WHERE field_key = 'inspection_address'),
+b AS (SELECT record_id, l, len(l) AS n, coalesce(l[-1], '') AS last, upper(regexp_replace(regexp_extract(coalesce(l[-1], ''), '{_POST}', 0), '\s+', '', 'g')) AS c FROM a),
+e AS (SELECT record_id, CASE WHEN n <= 1 THEN l ELSE l[1:n-1] END AS body, CASE WHEN n <= 1 THEN '' WHEN c <> '' THEN substr(c, 1, length(c) - 3) || ' ' || right(c, 3) ELSE last END AS s FROM b)
+SELECT record_id, coalesce(body[1], '') || chr(10) || coalesce(body[2], '') || chr(10) || coalesce(body[3], '') || chr(10) || coalesce(body[4], '') || chr(10) || coalesce(array_to_string(body[5:], ' '), '') || chr(10) || s AS address FROM e
+"""
+
+
+@query(_SQL_ADDRESS)
+def norm_address(spark: SparkSession, d: str) -> DataFrame:
+    return _raw(spark, d, "inspection_address").select("record_id", N.address(F.col("raw_value")).alias("address"))
+
+
+# ---- checks
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    fe = table(spark, d, "field_extractions").groupBy("model_id", "field_key").agg(F.max("value").alias("value"))
+    return fe.groupBy("model_id").pivot("field_key", list(FIELD_ORDER)).agg(F.first("value"))
+
+
+@query(r"""
+WITH v AS (SELECT model_id, field_key, max(value) AS value FROM field_extractions GROUP BY ALL),
+w AS (SELECT model_id, """ + ", ".join(f"coalesce(max(value) FILTER (field_key = '{f}'), '') AS {f}" for f in FIELD_ORDER) + r""" FROM v GROUP BY model_id)
+SELECT model_id, CAST(""" + " + ".join(f"(trim({f}) = '')::INT" for f in ("work_provider", "vrm", "vehicle_model", "claimant_name", "reference", "incident_date", "instruction_date")) + r""" AS INTEGER) AS missing,
+ CAST(""" + " + ".join(f"(trim({f}) <> '' AND (NOT regexp_full_match({f}, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') OR try_strptime({f}, '%d/%m/%Y') IS NULL))::INT" for f in ("incident_date", "instruction_date", "inspection_date")) + r""" AS INTEGER) AS bad_dates,
+ CAST((trim(vrm) <> '' AND NOT regexp_full_match(upper(regexp_replace(vrm, '\s+', '', 'g')), '[A-Z0-9]{2,8}'))::INT AS INTEGER) AS bad_vrm FROM w
+""")
+def validate_issues(spark: SparkSession, d: str) -> DataFrame:
+    w = _values(spark, d)
+    i = w.select("model_id", issues_of({f: F.col(f) for f in FIELD_ORDER}).alias("i"))
+    n = lambda code: F.size(F.filter("i", lambda x: x["code"] == code))
+    return i.select("model_id", n("missing_required_field").alias("missing"), n("invalid_date_format").alias("bad_dates"), n("invalid_vrm").alias("bad_vrm"))
+
+
+@query()
+def validate_summary(spark: SparkSession, d: str) -> DataFrame:
+    w = _values(spark, d)
+    return w.select(F.explode(issues_of({f: F.col(f) for f in FIELD_ORDER})).alias("x")).groupBy("x.field", "x.code", "x.severity").agg(F.count("*").alias("n"))
+
+
+# ---- detection
+
+_NORM = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\w\\n ]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+_HIT = "((lower(trim(q)) <> '' AND contains(m.low, lower(trim(q)))) OR (" + _NORM.format("q") + " <> '' AND contains(m.norm, " + _NORM.format("q") + ")))"
+_SQL_DETECT = rf"""
+WITH m AS (SELECT model_id, lower(plain_text) AS low, {_NORM.format("plain_text")} AS norm FROM document_models),
+p AS (SELECT provider_id, coalesce(priority, 0) AS priority, coalesce(detect.required_phrases, []) AS req, coalesce(detect.optional_phrases, []) AS opt, coalesce(detect.negative_phrases, []) AS neg,
+ coalesce(detect.minimum_confidence, 0.75) AS least FROM provider_catalog WHERE coalesce(enabled, true)),
+s AS (SELECT m.model_id, p.provider_id, p.priority, len(req) AS n_req, least, CASE WHEN len(opt) = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE + 0.2::DOUBLE * (len(list_filter(opt, lambda q: {_HIT})) / len(opt)) END AS conf
+ FROM m, p WHERE len(list_filter(req, lambda q: NOT {_HIT})) = 0 AND len(list_filter(neg, lambda q: {_HIT})) = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY conf DESC, priority DESC, n_req DESC, provider_id) AS r FROM s WHERE conf >= least)
+SELECT m.model_id, k.provider_id, round(coalesce(k.conf, 0.0), 6) AS confidence FROM m LEFT JOIN k ON m.model_id = k.model_id AND k.r = 1
+"""
+
+
+@query(_SQL_DETECT)
+def detect_providers(spark: SparkSession, d: str) -> DataFrame:
+    return D.detect(_models(spark, d), table(spark, d, "provider_catalog")).select("model_id", "provider_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query(_SQL_DETECT)
+def detect_by_join(spark: SparkSession, d: str) -> DataFrame:
+    return D.detect_join(_models(spark, d), table(spark, d, "provider_catalog")).select("model_id", "provider_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def detect_explain(spark: SparkSession, d: str) -> DataFrame:
+    c = D.candidates(_models(spark, d), table(spark, d, "provider_catalog"), "model_id")
+    return c.select("model_id", "provider_id", *(F.array_join(t, "|").alias(t) for t in ("matched_terms", "missing_terms", "rejected_terms")), F.col("candidate").isNotNull().alias("eligible"))
+
+
+@query("SELECT model_id, coalesce(provider_id, (SELECT min(provider_id) FROM provider_catalog)) AS used FROM (" + _SQL_DETECT + ")")
+def detect_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "provider_catalog")
+    return D.resolve(D.detect(_models(spark, d), c), c, "first").select("model_id", F.col("used_provider").alias("used"))
+
+
+# ---- rules, exact path
+
+
+def _rule(spark: SparkSession, d: str, rule: dict) -> DataFrame:
+    e, _ = U.build(R.view_of(as_of=F.lit(AS_OF)), rule)
+    return _docs(spark, d).select("model_id", e.alias("e")).select("model_id", F.col("e.value").alias("value"), F.col("e.pos").alias("pos"))
+
+
+_LINES = r"""
+WITH d AS (SELECT model_id, plain_text, unnest(string_split(plain_text, chr(10))) AS t, generate_subscripts(string_split(plain_text, chr(10)), 1) - 1 AS i FROM document_models),
+c AS (SELECT model_id, i, trim(translate(t, chr(13) || chr(9), '  '), ' ' || chr(160)) AS t FROM d),
+u AS (SELECT model_id, i, t, row_number() OVER (PARTITION BY model_id, lower(t) ORDER BY i) AS k FROM c WHERE t <> ''),
+l AS (SELECT model_id, t, CAST(row_number() OVER (PARTITION BY model_id ORDER BY i) - 1 AS INTEGER) AS pos FROM u WHERE k = 1)
+"""
+
+
+@query(_LINES + r""", h AS (SELECT model_id, min(pos) AS pos FROM l WHERE contains(lower(t), 'odometer') GROUP BY 1)
+SELECT m.model_id, CASE WHEN h.pos IS NULL THEN '' ELSE trim(substr(l.t, instr(lower(l.t), 'odometer') + 8), ' :') END AS value, CASE WHEN trim(substr(l.t, instr(lower(l.t), 'odometer') + 8), ' :') <> '' THEN h.pos END AS pos
+FROM document_models m LEFT JOIN h USING (model_id) LEFT JOIN l ON l.model_id = m.model_id AND l.pos = h.pos""")
+def rule_same_line(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "label_same_line", "labels": ["Odometer"]})
+
+
+_ONLY = "(" + ", ".join(f"'{x}'" for x in X.LABEL_ONLY) + ", '')"
+
+
+@query(_LINES + rf""", h AS (SELECT model_id, min(pos) AS pos FROM l WHERE contains(lower(t), 'incident date') GROUP BY 1),
+n AS (SELECT l.model_id, min(l.pos) AS pos FROM l JOIN h ON l.model_id = h.model_id AND l.pos > h.pos WHERE lower(trim(regexp_replace(l.t, ' {{2,}}', ' ', 'g'), ' :')) NOT IN {_ONLY} GROUP BY 1)
+SELECT m.model_id, coalesce(trim(regexp_replace(l.t, ' {{2,}}', ' ', 'g'), ' :'), '') AS value, n.pos FROM document_models m LEFT JOIN n USING (model_id) LEFT JOIN l ON l.model_id = m.model_id AND l.pos = n.pos""")
+def rule_next_line(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "label_next_line", "labels": ["Incident date"]})
+
+
+@query()
+def rule_same_or_next(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "label_same_or_next_line", "labels": ["Our Insured", "Location", "Reference"]})
+
+
+@query()
+def rule_between(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "between_labels", "start_label": "Our Insured:", "end_label": "Vehicle"})
+
+
+@query(_LINES + r"SELECT m.model_id, coalesce(trim(regexp_replace(l.t, ' {2,}', ' ', 'g'), ' :'), '') AS value, l.pos FROM document_models m LEFT JOIN l ON l.model_id = m.model_id AND l.pos = 2")
+def rule_fixed_line(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "fixed_line", "line_number": 3})
+
+
+@query()
+def rule_fixed_range(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "fixed_line", "line_start": 2, "line_end": 4})
+
+
+@query()
+def rule_fixed_label(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "fixed_line_label", "line_number": 2, "labels": ["From:", "Dated", "Date:"]})
+
+
+@query()
+def rule_offset(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "line_offset", "labels": ["Location"], "offset": 2})
+
+
+@query(r"SELECT model_id, trim(regexp_extract(plain_text, '(?i)claim no: *([A-Z0-9/-]+)', 1), ' :') AS value, CAST(NULL AS INTEGER) AS pos FROM document_models")
+def rule_regex(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "regex", "pattern": r"claim no: *([A-Z0-9/-]+)"})
+
+
+@query("SELECT model_id, CASE WHEN contains(lower(plain_text), 'miles') OR contains(lower(plain_text), 'mileage') THEN 'Miles' ELSE 'Km' END AS value, CAST(NULL AS INTEGER) AS pos FROM document_models")
+def rule_presence(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "presence", "tokens": ["miles", "mileage"], "value": "Miles", "absent_value": "Km"})
+
+
+@query("SELECT model_id, '15/04/2026' AS value, CAST(NULL AS INTEGER) AS pos FROM document_models")
+def rule_manual(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "manual", "value": "{today}"})
+
+
+@query()
+def rule_email_date(spark: SparkSession, d: str) -> DataFrame:
+    return _rule(spark, d, {"kind": "email_date", "labels": ["Date:", "Sent:"]})
+
+
+@query()
+def rule_fuzzy_label(spark: SparkSession, d: str) -> DataFrame:
+    return R.rerun_rule(_docs(spark, d), "vrm", {"kind": "label_same_or_next_line", "labels": ["Vehcle Reglstration", "Registraton"]}, as_of=AS_OF)
+
+
+# ---- fallbacks
+
+
+def _fallback(spark: SparkSession, d: str, field: str) -> DataFrame:
+    e = K.fallback(R.view_of(), field)
+    return _docs(spark, d).select("model_id", e.alias("e")).select("model_id", *(F.col(f"e.{c}").alias(c) for c in ("value", "rule_id", "confidence", "pos")))
+
+
+@query("SELECT model_id, CASE WHEN regexp_matches(lower(plain_text), '\\b(?:km|kilomet(?:er|re)s?)\\b') THEN 'Km' WHEN regexp_matches(lower(plain_text), '\\b(?:miles?|mi)\\b') THEN 'Miles' ELSE '' END AS value FROM document_models WHERE NOT regexp_matches(plain_text, '[^\\x00-\\x7f]')")
+def fallback_unit(spark: SparkSession, d: str) -> DataFrame:
+    return _fallback(spark, d, "mileage_unit").join(_models(spark, d).where(~F.col("plain_text").rlike(r"[^\x00-\x7f]")), "model_id", "left_semi").select("model_id", "value")
+
+
+@query("SELECT model_id, CASE WHEN NOT contains(lower(plain_text), 'vat') THEN '' WHEN regexp_matches(lower(plain_text), '\\b(?:no|not|non)\\s+vat\\b|vat\\s+(?:no|not|none|exempt)') THEN 'No' ELSE 'Yes' END AS value FROM document_models")
+def fallback_vat(spark: SparkSession, d: str) -> DataFrame:
+    return _fallback(spark, d, "vat_status").select("model_id", "value")
+
+
+for _name, _key in (("vrm", "vrm"), ("reference", "reference"), ("incident_date", "incident_date"), ("address", "inspection_address"), ("claimant", "claimant_name"), ("model", "vehicle_model")):
+    QUERIES[f"fallback_{_name}"] = lambda spark, d, f=_key: _fallback(spark, d, f)
+
+
+# ---- records
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    catalog = table(spark, d, "provider_catalog")
+    providers = [r.asDict(recursive=True) for r in catalog.select("provider_id", "name", "work_provider").orderBy("provider_id").collect()]
+    return R.extract_records(R.documents_of(D.detect(_models(spark, d), catalog)), providers, as_of=AS_OF)
+
+
+@query()
+def extract_record(spark: SparkSession, d: str) -> DataFrame:
+    return R.wide(_records(spark, d))
+
+
+@query()
+def record_long(spark: SparkSession, d: str) -> DataFrame:
+    return R.long(_records(spark, d)).select("model_id", "provider_id", "field_pos", "field_key", "value", "rule_id", "confidence", "line_index", F.size("issues").alias("n_issues"))
+
+
+def _wide_values(spark: SparkSession, d: str) -> DataFrame:
+    return _values(spark, d).na.fill("", list(FIELD_ORDER))
+
+
+_WIDE = "v AS (SELECT model_id, field_key, max(value) AS value FROM field_extractions GROUP BY ALL), w AS (SELECT model_id, " + ", ".join(f"coalesce(max(value) FILTER (field_key = '{f}'), '') AS {f}" for f in FIELD_ORDER) + " FROM v GROUP BY model_id)"
+
+
+@query(f"WITH {_WIDE}, r AS (SELECT model_id, max(expected_values['claimant_name']) AS n, max(expected_values['vrm']) AS p FROM expected_fixtures GROUP BY 1) SELECT w.model_id, work_provider, CASE WHEN trim(coalesce(r.p, '')) <> '' THEN r.p ELSE vrm END AS vrm, CASE WHEN trim(coalesce(r.n, '')) <> '' THEN r.n ELSE claimant_name END AS claimant_name FROM w LEFT JOIN r USING (model_id)")
+def engineer_overlay(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "expected_fixtures").groupBy("model_id").agg(F.max(F.col("expected_values")["claimant_name"]).alias("n"), F.max(F.col("expected_values")["vrm"]).alias("p"))
+    report = e.select("model_id", *(F.col({"claimant_name": "n", "vrm": "p"}[f]).alias(f) if f in ("claimant_name", "vrm") else F.lit("").alias(f) for f in FIELD_ORDER))
+    return R.overlay(_wide_values(spark, d), report, "model_id").select("model_id", "work_provider", "vrm", "claimant_name")
+
+
+_FLAGS = "(trim(lower(claimant_name)) IN ('name', 'model', 'reference', 'ref', 'vehicle', 'claimant'))::INT + (trim(lower(vehicle_model)) IN ('name', 'model', 'reference', 'ref', 'vehicle', 'claimant'))::INT + (trim(lower(reference)) IN ('name', 'model', 'reference', 'ref', 'vehicle', 'claimant'))::INT + (vrm <> '' AND contains(upper(regexp_replace(vehicle_model, '\\s+', '', 'g')), upper(regexp_replace(vrm, '\\s+', '', 'g'))))::INT + " + " + ".join(f"({f} <> '' AND NOT regexp_full_match({f}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}'))::INT" for f in ("incident_date", "instruction_date", "inspection_date"))
+
+
+@query(f"WITH {_WIDE} SELECT model_id, CAST({_FLAGS} AS INTEGER) AS n_flags FROM w")
+def audit_flags(spark: SparkSession, d: str) -> DataFrame:
+    return R.audit_flags(_wide_values(spark, d)).select("model_id", F.size("flags").alias("n_flags"))
+
+
+@query(f"WITH {_WIDE} SELECT count(*) AS documents, count(*) FILTER ({_FLAGS} > 0) AS flagged FROM w")
+def audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    w = _wide_values(spark, d)
+    return R.audit_summary(w.join(R.audit_flags(w), "model_id")).select("documents", "flagged")
+
+
+@query("SELECT provider_id, field_key, count(*) AS documents, count(*) FILTER (trim(value) <> '') AS filled, CAST(grouping(provider_id, field_key) AS BIGINT) AS level FROM field_extractions GROUP BY CUBE (provider_id, field_key)")
+def scorecard(spark: SparkSession, d: str) -> DataFrame:
+    return R.scorecard(table(spark, d, "field_extractions").select("provider_id", "field_key", "value")).withColumn("level", F.col("level").cast("bigint"))
+
+
+@query("SELECT provider_id, CASE WHEN provider_id IN (SELECT provider_id FROM provider_catalog WHERE priority >= 10) THEN 'changed' ELSE name END AS name, CAST(row_number() OVER (ORDER BY provider_id) - 1 AS INTEGER) AS catalog_pos FROM provider_catalog UNION ALL SELECT 'zz_new', 'changed', CAST((SELECT count(*) FROM provider_catalog) AS INTEGER)")
+def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    p = table(spark, d, "provider_catalog")
+    base = p.select("provider_id", "name", (F.row_number().over(Window.orderBy("provider_id")) - 1).cast("int").alias("catalog_pos"))
+    new = spark.createDataFrame([("zz_new",)], "provider_id string")
+    inc = p.where("priority >= 10").select("provider_id").unionByName(new).select("provider_id", F.lit("changed").alias("name"), F.lit(0).alias("catalog_pos"))
+    return C.upsert(base, inc).select("provider_id", "name", "catalog_pos")
+
+
+@query()
+def catalog_migrate(spark: SparkSession, d: str) -> DataFrame:
+    old = {"providers": [{"name": r[0], "detect_phrases": list(r[1] or []), "field_rules": {"vrm": {"method": "labels", "config": "Reg, VRM"}, "reference": {"method": "two_labels", "config": "Ref||Date"}}} for r in table(spark, d, "provider_catalog").select("name", "detect.required_phrases").collect()]}
+    return C.to_frame(spark, old).select("catalog_pos", "provider_id", "name", F.col("field_rules")["vrm"]["kind"].alias("vrm_kind"), F.col("field_rules")["reference"]["start_label"].alias("start_label"))
+
+
+@query()
+def export_json(spark: SparkSession, d: str) -> DataFrame:
+    """Every record, with what keeps it from being exported or its JSON."""
+    j = exports.export_json(R.wide(_records(spark, d)), "model_id")
+    return j.select("model_id", F.array_join("problems", "|").alias("problems"), "json")
+
+
+@query("SELECT model_id, CASE WHEN k = 1 THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || '_' || k || regexp_extract(name, '\\.[^.]*$', 0) END AS unique_name FROM (SELECT model_id, source_type || '.json' AS name, row_number() OVER (PARTITION BY source_type ORDER BY model_id) AS k FROM document_models)")
+def unique_paths(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "document_models").select("model_id", F.concat("source_type", F.lit(".json")).alias("name"))
+    return exports.unique_names(rows, "name", "model_id").select("model_id", "unique_name")
+
+
+@query()
+def docx_letter(spark: SparkSession, d: str) -> DataFrame:
+    """Letters written and read again."""
+    made = exports.letters(_wide_values(spark, d), "model_id", F.lit(AS_OF).cast("timestamp"))
+    files = made.select(F.concat(F.col("model_id").cast("string"), F.lit(".docx")).alias("path"), "content")
+    return readers.read_content(files).select("source_path", "plain_text", F.size("lines").alias("n_lines"), "reader_error")
+
+
+@query()
+def email_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Mails as files: each plain text is a message of headers and body, read by the EML reader."""
+    m = table(spark, d, "document_models").where("source_type = 'eml'").select(F.concat(F.col("model_id").cast("string"), F.lit(".eml")).alias("path"), F.encode(F.concat(F.lit("MIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\n"), F.col("plain_text")), "UTF-8").alias("content"))
+    return readers.read_content(m).select("source_path", F.size("lines").alias("n_lines"), F.element_at("metadata", "email_source_type").alias("kind"), "reader_error")
+
+
+@query("SELECT f.model_id, f.record_id, k.key AS field_key, CASE WHEN coalesce(e.value, '') = k.value THEN 'equal' WHEN coalesce(e.value, '') = '' AND list_contains(coalesce(f.allowed_blank_fields, []), k.key) THEN 'blank' ELSE 'differs' END AS outcome FROM expected_fixtures f, unnest(map_entries(expected_values)) AS t(k) LEFT JOIN (SELECT model_id, field_key, max(value) AS value FROM field_extractions GROUP BY ALL) e ON e.model_id = f.model_id AND e.field_key = k.key")
+def fixture_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Expected against extracted values; a blank is allowed where the fixture says so."""
+    e = table(spark, d, "field_extractions").groupBy("model_id", "field_key").agg(F.max("value").alias("value"))
+    f = table(spark, d, "expected_fixtures").select("model_id", "record_id", "allowed_blank_fields", F.explode("expected_values").alias("field_key", "want"))
+    got = F.coalesce("value", F.lit(""))
+    allowed = F.coalesce(F.array_contains("allowed_blank_fields", F.col("field_key")), F.lit(False))
+    return f.join(e, ["model_id", "field_key"], "left").select("model_id", "record_id", "field_key", F.when(got == F.col("want"), "equal").when((got == "") & allowed, "blank").otherwise("differs").alias("outcome"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +32,30 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> list[Row]:
+    """About ``rows`` rows (all, if there are fewer), the same ones each time: those whose hash of ``key`` is low.
+
+    A threshold, not a sort: what reaches the driver does not grow with the number of partitions.
+    """
+    n = df.count()
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if n > rows:
+        df = df.where(h < int((1 << 40) * min(1.0, rows / n)))
+    got = df.withColumn("_h", h).collect()
+    return sorted(got, key=lambda r: (r["_h"], str(r[key])))[: 2 * rows]
+
+
+def top_rows(counts: DataFrame, by: str, rows: int) -> list[Row]:
+    """The rows with the highest ``by``, at most ``rows``; rows that tie at the bound are left out together.
+
+    The bound comes from the table of distinct values, so that each partition sends the driver only rows that are kept.
+    """
+    counts = cut(counts)
+    if counts.count() > rows:
+        steps = counts.groupBy(by).agg(F.count("*").alias("_m"))
+        upto: Column = F.sum("_m").over(Window.orderBy(F.desc(by)))
+        least = steps.withColumn("_u", upto).where(F.col("_u") <= rows).agg(F.min(by)).head()[0]
+        counts = counts.where(F.col(by) >= least) if least is not None else counts.limit(0)
+    return counts.collect()
