@@ -32,8 +32,6 @@ BUSINESS_WORDS = ("garage", "bodyshop", "coachworks", "autocare", "motor", "work
 TOWN_COUNT, TOWN_SHARE = 3, 0.75
 #: Least count of a street name that rare misspellings are put right to.
 USUAL_TIMES = 8
-#: Most post towns that are held on every executor (a gazetteer, not the data, bounds their number).
-MOST_TOWNS = 500_000
 
 _KIND = {a: k for k, abbr in STREET_KINDS.items() for a in (k, *abbr.split())}
 _POSTCODE = re.compile(r"(?<![a-z0-9])([a-z]{1,2})([0-9][0-9a-z]?) ?([0-9][a-z]{2})(?![a-z0-9])")
@@ -117,7 +115,7 @@ def towns(parts: DataFrame) -> DataFrame:
     """word, area: the words that mostly stand beside the postcodes of one area."""
     pairs = parts.where(F.col("area").isNotNull()).select(F.explode("rest").alias("word"), "area").groupBy("word", "area").count()
     best = pairs.groupBy("word").agg(F.max_by("area", F.struct("count", "area")).alias("area"), F.max("count").alias("most"), F.sum("count").alias("all"))
-    return best.where((F.col("most") >= TOWN_COUNT) & (F.col("most") >= TOWN_SHARE * F.col("all"))).orderBy(F.desc("most"), "word").limit(MOST_TOWNS).select("word", "area", "most")
+    return best.where((F.col("most") >= TOWN_COUNT) & (F.col("most") >= TOWN_SHARE * F.col("all"))).select("word", "area", "most")
 
 
 def _halves(word: Column) -> Column:

@@ -22,7 +22,7 @@ from sheafline.session import cut
 SHARES = (0.5, 0.7, 0.9)
 #: Words broadcast with their ranks; the rest of the vocabulary, if there is any, is joined by a shuffle.
 HOT_WORDS = 50_000
-#: Rated documents used for the fit, the first ones by a hash of their id.
+#: About so many rated documents are used for the fit, those with the lowest hashes of their ids.
 FIT_ROWS = 20_000
 WORD = r"[\p{L}]+(?:['’][\p{L}]+)*"
 
@@ -105,7 +105,10 @@ def fit(feats: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = FI
     each threshold is the middle of the widest stretch of scores with the fewest wrongly placed documents.
     """
     rated = labels.where(F.col("band").isNotNull()).dropDuplicates().groupBy(key).agg(F.percentile("band", F.lit(0.5)).alias("band"))
-    x = feats.join(rated, key).orderBy(F.xxhash64(key), key).limit(rows)
+    x = feats.join(rated, key)
+    n_rated = x.count()
+    if n_rated > rows:  # a threshold on the hash, not a sort
+        x = x.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * rows / n_rated))
     y = (F.col("band") >= 3.5).cast("double") + 0.15 * F.col("band")
     cols = _inputs()
     x = cut(x.select("band", y.alias("y"), *(c.cast("double").alias(f"x{i}") for i, c in enumerate(cols))))
