@@ -69,21 +69,27 @@ def _document(kind: str, rows: list[dict], plain: str, raw: list[str], notes=(),
     return {"source_type": kind, "plain_text": plain, "lines": [full | r for r in rows], "raw_lines": raw, "reader_notes": list(notes), "metadata": list((meta or {}).items()), "reader_error": None}
 
 
-def _paragraphs(root) -> list[str]:
-    out = []
-    for p in root.iter(f"{W}p"):
-        text = ""
-        for n in p.iter():
-            if n.tag == f"{W}t":
-                text += n.text or ""
-            elif n.tag == f"{W}tab":
-                text += " "
-            elif n.tag in (f"{W}br", f"{W}cr"):
-                text += "\n"
-        out += text.split("\n")
+def _text(node) -> str:
+    """The text of a paragraph without that of text boxes inside it."""
+    out = ""
+    for n in node:
+        if n.tag.endswith("}txbxContent") or n.tag.endswith("}textbox"):
+            continue
+        if n.tag == f"{W}t":
+            out += n.text or ""
+        elif n.tag == f"{W}tab":
+            out += " "
+        elif n.tag in (f"{W}br", f"{W}cr"):
+            out += "\n"
+        else:
+            out += _text(n)
     return out
 
 
+def _paragraphs(root) -> list[str]:
+    return [t for p in root.iter(f"{W}p") for t in _text(p).split("\n")]
+
+
 def read_docx(raw: bytes) -> dict:
     """Title and headers, paragraphs, tables (cells joined by bars), text boxes, footers; later repeats dropped."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -100,12 +106,11 @@ def read_docx(raw: bytes) -> dict:
             for e in part(n).iter():
                 if e.tag.endswith("}txbxContent") or e.tag.endswith("}textbox"):
                     boxes += [("textbox", t) for t in _paragraphs(e)]
-        inside = {id(p) for e in body.iter() if e.tag.endswith("}txbxContent") for p in e.iter(f"{W}p")}
         table = 0
         tables = []
         for e in body:
-            if e.tag == f"{W}p" and id(e) not in inside:
-                rows += [("body", t) for t in _paragraphs_of(e)]
+            if e.tag == f"{W}p":
+                rows += [("body", t) for t in _text(e).split("\n")]
             elif e.tag == f"{W}tbl":
                 for tr in e.iter(f"{W}tr"):
                     cells = [" ".join(x for x in map(_clean, _paragraphs(tc)) if x) for tc in tr.findall(f"{W}tc")]
@@ -120,12 +125,6 @@ def read_docx(raw: bytes) -> dict:
     return _document("docx", lines, text, text.split("\n") if text else [], meta={"line_groups": ",".join(sorted({b for b, _ in kept}))})
 
 
-def _paragraphs_of(p) -> list[str]:
-    box = ElementTree.Element("box")
-    box.append(p)
-    return _paragraphs(box)
-
-
 def _mail(headers: list[tuple[str, str]], body: str, kind: str, tail: str = "") -> dict:
     text = "\n".join(f"{k}: {v}" for k, v in headers if v) + "\n\n" + re.sub("\n{3,}", "\n\n", body.replace("\r\n", "\n").replace("\r", "\n")).strip()
     text += f"\n\n{tail}" if tail else ""
