@@ -30,32 +30,80 @@ def _clean(s: str) -> str:
     return re.sub("\n{3,}", "\n\n", s).strip(" :\n")
 
 
-@lru_cache(maxsize=1_000)
-def _letters(label: str) -> tuple[tuple[str, int], ...]:
-    return tuple(Counter(label).items())
+def _mask(s: str) -> int:
+    """A bit for each of the letters a to z and digits in ``s``."""
+    m = 0
+    for c in s:
+        k = ord(c)
+        if 97 <= k <= 122:
+            m |= 1 << (k - 97)
+        elif 48 <= k <= 57:
+            m |= 1 << (k - 22)
+    return m
+
+
+@lru_cache(maxsize=100_000)
+def _word(w: str) -> int:
+    return _mask(w)
+
+
+@lru_cache(maxsize=50_000)
+def _line(line: str) -> tuple[str, tuple[str, ...], tuple[int, ...], int]:
+    low = line.lower().strip()
+    words = tuple(low.split())
+    return low, words, tuple(map(_word, words)), _mask(low)
+
+
+class _Label:
+    """A label with a bound on what it can have in common with a string of given letters."""
+
+    def __init__(self, label: str):
+        self.text = label.lower().strip()
+        self.n, self.size, self.counts = len(self.text), len(self.text.split()), tuple(Counter(self.text).items())
+        self.mask = _mask(self.text)
+        self.most: dict[int, int] = {}
+
+    def common(self, mask: int) -> int:
+        """Characters of the label left when the letters that the other string lacks are taken out."""
+        absent = self.mask & ~mask
+        got = self.most.get(absent)
+        if got is None:
+            got = self.most[absent] = self.n - sum(c for x, c in self.counts if _mask(x) & absent)
+        return got
+
+
+_label = lru_cache(maxsize=10_000)(_Label)
 
 
 def locate(lines: list[str], label: str, threshold: float) -> tuple[int, float] | None:
     """(index, similarity) of the line that is most like ``label``; windows of as many words as the label has in longer lines, the earliest best wins.
 
     A comparison is made only if neither the lengths nor the letters in common rule out that it reaches the threshold
-    and beats the best so far; both bounds are exact.
+    and beats the best so far; all bounds are exact.
     """
-    target = label.lower().strip()
-    size, n, letters = len(target.split()), len(target), _letters(target)
+    t = _label(label)
+    n, size = t.n, t.size
     best, where = threshold, -1
     for i, line in enumerate(lines):
-        low = line.lower().strip()
+        low, words, masks, mask = _line(line)
+        if t.common(mask) * (2 - best) < best * n:  # no part of the line can be like the label
+            continue
         if len(low) > n + 5:
-            words = low.split()
-            tries = [" ".join(words[k : k + size]) for k in range(len(words) - size + 1)] if size > 1 else words
+            # windows are put together only where their letters suffice
+            need, tries = best * n / (2 - best), []
+            for k in range(len(words) - size + 1):
+                m = masks[k]
+                for x in masks[k + 1 : k + size]:
+                    m |= x
+                if t.common(m) >= need:
+                    tries.append(" ".join(words[k : k + size]))
         else:
             tries = [low]
-        for t in tries:
-            m = len(t)
-            if 2 * min(m, n) < best * (m + n) or 2 * sum(min(c, t.count(x)) for x, c in letters) < best * (m + n):
+        for s in tries:
+            total = best * (len(s) + n)
+            if 2 * min(len(s), n) < total or 2 * sum([min(c, s.count(x)) for x, c in t.counts]) < total:
                 continue
-            r = ratio(target, t)
+            r = ratio(t.text, s)
             if r > best or (where < 0 and r >= threshold):
                 best, where = r, i
     return (where, best) if where >= 0 else None
