@@ -18,7 +18,7 @@ from sheafline.schema import DATES, FIELD_ORDER, FIELDS, REQUIRED
 
 #: Rules for providers without their own; a parameter.
 DEFAULT_RULES: dict[str, dict] = {
-    "vrm": {"id": "vrm", "kind": "label_same_or_next_line", "labels": ["Vehicle Registration", "Vehicle reg", "VRM", "Registration", "Reg"]},
+    "vrm": {"id": "vrm", "kind": "label_same_line", "labels": ["Vehicle Registration", "Vehicle reg", "VRM"]},
     "vehicle_model": {"id": "model", "kind": "label_same_line", "labels": ["Make/Model", "Vehicle Make", "Our client's vehicle"]},
     "claimant_name": {"id": "claimant", "kind": "label_same_or_next_line", "labels": ["Client Name", "Our Client:", "Our Insured", "Claimant", "Name:", "Re:"]},
     "reference": {"id": "reference", "kind": "label_same_or_next_line", "labels": ["Our Ref:", "Claim No", "Our reference", "Ref -", "Reference"]},
