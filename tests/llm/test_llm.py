@@ -150,6 +150,26 @@ def test_garbled_rows(spark):
     assert mojibake.find_garbled(df.limit(0), ["model_id"], "text", dicts).count() == 0
 
 
+def test_windows_beyond_the_dictionaries_count(spark):
+    swapped = "".join(mojibake._tables("mac_roman")[1][b] for b in "Quellørïne".encode("cp1252"))
+    rows = [(i, 0, t) for i, t in enumerate(["the café was open"] * 50 + ["ask Quellørïne today"] * 3 + ["QUELLØRÏNE signed"] + [f"ask {swapped} today"] * 2)]
+    df = spark.createDataFrame(rows, "model_id long, flat_pos int, text string")
+    docs = spark.createDataFrame([(1, "en", "nobody was hurt near the market square " * 3)], "doc_id long, lang string, text string")
+    for top in (1, 100):
+        dicts = mojibake.dictionaries(docs, df.select("text"), top=top)
+        assert (dicts.beyond is None) == (top == 100)
+        got = {r["model_id"]: r["restored"] for r in mojibake.find_garbled(df, ["model_id", "flat_pos"], "text", dicts, True).collect()}
+        assert got == {54: "ask Quellørïne today", 55: "ask Quellørïne today"}
+
+
+def test_language_dictionaries_count_all_documents(spark):
+    rng = random.Random(4)
+    junk = lambda: " ".join("".join(rng.choices(string.ascii_lowercase, k=9)) for _ in range(1300))
+    docs = spark.createDataFrame([(i, "en", junk() + " harbour café") for i in range(20)], "doc_id long, lang string, text string")
+    dicts = mojibake.dictionaries(docs, docs.select("text").limit(0))
+    assert all(w.encode(mojibake.COMPRESSED_AS) in dicts[0] for w in (" harbour ", " café ")) and len(dicts[0]) <= mojibake.TEXT_BYTES
+
+
 # ---- 3 addresses
 
 
