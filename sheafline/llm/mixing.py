@@ -118,7 +118,7 @@ def mix(documents: DataFrame, targets: DataFrame, sizes: DataFrame | None = None
     schema = "plan_name string, source string, lang string, leaf_tokens bigint, budget double"
     tree = spark.createDataFrame(leaves, schema)
     tree = tree.withColumns({"full": F.when(F.col("leaf_tokens") > 0, F.floor(F.col("budget") / F.col("leaf_tokens") + 1e-12)).otherwise(0).cast("int")})
-    tree = tree.withColumn("rest", F.col("budget") - F.col("full") * F.col("leaf_tokens"))
+    tree = tree.withColumn("rest", F.greatest(F.col("budget") - F.col("full") * F.col("leaf_tokens"), F.lit(0.0)))  # a full leaf may miss its capacity by a rounding error
     order = F.xxhash64(F.lit(seed), "plan_name", "source", "lang", "full", "doc_id")
     rows = (
         sizes.where(F.col("n_tokens") > 0)
@@ -130,7 +130,7 @@ def mix(documents: DataFrame, targets: DataFrame, sizes: DataFrame | None = None
     run = Window.partitionBy(*keys).orderBy("part")
     sums = sums.withColumn("before", F.sum("tokens").over(run) - F.col("tokens"))
     edge = sums.where(F.col("before") <= F.col("rest")).groupBy(*keys).agg(F.max("part").alias("edge"), F.max_by("before", "part").alias("before"))
-    rows = rows.join(F.broadcast(edge), keys, "left")  # one row a leaf
+    rows = rows.join(F.broadcast(edge), keys, "left").na.fill(-1, ["edge"])  # one row a leaf; without an edge whole epochs only
     inner = rows.where(F.col("part") != F.col("edge")).withColumn("more", (F.col("part") < F.col("edge")).cast("int"))
     at_edge = rows.where(F.col("part") == F.col("edge"))
     upto = Window.partitionBy(*keys).orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -89,6 +89,13 @@ def test_mix_reaches_shares_within_repeats(spark):
     assert all(by[k]["actual_tokens"] == n for k, n in brute.items())
 
 
+def test_mix_keeps_leaves_filled_to_their_repeats(spark):
+    sizes = spark.createDataFrame([(1, "s", "de", 137_410), (2, "s", "en", 23_699), (3, "t", "en", 500_000)], "doc_id long, source string, lang string, n_tokens long")
+    t = spark.createDataFrame([("p", "s", 0.9, 3, 1.0), ("p", "t", 0.3, 3, 1.0)], "plan_name string, source string, target_share double, max_repeats int, budget_ratio double")
+    sel, _ = mixing.mix(sizes, t, sizes=sizes, parts=16)
+    assert {r["doc_id"]: r["uses"] for r in sel.where("source = 's'").collect()} == {1: 3, 2: 3}
+
+
 # ---- 9 reading
 
 
