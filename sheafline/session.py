@@ -59,3 +59,19 @@ def top_rows(counts: DataFrame, by: str, rows: int) -> list[Row]:
         least = steps.withColumn("_u", upto).where(F.col("_u") <= rows).agg(F.min(by)).head()[0]
         counts = counts.where(F.col(by) >= least) if least is not None else counts.limit(0)
     return counts.collect()
+
+
+def top_and_rest(counts: DataFrame, by: str, rows: int) -> tuple[list[Row], DataFrame | None]:
+    """(the rows with the highest ``by``, at most ``rows`` of them; all other rows as a table, None if there are none).
+
+    Rows that tie at the bound go to the table together. Nothing is lost: the first part may be broadcast, the second
+    is met by a join.
+    """
+    counts = cut(counts)
+    if counts.count() <= rows:
+        return counts.collect(), None
+    upto: Column = F.sum("_m").over(Window.orderBy(F.desc(by)))
+    least = counts.groupBy(by).agg(F.count("*").alias("_m")).withColumn("_u", upto).where(F.col("_u") <= rows).agg(F.min(by)).head()[0]
+    if least is None:
+        return [], counts
+    return counts.where(F.col(by) >= least).collect(), counts.where(F.col(by) < least)
