@@ -1,13 +1,15 @@
 """Personal information inside free text (problem 5).
 
-Method: a semi-Markov conditional random field. Candidate segments of bounded length are proposed for every kind; features of
-the whole span (its shape, its numbers' prefix, the share of its words in the lexicons of the corpus, what stands to
-its left and right) give each segment a potential, and dynamic programming over the segments chooses boundaries and
-kinds together, everything between them being ordinary text. The potentials are fitted (by pseudo-likelihood) on segments
-of a bounded sample of texts whose labels or form leave no doubt.
-
-The lexicons of names and address words are counted over the whole corpus from labelled places in it and from the
-fixtures; the commonest entries are broadcast.
+Method: a semi-Markov conditional random field. A text is cut into tokens; runs of tokens that may belong to personal data
+(chunks) become lattices whose arcs are all admissible spans of every kind, each with features of the whole span: its
+pattern of classes, its parts, the shape of its figures, the share of its words in the lexicons of the corpus, what stands
+on either side. Dynamic programming over the lattice chooses boundaries and kinds together; ordinary text costs nothing. The
+weights maximise the likelihood of labelled chunks (partition function by the forward pass, expectations by the backward
+pass) over a bounded sample of texts, which ``pii_labels`` labels, since no labelled texts exist.
+
+Features see only classes of tokens, so a chunk's best segmentation depends on nothing but its string of classes and is worked
+out once for all chunks that share it. The lexicons are counted over the whole corpus from labelled places in it and
+from the fixtures; a bounded part is broadcast, the entries beyond it reach the texts that hold them by a join.
 """
 
 from __future__ import annotations
@@ -17,457 +19,592 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.address import BUSINESS_WORDS, STREET_KINDS, UNIT_WORDS
-from sheafline.session import bounded_sample, top_rows
-
-#: Texts of the fit (the first by a hash of their id), entries of a lexicon that are broadcast, least count of an entry.
-FIT_TEXTS, MOST_NAMES, MOST_PLACES, LEXICON_COUNT = 800, 50_000, 200_000, 2
-#: Lines without anything to find that a worker remembers.
-DULL_LINES = 200_000
-#: Longest entities, in tokens.
-NAME_TOKENS, ADDRESS_TOKENS = 6, 30
-KINDS = ("NAME", "EMAIL", "PHONE", "ID", "ADDRESS")
-
-#: Words around personal data.
-TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "sir", "madam", "mr.", "mrs.", "ms.", "dr."}
-PARTICLES = {"de", "del", "da", "van", "der", "den", "von", "al", "st", "ap", "el", "bin", "la", "le", "ter"}
-NAME_LABELS = {"client", "insured", "name", "claimant", "re", "from", "von", "handler", "witness", "dear", "hi", "hello", "morning", "i", "to", "policyholder", "driver", "de"}
-PHONE_LABELS = {"tel", "telephone", "mobile", "mob", "phone", "t", "m", "ddi", "no", "number", "on", "line", "ring", "call", "from", "fax", "contact", "reached"}
-REF_LABELS = {"ref", "reference", "claim", "card", "policy", "request", "subject", "betreff", "objet", "asunto", "file", "passport", "job", "instruction", "temat"}
-FIRM_WORDS = {"law", "claims", "hire", "solicitors", "legal", "llp", "management", "accident", "ltd", "limited", "garage", "bodyshop", "coachworks", "autocare", "team", "group", "road", "street"}
-STOP = set("above below the of and to a in is that it was for on are with as at be by this from or had not but have has which an were will been its their our we you he she they please can cannot who said left number dear sirs sir madam hello hi morning team any all no yes one two three mobile tel email vehicle reg registration vrm make model odometer mileage date received dated instruction reference claimant insured client contact telephone odometer after before until when while whom may must could would should there here".split())
-
-_EMAIL = re.compile(r"[^\W_][\w.+'’-]*@[^\W_][\w-]*(?:\.[\w-]+)+")
-_SPELLED = re.compile(_EMAIL.pattern + r"|[^\W_][\w.+'’-]*(?: dot [\w+'-]+)* ?(?:\[at\]|\(at\)|\{at\}| at ) ?[\w-]+(?:(?: ?(?:\[dot\]|\(dot\)| dot ) ?)[\w-]+)+|[^\W_][\w.+'’-]* ?(?:\[at\]|\(at\)|\{at\}) ?[\w-]+(?:\.[\w-]+)+", re.I)
-_DIGIT = re.compile(r"\d")
-_SIX = re.compile(r"\d\d[ -]?\d\d[ -]?\d\d")
-_SPLIT = re.compile(r"[^\s,;:()<>\[\]{}\"“”/|@*=_!?\d.]+").findall
-_PHONE = re.compile(r"(?<![\w+./:-])(?:\+44|0044|\(?0)[\d ().\-]{7,18}\d(?![\w])")
-_DATE = re.compile(r"\d{1,2}[.-]\d{1,2}[.-]\d{4}\b|\d{4}-\d{2}-\d{2}")
-_NI = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Da-d](?![A-Za-z0-9])")
-_LICENCE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9]{4}[ -]?\d{6}[ -]?[A-Za-z][A-Za-z0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Za-z]{2,4}9{1,3}[ -]?\d{6}[ -]?[A-Za-z][A-Za-z0-9]{4}(?![A-Za-z0-9])")
-_PASSPORT = re.compile(r"(?<![A-Za-z0-9/-])[A-Za-z]?\d{8,9}(?![A-Za-z0-9/-])")
-_TOKEN = re.compile(r"[^\s,;:()<>\[\]{}\"“”/|@*=_!?©\d]*[^\W\d_][^\s,;:()<>\[\]{}\"“”/|@*=_!?\d]*")
-_ADDR_TOKEN = re.compile(r"[A-Za-z]{1,2}\d[\dA-Za-z]? ?\d[A-Za-z]{2}(?![\w])|\d+[A-Za-z]?(?![\w])|[^\W\d_](?:[^\s,;:/|()<>]*[^\W\d_])?\.?|\S")
-_POSTCODE = re.compile(r"^[A-Za-z]{1,2}\d[\dA-Za-z]? ?\d[A-Za-z]{2}$")
-_KINDS_OF_STREET = {a for k, v in STREET_KINDS.items() for a in (k, *v.split())}
-_FIXED_PLACES = _KINDS_OF_STREET | set(UNIT_WORDS) | set(BUSINESS_WORDS) | {"no", "north", "south", "east", "west", "n", "s", "e", "w"}
-_LABEL_END = re.compile(r"(?:address|location|garage|inspect|located at|inspection at|repairer|bodyshop)\W*$", re.I)
-_CODE_IN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{1,2}\d[\dA-Za-z]? ?\d[A-Za-z]{2}(?![\w])")
-_LEFT = re.compile(r"([^\W\d_]+)[^\w]{0,4}$")
-_RIGHT = re.compile(r"^[^\w]{0,3}([^\W\d_]+)")
-
-
-class Segment:
-    __slots__ = ("start", "end", "kind", "text", "feats")
-
-    def __init__(self, start: int, end: int, kind: str, text: str, feats: tuple[str, ...]):
-        self.start, self.end, self.kind, self.text, self.feats = start, end, kind, text, feats
-
-
-def _around(text: str, a: int, b: int) -> tuple[str, str, bool, bool]:
-    """Last word to the left (over one line end), first word to the right, begins and ends its line."""
-    left = text[max(0, a - 40) : a]
-    m = _LEFT.search(left)
-    r = _RIGHT.search(text[b : b + 24])
-    return (m[1].lower() if m else ""), (r[1].lower() if r else ""), not left.rpartition("\n")[2].strip(" >|*-"), text[b : b + 1] in ("", "\n", "\r")
-
-
-def national(digits: str) -> str:
-    d = re.sub(r"\D", "", digits)
-    d = d[4:] if d.startswith("0044") else d[2:] if d.startswith("44") and len(d) > 10 else d
-    return d.lstrip("0")
-
-
-class Proposer:
-    """The candidate segments of a text with their features."""
-
-    def __init__(self, names: dict[str, int], places: set[str]):
-        self.names, self.places = names, places | _FIXED_PLACES
-        self.prefixes: set[str] = set()
-        self.dull: set[str] = set()
-        self.whole: dict[str, list] = {}
-
-    def segments(self, text: str) -> list[Segment]:
-        """Lines are looked at one by one; cheap tests keep most of them from the costly patterns."""
-        out: list[Segment] = []
-        mails: list[tuple[int, int]] = []
-        begin = 0
-        names = self.names
-        digit: list[bool] = []
-        label: list[bool] = []
-        dull = self.dull
-        for line in text.split("\n"):
-            end = begin + len(line)
-            if line in dull:
-                begin = end + 1
-                digit.append(False)
-                label.append(False)
+from sheafline.llm import pii_labels as L
+from sheafline.session import bounded_sample, top_and_rest
+
+#: Texts of the fit (the first by a hash of their id), entries of a lexicon that are broadcast.
+FIT_TEXTS, MOST_WORDS = 1_200, 200_000
+#: Longest spans of each kind in tokens: the bound of the bounded-entity dynamic programming, not of texts or chunks.
+LONGEST = {"NAME": 12, "EMAIL": 1, "PHONE": 11, "ID": 7, "ADDRESS": 60}
+#: Chunks and tokens whose results a worker remembers; what is forgotten is worked out again.
+REMEMBERED = 400_000
+KINDS = tuple(LONGEST)
+
+#: Private sign before the token of a mail address.
+MAIL = "\ue000"
+# a word may hold the signs that letters become in a wrong decoding, so all but these may stand in it
+_W = r"[^\s\d_!-/:-@\[-`{-~“”‘’…–—·•]"
+_TOKEN = re.compile(
+    r"\n(?:[ \t]*[>|])*[ \t]*| ?(?:[A-Za-z]{1,2}\d[\dA-Za-z]? ?\d[A-Za-z]{2}(?![^\W_])|[^\W\d_]\.(?= ?[^\W\d_])"
+    rf"|[^\W\d_]{_W}*+(?:['’-](?![sS]\b)[^\W\d_]{_W}*+)*+(?!\d)|[^\W_]+|\S)|[^\S\n]+"
+)
+_RUN = re.compile(r"[A-Za-z]+|\d+")
+_POSTCODE = re.compile(r"[A-Za-z]{1,2}\d[\dA-Za-z]? ?\d[A-Za-z]{2}$")
+#: Words beside personal data, by what they announce; words of one group are one class.
+_GROUPS = {
+    "name": "client insured name claimant re policyholder", "from": "from von de", "role": "handler witness driver", "hail": "dear hi hello morning",
+    "tel": "tel telephone mobile mob phone t m ddi line ring call fax contact reached", "no": "no number", "ref": "ref reference claim card policy request subject betreff objet asunto file job instruction temat",
+    "place": "address location garage inspect located inspection repairer bodyshop", "id": "passport licence license ni nino insurance driving", "bye": "regards sincerely faithfully wishes thanks kr",
+}
+_GROUP = {w: g for g, words in _GROUPS.items() for w in words.split()} | {w: w for w in ("is", "at", "on", "i", "to", "our", "your", "and")} | {w: "title" for w in L.TITLES}
+_TELLING = frozenset({"place", "id"})
+_LEADS = frozenset({"name", "from", "role", "hail", "title", "bye", "is", "to", "i"})
+
+# coarse classes of tokens: first character of each range of code points
+O, M, P, D = 0x1000, 0x4000, 0x5000, 0x6000
+_IN = r"[\u4000-\u6fffcke]"  # words that may be parts (those of addresses apart), figures and mixed tokens, postcodes, mail addresses
+_FIGURE, _PLACE = r"[\u6000-\u6fff]", r"\u5000-\u6fffck"
+# a line end stands within a chunk only where an address may go on
+_GLUE = rf"(?:[,;/.()+'#w-]{{1,3}}(?:\n(?:#\.?)?)?|(?<=[{_PLACE}u])\n(?:#\.?)?|\n(?=[{_PLACE}]))?"
+_CHUNK = re.compile(rf"(?:{_IN}|[+(](?={_FIGURE})|#(?=w?\.?w?{_FIGURE}))(?:{_GLUE}{_IN}|[,;/]{{0,2}}\n?u(?=[,;/]{{0,2}}\n?{_IN})|[,;/]u(?=\n)|\.(?![,;/.()+'-]))*")
+
+
+class Token:
+    """What the features see of a token: its coarse class (``mark``), a name, and for words, figures and mixed tokens their parts."""
+
+    __slots__ = ("mark", "name", "lex", "place", "case", "role", "shape", "digits", "lead", "known", "upper", "size")
+
+    def __init__(self, mark: str, name: str, lex: int = 0, place: str = "", case: str = "", role: str = "", shape: str = "", digits: int = 0, lead: str = "", known: bool = False, size: int = 0):
+        self.mark, self.name, self.lex, self.place, self.case, self.role, self.shape, self.digits, self.lead, self.known = mark, name, lex, place, case, role, shape, digits, lead, known
+        self.upper, self.size = case in ("U", "i"), size
+
+
+class Coder(dict):
+    """Token -> one character for its class. Classes get their characters as they come; ``tokens`` has what a character means."""
+
+    def __init__(self, names: dict[str, int], places: dict[str, int], prefixes: dict[str, int]):
+        super().__init__()
+        self.names, self.places, self.prefixes = names, places, prefixes
+        self.tokens: dict[str, Token] = {}
+        self.codes: dict[tuple, str] = {}
+        self.used = {O: 0, M: 0, P: 0, D: 0}
+        #: Outside a chunk words, figures and the rest count by their coarse class only.
+        self.outside: dict[int, str] = {}
+        self.house = self.figures("1")
+        self.read("\n")
+        for c in "md":
+            self.tokens[c] = Token(c, c)
+
+    def of(self, base: int | str, token: Token) -> str:
+        key = (base, token.name)
+        got = self.codes.get(key)
+        if got is None:
+            if isinstance(base, str):
+                got = base
+            else:
+                # a range that is full shares its last character
+                got = chr(base + self.used[base])
+                self.used[base] = min(self.used[base] + 1, (0x2FFF if base == O else 0xFFF))
+            self.codes[key] = got
+            self.tokens[got] = token
+            if token.mark in "mdu" or token.name == "word":
+                self.outside[ord(got)] = "d" if token.mark == "d" else "m"
+        return got
+
+    def __missing__(self, raw: str) -> str:
+        got = self.read(raw)
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[raw] = got
+        return got
+
+    def read(self, raw: str) -> str:
+        w = raw.lstrip(" \t")
+        if raw[:1] == "\n":
+            return self.of("\n", Token("\n", "\n")) if not w.strip("\n \t") else self.of("q", Token("q", "quote"))
+        if not w.strip():
+            return self.of("w", Token("w", "wide"))
+        if w[0] == "":  # a mail address, set in before
+            return self.of("e", Token("e", "mail"))
+        low = w.lower().replace("’", "'")
+        if not any(c.isalnum() for c in w):
+            if w in ",;/.()+'-’" and not (w == "-" and raw != w):
+                w = w.replace("’", "'")
+                return self.of(w, Token(w, w))
+            name = ":" if w in ":|" else "dash" if w in "-–—" else "sign"
+            return self.of(O, Token("o", name))
+        if _POSTCODE.match(w):
+            # five signs may be the end of a licence number as well
+            return self.of("k", Token("c", "code", shape="A1N2A2")) if len(w) == 5 and w[1:3].isdigit() else self.of("c", Token("c", "code", shape="X"))
+        if any(c.isdigit() for c in w):
+            return self.figures(w)
+        return self.word(w, low)
+
+    def figures(self, w: str) -> str:
+        runs = _RUN.findall(w)
+        if sum(map(len, runs)) != len(w) or len(w) > 20:
+            return self.of(D, Token("d", "odd", shape="X"))
+        last = runs[-1]
+        shape = "".join(("N" if r.isdigit() else "A") + str(len(r)) for r in runs)
+        if not last.isdigit() and len(last) == 1:
+            shape = shape[:-2] + ("C1" if last.upper() in "ABCD" else "B1")
+        plain = w.isdigit()
+        lead = "0044" if w.startswith("0044") else "44" if w.startswith("44") else "0" if w[0] == "0" else ""
+        known = plain and len(w) >= 5 and w[0] == "0" and w[1:5] in self.prefixes
+        nines = bool(re.match(r"[A-Za-z]{2,4}9{1,3}(?:\d{6}|$)", w))
+        kind = "house" if re.fullmatch(r"\d{1,4}[A-Za-z]?", w) else "long" if plain else "mixed"
+        return self.of(D, Token("d", f"{kind}:{shape}:{lead}:{known:d}:{nines:d}", shape=shape, digits=len(w) if plain else 0, lead=lead, known=known, case="9" if nines else "", role=kind))
+
+    def word(self, w: str, low: str) -> str:
+        base = low.rstrip("'.")
+        flat = base.replace("'", "")
+        n = self.names.get(base, 0)
+        lex = min(1, n)
+        place = "K" if flat in L._KINDS_OF_STREET else "U" if flat in L.UNIT_WORDS else "B" if flat in L.BUSINESS_WORDS else "p" if flat in self.places or base in self.places or flat in L._FIXED_PLACES else ""
+        case = "i" if len(base) == 1 and w[0].isupper() else "U" if w.isupper() else "l" if w.islower() else "T" if w[0].isupper() else "x"
+        role = "title" if base in L.TITLES else "firm" if base in L.FIRM_WORDS else "particle" if base in L.PARTICLES else ""
+        group = _GROUP.get(base)
+        label = group is not None and base not in L.PARTICLES and role != "firm"
+        if case == "i" and (w != "I"):
+            return self.of(P if place else M, Token("m", "A" if w == "A" else f"i{place}{w[1:]}", place=place, case="i", size=1))
+        if base == "no":
+            return self.of("#", Token("#", "no", place="p", case=case))
+        if (role == "title" or base in L.STOP or (label and not lex)) and place in ("", "B") and not (place == "B" and case != "l"):
+            return self.of(O, Token("o", group or "word"))
+        if case == "l" and not lex and not place and role != "particle":
+            return self.of(O, Token("o", group)) if group else self.of("u", Token("u", "word")) if len(w) > 2 else self.of(O, Token("o", "word"))
+        name = f"{lex}{place or '-'}{case}{role[:1]}" + (":" + group if label else f":{len(w)}" if case == "U" and len(w) in (2, 5) and not lex and not place else "")
+        return self.of(P if place else M, Token("m", name, lex=lex, place=place, case=case, role=role, size=len(w)))
+
+
+def mails_in(text: str) -> list[tuple[int, int]]:
+    """Spans of mail addresses, spelled-out ones too, in order."""
+    out: list[tuple[int, int]] = []
+    at = text.find("@")
+    while at >= 0:
+        a = max(text.rfind(c, 0, at) for c in " \n\t<(:,;\"") + 1
+        for m in L._EMAIL.finditer(text, a, at + 400 if text.find("\n", at) < 0 else text.find("\n", at)):
+            if m.start() < at < m.end():
+                out.append((m.start(), m.end()))
+                break
+        at = text.find("@", max(at + 1, out[-1][1] if out else 0))
+    if "[at]" in text or "(at)" in text or "{at}" in text or " dot " in text:
+        for m in re.finditer(r"[^\n]*(?:\[at\]|\(at\)|\{at\}| dot )[^\n]*", text):
+            for x in L._SPELLED.finditer(text, m.start(), m.end()):
+                if not any(a < x.end() and x.start() < b for a, b in out):
+                    out.append((x.start(), x.end()))
+        out.sort()
+    return out
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens of a text, which put together are the text; a mail address is one token, marked by a private sign before it."""
+    if "@" not in text and "[at]" not in text and "(at)" not in text and "{at}" not in text and " dot " not in text:
+        return _TOKEN.findall(text)
+    out: list[str] = []
+    end = 0
+    for a, b in mails_in(text):
+        out += _TOKEN.findall(text[end:a])
+        out.append("" + text[a:b])
+        end = b
+    return out + _TOKEN.findall(text[end:])
+
+
+_BEFORE, _AFTER = 4, 2
+#: Signs beyond which the features look on.
+_SOFT = frozenset("\n,;/.()+'-w") | {"quote", "wide", ":", "dash", "sign"}
+
+
+def canonical(key: str, coder: Coder) -> str:
+    """``key`` without what no feature sees: words beyond the nearest one unless they are labels, what follows a word, lengths of figures too few for a number."""
+    before, inner, after = key.split("\0")
+    t = coder.tokens
+    left, seen = [], False
+    for c in reversed(before):
+        x = t[c]
+        left.append("m" if seen and x.name not in _TELLING else c)
+        seen = seen or x.name not in _SOFT
+    if t[after[0]].name not in _SOFT:
+        after = after[0] + "m"
+    if sum(t[c].digits for c in inner) < 9 and not any(t[c].role == "mixed" or (t[c].upper and t[c].size in (1, 2, 5)) for c in inner):
+        inner = "".join(coder.house if t[c].role == "house" else c for c in inner)
+    return f"{''.join(reversed(left))}\0{inner}\0{after}"
+
+
+def chunks_of(toks: list[str], coder: Coder) -> Iterator[tuple[str, int, int]]:
+    """(key, first, end) of each chunk; the key holds the classes of the tokens before, in and after it."""
+    codes = "\n\n\n\n" + "".join(map(coder.__getitem__, toks)) + "\n\n"
+    for m in _CHUNK.finditer(codes):
+        a, b = m.span()
+        yield f"{codes[a - _BEFORE:a].translate(coder.outside)}\0{codes[a:b]}\0{codes[b:b + _AFTER].translate(coder.outside)}", a - _BEFORE, b - _BEFORE
+
+
+class Lattice:
+    """The admissible spans of a chunk: (first, end, kind, features)."""
+
+    def __init__(self, key: str, coder: Coder):
+        before, inner, after = key.split("\0")
+        t = coder.tokens
+        self.left = [t[c] for c in before]
+        self.t = [t[c] for c in inner]
+        self.right = [t[c] for c in after]
+        self.n = len(self.t)
+        self.all = self.left + self.t + self.right
+        self.arcs: list[tuple[int, int, str, list[str]]] = []
+        self._names()
+        self._figures()
+        self._addresses()
+
+    def side(self, i: int) -> tuple[str, str, str]:
+        """Left of token ``i``: the last word or figure (its name), what stands between, the class of the nearest token."""
+        k = i + len(self.left) - 1
+        gap = ""
+        near = self.all[k]
+        while k >= 0 and self.all[k].name in _SOFT:
+            gap = ("\\" if self.all[k].mark == "\n" else self.all[k].name[:1]) + gap
+            k -= 1
+        word = self.all[k] if k >= 0 else near
+        return (word.name if word.mark == "o" and word.name != "word" else "m" if word.mark in "ou" else word.mark), gap[-3:], near.name if near.mark == "o" and near.name != "word" else near.mark
+
+    def after(self, j: int) -> tuple[str, str]:
+        """Right of the span that ends before ``j``: the next token and the one after it."""
+        k = j + len(self.left)
+        return self.all[k].name, self.all[k + 1].name if k + 1 < len(self.all) else "\n"
+
+    def _names(self) -> None:
+        t, n = self.t, self.n
+        for i in range(n):
+            if t[i].mark != "m" or (t[i].case == "l" and not t[i].lex and t[i].role != "particle"):
                 continue
-            count, low = len(out), line.lower()
-            label.append("ddress" in low or "ocat" in low or "arage" in low or "insp" in low or "epairer" in low or "odyshop" in low)
-            spelled = "[at]" in low or "(at)" in low or " dot " in low or "{at}" in low
-            if spelled or "@" in line:
-                for m in (_SPELLED if spelled else _EMAIL).finditer(text, begin, end):
-                    mails.append((m.start(), m.end()))
-                    out.append(Segment(m.start(), m.end(), "EMAIL", m.group(), ("email", "email:@" if "@" in m.group() else "email:spelled")))
-            digits = bool(_DIGIT.search(line))
-            digit.append(digits)
-            if digits:
-                for m in _PHONE.finditer(text, begin, end):
-                    out += self._phone(text, m)
-                if _SIX.search(line):
-                    for pattern, name in ((_NI, "ni"), (_LICENCE, "licence"), (_PASSPORT, "passport")):
-                        for m in pattern.finditer(text, begin, end):
-                            near = "passport" in text[max(0, m.start() - 24) : m.start()].lower()
-                            if name == "passport" and not near:
-                                continue
-                            left, right, begins, ends = _around(text, m.start(), m.end())
-                            out.append(Segment(m.start(), m.end(), "ID", m.group(), ("id:" + name, f"id:{name}:left={left}", f"id:{name}:line={begins}{ends}", f"id:near={near}")))
-            for w in _SPLIT(low):
-                if w in names or w in TITLES:
-                    out += [x for x in self._names(text, begin, end) if not any(p <= x.start and x.end <= q for p, q in mails)]  # no name inside a mail address
+            word, gap, near = self.side(i)
+            led = word in _LEADS
+            words, known, commas, places = 0, 0, 0, 0
+            for j in range(i + 1, min(n, i + LONGEST["NAME"]) + 1):
+                x = t[j - 1]
+                if x.mark == "m":
+                    words += 1
+                    known += x.lex > 0
+                    places += bool(x.place)
+                elif x.mark == "," and not commas and t[j - 2].upper:
+                    commas += 1
+                    continue
+                elif x.mark not in "-'":
                     break
-            else:
-                # a line without figures, names, mail addresses and labels says nothing, wherever it comes again
-                if not digits and count == len(out) and "@" not in line and not spelled and not label[-1] and len(dull) < DULL_LINES:
-                    dull.add(line)
-            begin = end + 1
-        out += self._addresses(text, digit, label)
-        return out
-
-    def _phone(self, text: str, m: re.Match) -> list[Segment]:
-        s = m.group()
-        while s.count("(") > s.count(")"):
-            cut = s.rfind("(")
-            s = s[:cut] if cut > 6 else s[cut + 1 :]
-        s = s.strip(" .-")
-        a = m.start() + text[m.start() : m.end()].find(s)
-        found = []
-        for piece in {s, re.split(r"  +", s)[0]}:
-            d = re.sub(r"\D", "", piece)
-            n = national(piece)
-            if not 9 <= len(n) <= 10 or len(d) > 15 or _DATE.match(piece):
+                else:
+                    continue
+                if not known and not led:  # words that nothing marks as names are none
+                    continue
+                right, next_one = self.after(j)
+                kinds = [f"{y.lex}{y.place}{y.case}{y.role[:1]}" if y.mark == "m" else y.mark for y in t[i:j]]
+                case = "l" if all(y.case == "l" for y in t[i:j] if y.mark == "m") else "U" if all(y.upper for y in t[i:j] if y.mark == "m") else "T"
+                self.arcs.append((i, j, "NAME", [
+                    "N", f"N:n={words}", f"N:known={known}/{words}", f"N:seq={' '.join(kinds) if words < 5 else 'long'}", f"N:first={kinds[0]}", f"N:last={kinds[-1]}", f"N:L={word}", f"N:L={word}{gap}", f"N:gap={gap}:{case}{min(words, 3)}", f"N:near={near}",
+                    f"N:R={right}", f"N:R2={right} {next_one if right in _SOFT else ''}", f"N:comma={commas}", f"N:{known > 0}:{word}", f"N:{known == words}:{words > 1}:{case}", f"N:{right}:{kinds[-1]}", f"N:place={places}/{words}",
+                    f"N:{known == words}:{gap}:{right}", f"N:{known == words}:{word}:{gap}:{words > 1}",
+                ]))
+
+    def _figures(self) -> None:
+        t, n = self.t, self.n
+        for i in range(n):
+            if t[i].mark == "e":
+                word, gap, _ = self.side(i)
+                self.arcs.append((i, i + 1, "EMAIL", ["E", f"E:L={word}"]))
+            if t[i].mark not in "d+(":
                 continue
-            left, right, begins, ends = _around(text, a, a + len(piece))
-            plain = piece.isdigit()
-            lab = "phone" if left in PHONE_LABELS else "ref" if left in REF_LABELS else "none"
-            form = "plain" if plain else "grouped"
-            found.append(Segment(a, a + len(piece), "PHONE", piece, ("phone", f"phone:{form}", f"phone:left={left}", f"phone:lab={lab}", f"phone:pre={n[:5]}", f"phone:pre3={n[:3]}:{form}", f"phone:n={len(n)}", f"phone:seen={n[:4] in self.prefixes}:{form}", f"phone:line={begins}{ends}", f"phone:wide={text[max(0, a - 2) : a] == '  '}")))
-        return found
-
-    def _names(self, text: str, begin: int, end: int) -> list[Segment]:
-        names = self.names
-        tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text, begin, end)]
-        low = [t[2].lower().rstrip(".'’") for t in tokens]
-        low = [w[:-2] if w.endswith(("'s", "’s")) else w for w in low]
-        hit = [w in names for w in low]
-        out: list[Segment] = []
-        n = len(tokens)
-        used = -1
+            word, _, near = self.side(i)
+            role = "phone" if word in ("tel", "no", "on", "from") else "ref" if word == "ref" else "none"
+            digits, groups, lead, known = 0, [], "", False
+            for j in range(i + 1, min(n, i + LONGEST["PHONE"]) + 1):
+                x = t[j - 1]
+                if x.mark in "+().-":
+                    groups.append(x.mark)
+                    continue
+                if not x.digits:
+                    break
+                digits, lead, known = digits + x.digits, lead or x.lead or "none", known or x.known
+                groups.append(str(x.digits))
+                if 9 <= digits <= 15:
+                    right = self.after(j)[0]
+                    plain = len(groups) == 1
+                    front = t[i].mark if t[i].mark in "+(" else lead
+                    self.arcs.append((i, j, "PHONE", [
+                        "P", f"P:form={' '.join(groups)}", f"P:digits={digits}:{front}", f"P:front={front}", f"P:role={role}", f"P:L={word}", f"P:{role}:{plain}", f"P:known={known}:{plain}:{role}", f"P:known={known}", f"P:near={near}", f"P:R={right}", f"P:plain={plain}",
+                    ]))
+        # identity numbers: the shapes of neighbouring tokens together
+        if sum(x.digits or 6 * (x.mark == "d") for x in t) < 6:
+            return
         for i in range(n):
-            if (not hit[i] and not (low[i] in TITLES and i + 1 < n and not hit[i + 1])) or i <= used:
+            if t[i].mark not in "dm" or (t[i].mark == "m" and t[i].size not in (2, 5)):
                 continue
-            titled = not hit[i]
-            first = last = i + titled
-            if titled:
-                t = tokens[first]
-                if not t[2][:1].isupper() or low[first] in STOP or t[0] - tokens[i][1] > 2 or "\n" in text[tokens[i][1] : t[0]] or low[i] in ("sir", "madam") or low[first] in FIRM_WORDS:
+            word = self.side(i)[0]
+            marks = any(y.name == "id" for y in self.all[i : i + len(self.left)])
+            for j in range(i + 1, min(n, i + LONGEST["ID"]) + 1):
+                x = t[j - 1]
+                if x.mark not in "dmc-":
+                    break
+                if x.mark == "-":
                     continue
+                kind = id_kind([y for y in t[i:j] if y.mark != "-"])
+                if kind:
+                    right, _ = self.after(j)
+                    self.arcs.append((i, j, "ID", ["I", f"I:{kind}", f"I:{kind}:{marks}", f"I:{kind}:L={word}", f"I:{kind}:n={j - i}", f"I:{kind}:R={right[:4]}"]))
+
+    def _addresses(self) -> None:
+        t, n = self.t, self.n
+        if not any(x.mark == "c" or (x.mark == "m" and x.place) for x in t):
+            return
+        starts = [i for i in range(n) if t[i].mark in "dmc#" and (i == 0 or t[i].mark in "d#c" or t[i - 1].mark not in "m" or t[i].place in ("U", "B") or not t[i - 1].place)]
+        ends = [j for j in range(1, n + 1) if t[j - 1].mark in "dmcu." and (j == n or t[j - 1].mark == "c" or t[j].mark not in "m" or not t[j].place)]
+        # how many tokens of each sort stand before a place
+        sums = [[0] * 10]
+        for x in t:
+            word = x.mark == "m"
+            sums.append([c + v for c, v in zip(sums[-1], (x.mark == "d" and x.role == "house", x.place == "K", x.mark == "c", word and bool(x.place), (word and not x.place) or x.mark == "u", x.mark == "d" and x.role != "house", x.mark == "d", x.mark == "\n", x.mark == ".", 0))])
+        kinds = [self._kind(x) for x in t]
+        after = {j: (self._part(j), self.after(j)[0], kinds[j - 1], kinds[j - 2] if j > 1 else "") for j in ends}
+        for i in starts:
+            word, gap, _ = self.side(i)
+            label = any(y.name == "place" for y in self.all[i : i + len(self.left)])
+            first, ahead = kinds[i], self._part(i - 1)
+            fixed = ["A", f"A:label={label}", f"A:first={first}", f"A:ahead={ahead}", f"A:{ahead}>{first}", f"A:L={word}", f"A:gap={gap}"]
+            for j in ends:
+                if j <= i or j - i > LONGEST["ADDRESS"]:
+                    continue
+                number, kind, code, words, unknown, odd, numbers, lines, dots, _ = (b - a for a, b in zip(sums[i], sums[j]))
+                if not (words or code) or words + code + (number > 0) < 2:
+                    continue
+                follows, right, last, second = after[j]
+                core = f"A:{number > 0:d}{min(kind, 2)}{min(code, 2)}"
+                self.arcs.append((i, j, "ADDRESS", [
+                    *fixed, core, f"{core}:{label}", f"A:words={min(words, 6)}", f"A:unknown={min(unknown, 4)}", f"A:odd={min(odd, 3)}", f"A:numbers={min(numbers, 4)}", f"A:lines={min(lines, 6)}", f"A:dots={min(dots, 3)}", f"A:last={last}",
+                    f"A:last2={second if j - i > 1 else ''} {last}", f"A:follows={follows}", f"A:{last}>{follows}", f"A:R={right if len(right) < 3 else ''}", f"A:code-end={code > 0}:{last}", f"A:share={round(unknown / (words + code + unknown), 1)}", f"A:{min(unknown, 3)}:{min(lines, 3)}:{code > 0}",
+                ]))
 
-            def joined(x: int, y: int) -> bool:
-                gap = text[tokens[x][1] : tokens[y][0]]
-                return gap == " "
+    @staticmethod
+    def _kind(x: Token) -> str:
+        if x.mark == "m":
+            return "m" + (x.place or "-" + x.case)
+        return x.role if x.mark == "d" else x.mark
 
-            while first and first > used + 1 and joined(first - 1, first) and (hit[first - 1] or low[first - 1] in PARTICLES or re.fullmatch(r"[A-Z]\.?", tokens[first - 1][2])) and low[first - 1] not in TITLES and low[first - 1] != "i":
-                first -= 1
-            while first < last and low[first] in PARTICLES and tokens[first][2].islower() and not hit[first] and low[first] in ("de", "le", "la"):
-                break
-            while last + 1 < n and joined(last, last + 1) and last - first + 1 < NAME_TOKENS:
-                w, k = tokens[last + 1][2], low[last + 1]
-                if hit[last + 1] or (k in PARTICLES and last + 2 < n and joined(last + 1, last + 2)) or re.fullmatch(r"[A-Z]\.", w):
-                    last += 1
-                elif w[:1].isupper() and k not in STOP and k not in FIRM_WORDS and k not in TITLES and k not in NAME_LABELS and last == first and len(w) > 2 and (not w.isupper() or tokens[last][2].isupper()) and not tokens[last][2].endswith("."):
-                    last += 1
-                else:
-                    break
-            while last > first and (low[last] in PARTICLES or (len(low[last]) < 2 and not tokens[last][2].endswith("."))):
-                last -= 1
-            a, b = tokens[first][0], tokens[last][1]
-            # surname first
-            if first > used + 1 and first and text[tokens[first - 1][1] : a] == ", " and tokens[first - 1][2].isupper() and len(low[first - 1]) > 2 and low[first - 1] not in STOP | FIRM_WORDS and (hit[first - 1] or text[: tokens[first - 1][0]].rstrip(" ")[-1:] in (":", "")):
-                f = first - 1
-                while f > used + 1 and joined(f - 1, f) and (low[f - 1] in PARTICLES or (hit[f - 1] and tokens[f - 1][2].isupper())):
-                    f -= 1
-                first, a = f, tokens[f][0]
-            elif last == first and last + 1 < n and text[b : tokens[last + 1][0]] == ", " and hit[last + 1] and tokens[last][2].isupper() and not tokens[last + 1][2].isupper() and len(low[last]) > 2:
-                last += 1
-                b = tokens[last][1]
-            s = text[a:b]
-            trimmed = s.rstrip("'’-–\"")
-            if trimmed.endswith(".") and not re.search(r"(?:^|[ .])[A-Z]\.$", trimmed):
-                trimmed = trimmed.rstrip(".")
-            trimmed = re.sub(r"['’]s$", "", trimmed)
-            b = a + len(trimmed)
-            used = last
-            left, right, begins, ends = _around(text, a, b)
-            inside = [k for k in range(first, last + 1)]
-            share = sum(hit[k] for k in inside) / len(inside)
-            title = first > 0 and low[first - 1] in TITLES and len(text[tokens[first - 1][1] : a]) <= 2
-            freq = max((names.get(low[k], 0) for k in inside), default=0)
-            case = "lower" if trimmed.islower() else "upper" if trimmed.isupper() else "mixed"
-            out.append(Segment(a, b, "NAME", trimmed, (
-                "name", f"name:n={len(inside)}", f"name:share={round(share, 1)}", f"name:left={left}", f"name:right={right if right in FIRM_WORDS else right[:4]}", f"name:firm={right in FIRM_WORDS}", f"name:title={title}",
-                f"name:line={begins}{ends}", f"name:case={case}:{len(inside) > 1}", f"name:freq={min(6, int(math.log2(freq + 1)))}", f"name:label={left in NAME_LABELS}",
-            )))
-        return out
-
-    def _is_place(self, token: str) -> bool:
-        t = token.lower().rstrip(".").replace("’", "'")
-        return t in self.places or t.replace("'", "") in self.places or bool(_POSTCODE.match(token))
-
-    def _addresses(self, text: str, digit: list[bool], label: list[bool]) -> list[Segment]:
-        out: list[Segment] = []
-        lines = text.split("\n")
-        at = [0]
-        for r in lines:
-            at.append(at[-1] + len(r) + 1)
-        k, n = 0, len(lines)
-        while k < n:
-            # an address begins where a label is, or with a number or postcode beside a kind of street
-            near = label[k] or (k > 0 and label[k - 1])
-            got = None
-            if (near and (digit[k] or any(digit[k + 1 : k + 5]))) or (digit[k] and self._likely(lines[k])):
-                got = self._address_from(lines, at, k, text)
-            if got is None:
-                k += 1
-            else:
-                out.append(got[0])
-                k = got[1]
-        return out
+    def _part(self, k: int) -> str:
+        """Class of the token at ``k`` of the chunk; of glue also that of the next token further out."""
+        x = self.all[k + len(self.left)]
+        return self._kind(x) if x.mark != "o" else ":" if x.name in (":", "dash", "|") else "o"
 
-    @staticmethod
-    def _likely(line: str) -> bool:
-        return bool(_CODE_IN.search(line)) or any(w in _KINDS_OF_STREET for w in _SPLIT(line.lower()))
-
-    def _tokens(self, line: str) -> list[tuple[int, int, str, str]]:
-        """(start, end, token, class): p place word, n number, c postcode, u unknown word, s separator, x breaking sign."""
-        if line in self.whole:
-            return self.whole[line]
-        out = []
-        for m in _ADDR_TOKEN.finditer(line):
-            w = m.group()
-            if _POSTCODE.match(w):
-                c = "c"
-            elif re.fullmatch(r"\d{1,4}[A-Za-z]?", w):
-                c = "n"
-            elif w in ",;/":
-                c = "s"
-            elif not (w[0].isalpha()):
-                c = "x"
-            elif self._is_place(w):
-                c = "p"
-            else:
-                c = "u"
-            out.append((m.start(), m.end(), w, c))
-        if len(self.whole) > 20_000:
-            self.whole.clear()
-        self.whole[line] = out
-        return out
-
-    def _address_from(self, lines: list[str], at: list[int], k: int, text: str):
-        line = lines[k]
-        toks = self._tokens(line)
-        if not toks or not any(t[3] in "pc" for t in toks):
-            return None
-        best = None
-        i = 0
-        while i < len(toks):
-            if toks[i][3] not in "pnc":
-                i += 1
-                continue
-            j = self._run(toks, i)
-            strong = self._strong(toks[i : j + 1])
-            label = bool(_LABEL_END.search(line[: toks[i][0]])) or (not line[: toks[i][0]].strip(" >|") and k > 0 and bool(_LABEL_END.search(lines[k - 1])))
-            ends = not line[toks[j][1] :].strip(" .\r")
-            last, stop = (k, toks[j][1])
-            body = toks[i : j + 1]
-            if ends:
-                m = k + 1
-                while m < len(lines) and m - k < 7 and lines[m].strip() and self._continues(lines[m], body):
-                    more = self._tokens(lines[m])
-                    body = body + [(0, 0, "\n", "s")] + more
-                    last, stop = m, more[-1][1]
-                    m += 1
-                    if not (strong or label) and self._strong(body):
-                        strong = True
-            strong = self._strong(body)
-            words = sum(t[3] == "p" for t in body)
-            if len(body) <= ADDRESS_TOKENS * 2 and (strong or (label and words >= 2)):
-                while body and body[-1][3] in "sx":
-                    body = body[:-1]
-                a, b = at[k] + toks[i][0], at[last] + stop
-                s = text[a:b].rstrip(" ,;/\r")
-                if s.endswith(".") and not re.search(r"(?i)\b[a-z]{1,6}\.$", s):
-                    s = s[:-1]
-                b = a + len(s)
-                code = any(t[3] == "c" for t in body)
-                left = _around(text, a, b)[0]
-                best = (Segment(a, b, "ADDRESS", s, ("addr", f"addr:code={code}", f"addr:strong={strong}", f"addr:label={label}", f"addr:lines={last - k}", f"addr:left={left}", f"addr:words={min(8, words)}", f"addr:unknown={min(3, sum(t[3] == 'u' for t in body))}", f"addr:ends={ends}")), max(last + (1 if last > k else 1), k + 1))
-                return best
-            i = j + 1
+
+def id_kind(part: list[Token]) -> str | None:
+    """The kind of identity number that the shapes of the tokens make together, if any."""
+    if any(x.shape == "X" or (x.mark == "m" and not x.upper) for x in part):
         return None
+    s = "".join("?" if x.mark == "m" else x.shape for x in part)
+    flat = re.sub(r"N(\d+)", lambda m: "0" * int(m[1]), re.sub(r"A(\d+)", lambda m: "a" * int(m[1]), s.replace("C1", "c").replace("B1", "b")))
+    if "?" in flat:
+        # words that stand alone: two letters before six figures and one after them, or the whole first part of a licence
+        first, last = (x.size if x.mark == "m" else 0 for x in (part[0], part[-1]))
+        if (first, last, flat.strip("?")) in ((2, 1, "000000"), (0, 1, "aa000000"), (2, 0, "000000c")):
+            return "ni"
+        return "licence" if first == 5 and re.fullmatch(r"\?000000[abc][abc0]{4}", flat) else None
+    if re.fullmatch(r"aa000000c", flat):
+        return "ni"
+    if re.fullmatch(r"[abc][abc0]{4}000000[abc][abc0]{4}", flat) or (part[0].case == "9" and re.fullmatch(r"[abc]{2,4}0{1,3}000000[abc][abc0]{4}", flat)):
+        return "licence"
+    if re.fullmatch(r"[abc]?0{8,9}", flat) and len(part) == 1:
+        return "passport"
+    return None
+
+
+def segment(arcs: list[tuple[int, int, str, list[str]]], n: int, weights: dict[str, float]) -> list[tuple[int, int, str]]:
+    """The best disjoint spans of a chunk of ``n`` tokens (Viterbi over the lattice; a token outside all spans costs nothing)."""
+    into: dict[int, list[tuple[int, float, str]]] = defaultdict(list)
+    for i, j, kind, feats in arcs:
+        v = sum(weights.get(f, 0.0) for f in feats)
+        if v > 0:
+            into[j].append((i, v, kind))
+    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    for j in range(1, n + 1):
+        best[j] = best[j - 1]
+        for i, v, kind in into.get(j, ()):
+            if best[i] + v > best[j]:
+                best[j], back[j] = best[i] + v, (i, kind)
+    out, j = [], n
+    while j > 0:
+        if back[j]:
+            i, kind = back[j]
+            out.append((i, j, kind))
+            j = i
+        else:
+            j -= 1
+    return out[::-1]
+
+
+class Chunks:
+    """Chunks of the fit: their lattices as arrays of feature numbers, the arcs of their labels and how often they stand."""
+
+    def __init__(self, data: dict[tuple[str, tuple], int], coder: Coder):
+        self.ids: dict[str, int] = {}
+        self.items: list[tuple[int, list[tuple[int, int, list[int]]], list[int], int]] = []
+        self.arcs: list[Lattice] = []
+        for (key, gold), times in data.items():
+            lattice = Lattice(key, coder)
+            spans = {(i, j, k): x for x, (i, j, k, _) in enumerate(lattice.arcs)}
+            if not all(g in spans for g in gold):
+                continue
+            self.items.append((lattice.n, [(i, j, [self.ids.setdefault(f, len(self.ids)) for f in feats]) for i, j, _, feats in lattice.arcs], [spans[g] for g in gold], times))
+
+
+def likelihood(n: int, arcs: list[tuple[int, int, list[int]]], gold: list[int], w: list[float], gradient: bool = True) -> tuple[float, list[float]]:
+    """Log likelihood of the labelled path of one chunk, and for each arc its label less its expectation."""
+    score = [sum([w[f] for f in fs]) for _, _, fs in arcs]
+    into: dict[int, list[int]] = defaultdict(list)
+    for x, (_, j, _) in enumerate(arcs):
+        into[j].append(x)
+    alpha = [0.0] * (n + 1)
+    for j in range(1, n + 1):
+        terms = [alpha[j - 1], *(alpha[arcs[x][0]] + score[x] for x in into.get(j, ()))]
+        top = max(terms)
+        alpha[j] = top + math.log(sum([math.exp(v - top) for v in terms]))
+    z = alpha[n]
+    value = sum(score[x] for x in gold) - z
+    if not gradient:
+        return value, []
+    # mass[j]: probability that a path passes the place before token j
+    mass, g = [0.0] * n + [1.0], [0.0] * len(arcs)
+    for j in range(n, 0, -1):
+        if mass[j] <= 1e-9:
+            continue
+        mass[j - 1] += mass[j] * math.exp(alpha[j - 1] - alpha[j])
+        for x in into.get(j, ()):
+            p = mass[j] * math.exp(alpha[arcs[x][0]] + score[x] - alpha[j])
+            mass[arcs[x][0]] += p
+            g[x] -= p
+    for x in gold:
+        g[x] += 1.0
+    return value, g
+
+
+def fit(data: dict[tuple[str, tuple], int], coder: Coder, rounds: int = 12, rate: float = 0.4, decay: float = 1e-3) -> dict[str, float]:
+    """Weights that maximise the likelihood of labelled chunks: adaptive gradient steps, a chunk at a time."""
+    chunks = Chunks(data, coder)
+    w, seen = [0.0] * len(chunks.ids), [1e-2] * len(chunks.ids)
+    for _ in range(rounds):
+        for n, arcs, gold, times in chunks.items:
+            if not arcs:
+                continue
+            _, g = likelihood(n, arcs, gold, w)
+            weight = math.sqrt(times)
+            step: dict[int, float] = defaultdict(float)
+            for x, v in enumerate(g):
+                if abs(v) > 1e-3:
+                    for f in arcs[x][2]:
+                        step[f] += v
+            for f, v in step.items():
+                v = v * weight - decay * w[f]
+                seen[f] += v * v
+                w[f] += rate * v / math.sqrt(seen[f])
+    return {f: round(w[k], 4) for f, k in chunks.ids.items() if abs(w[k]) > 1e-3}
+
+
+def labelled(texts: list[str], proposer: L.Proposer, coder: Coder) -> dict[tuple[str, tuple], int]:
+    """(key of a chunk, its labelled spans) -> how often it stands. Chunks that a doubtful or a cut span touches are left out."""
+    out: dict[tuple[str, tuple], int] = Counter()
+    for text in texts:
+        toks = tokens_of(text)
+        start, end, at = {}, {}, 0
+        for k, tok in enumerate(toks):
+            bare = tok.lstrip(" \t")
+            size = len(tok) - (bare[:1] == MAIL)
+            end[at + size] = k + 1
+            start[at + size - len(bare) + (bare[:1] == MAIL)] = k
+            at += size
+        spans, doubt = [], []
+        for s in proposer.segments(text):
+            y = L.certain(s, coder.prefixes)
+            a, b = start.get(s.start), end.get(s.end)
+            if y == 1 and a is not None and b is not None:
+                spans.append((a, b, s.kind, s.end - s.start))
+            elif y != 0:
+                doubt.append((s.start, s.end))
+        kept: list[tuple[int, int, str]] = []
+        for a, b, kind, _ in sorted(spans, key=lambda x: -x[3]):
+            if all(b <= p or q <= a for p, q, _ in kept):
+                kept.append((a, b, kind))
+        blur = {start[p] for a, b in doubt for p in range(a, b) if p in start}
+        for key, a, b in chunks_of(toks, coder):
+            if any(k in blur for k in range(a, b)) or any(p < a < q or p < b < q for p, q, _ in kept):
+                continue
+            out[(canonical(key, coder), tuple(sorted((p - a, q - a, kind) for p, q, kind in kept if a <= p and q <= b)))] += 1
+    return out
 
-    def _run(self, toks, i: int) -> int:
-        j = i
-        k = i + 1
-        while k < len(toks):
-            c = toks[k][3]
-            if c in "pnc":
-                j = k
-                k += 1
-            elif c == "s":
-                k += 1
-            elif c == "u" and toks[k][2].lower().rstrip(".") not in STOP and len(toks[k][2]) > 2:
-                # one unknown word (misspelt) may stand in an address: before more of it, or as the last part after a separator
-                nxt = k + 1
-                while nxt < len(toks) and toks[nxt][3] == "s":
-                    nxt += 1
-                if nxt < len(toks) and toks[nxt][3] in "pc":
-                    k = nxt
-                elif nxt >= len(toks) and toks[k - 1][3] == "s" and any(t[3] == "n" for t in toks[i:k]):
-                    j = k
-                    k = nxt
-                else:
-                    break
-            else:
-                break
-        return j
 
-    @staticmethod
-    def _strong(toks) -> bool:
-        if not any(t[3] in "pc" for t in toks):
-            return False
-        number = any(t[3] == "n" for t in toks)
-        kind = any(t[3] == "p" and t[2].lower().rstrip(".").replace("'", "").replace("’", "") in _KINDS_OF_STREET for t in toks)
-        code = any(t[3] == "c" for t in toks)
-        return (number and kind and len(toks) >= 3) or (code and (number or kind) and len(toks) >= 3)
-
-    def _continues(self, line: str, body) -> bool:
-        toks = self._tokens(line)
-        if not toks or any(t[3] == "x" for t in toks) or len(toks) > 14:
-            return False
-        bad = [t for t in toks if t[3] == "u"]
-        good = [t for t in toks if t[3] in "pc"]
-        if any(t[2].lower() in STOP or any(c.isdigit() for c in t[2]) for t in bad):
-            return False
-        if bad and (len(bad) > 1 or (not good and (len(toks) > 1 or line.strip().lower() in STOP or not any(t[3] == "n" for t in body)))):
-            return False
-        if bad and not good:
-            return len(bad[0][2]) > 4 and bad[0][2][:1].isupper()
-        if all(t[3] == "n" for t in toks):
-            return False
-        return bool(good)
-
-
-class Field:
-    """Weights of features, and the best set of disjoint segments."""
-
-    def __init__(self, weights: dict[str, float]):
-        self.w = weights
-
-    def potential(self, s: Segment) -> float:
-        w = self.w
-        return sum(w.get(f, 0.0) for f in s.feats)
-
-    def best(self, segments: list[Segment]) -> list[Segment]:
-        """Viterbi over segment ends: each segment may follow any that ended before it began; ordinary text costs nothing."""
-        segs = sorted(segments, key=lambda s: (s.end, s.start, s.kind))
-        scores = [self.potential(s) for s in segs]
-        ends: list[int] = [0]
-        value: list[float] = [0.0]
-        back: list[tuple[int, int]] = [(-1, -1)]
-        for i, s in enumerate(segs):
-            lo, hi = 0, len(ends)
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if ends[mid] <= s.start:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            p = lo - 1
-            v = value[p] + scores[i]
-            if v > value[-1]:
-                ends.append(s.end)
-                value.append(v)
-                back.append((p, i))
-        out = []
-        k = len(ends) - 1
-        while k > 0:
-            p, i = back[k]
-            out.append(segs[i])
-            k = p
-        return out[::-1]
-
-
-def certain(s: Segment) -> int | None:
-    """1 or 0 for a segment whose label or form leaves no doubt, else None."""
-    f = set(s.feats)
-    if s.kind == "EMAIL":
-        return 1
-    if s.kind == "PHONE":
-        return 0 if "phone:lab=ref" in f or "phone:wide=True" in f else 1 if "phone:lab=phone" in f or "phone:grouped" in f else None
-    if s.kind == "ID":
-        return 0 if "id:passport" in f and "id:near=False" in f else 1
-    if s.kind == "ADDRESS":
-        return 1 if "addr:strong=True" in f or "addr:label=True" in f else 0
-    if "name:firm=True" in f:
-        return 0
-    if "name:title=True" in f or "name:label=True" in f or ("name:share=1.0" in f and "name:n=1" not in f):
-        return 1
-    return 1 if "name:line=TrueTrue" in f and "name:share=1.0" in f else None
-
-
-def fit_field(texts: list[str], proposer: Proposer, rounds: int = 6, rate: float = 0.3, decay: float = 1e-4) -> Field:
-    w: dict[str, float] = defaultdict(float)
-    # beginnings of telephone numbers, from those that are set in groups
-    seen = Counter(national(s.text)[:4] for t in texts for s in proposer.segments(t) if s.kind == "PHONE" and "phone:grouped" in s.feats)
-    proposer.prefixes = {k for k, n in seen.items() if n >= 3}
-    data = [(s.feats, y) for t in texts for s in proposer.segments(t) if (y := certain(s)) is not None]
-    for r in range(rounds):
-        step = rate / (1 + r)
-        for feats, y in data:
-            z = sum(w[f] for f in feats)
-            g = y - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-            if abs(g) > 1e-3:
-                for f in feats:
-                    w[f] += step * (g - decay * w[f])
-    return Field({k: v for k, v in w.items() if abs(v) > 1e-3})
+class Tagger:
+    """Finds the personal data of texts; remembers the segmentation of each string of classes."""
+
+    def __init__(self, coder: Coder, weights: dict[str, float]):
+        self.coder, self.weights = coder, weights
+        self.known: dict[str, list[tuple[int, int, str]]] = {}
+        self.solved: dict[str, list[tuple[int, int, str]]] = {}
+
+    def spans(self, toks: list[str]) -> Iterator[tuple[int, int, str]]:
+        """(first, end, kind) of each piece, in tokens."""
+        known = self.known
+        for key, a, _ in chunks_of(toks, self.coder):
+            got = known.get(key)
+            if got is None:
+                got = self.best(key)
+            for i, j, kind in got:
+                yield a + i, a + j, kind
+
+    def best(self, key: str) -> list[tuple[int, int, str]]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if len(self.solved) > REMEMBERED:
+            self.solved.clear()
+        short = canonical(key, self.coder)
+        got = self.solved.get(short)
+        if got is None:
+            lattice = Lattice(short, self.coder)
+            got = self.solved[short] = segment(lattice.arcs, lattice.n, self.weights)
+        self.known[key] = got
+        return got
+
+    def pieces(self, text: str) -> set[tuple[str, str]]:
+        toks = tokens_of(text)
+        return {(kind, "".join(toks[a:b]).lstrip(" \t").replace(MAIL, "")) for a, b, kind in self.spans(toks)}
+
+    def redacted(self, text: str) -> str:
+        """``text`` with each piece replaced by the name of its kind in brackets."""
+        toks = tokens_of(text)
+        out, end = [], 0
+        for a, b, kind in self.spans(toks):
+            blank = toks[a][: len(toks[a]) - len(toks[a].lstrip(" \t"))]
+            out += [*toks[end:a], f"{blank}[{kind}]"]
+            end = b
+        return "".join([*out, *toks[end:]]).replace(MAIL, "")
 
 
 #: Values of labels that hold one name, and headers of mails; the part in parentheses is the name.
 _NAME_PLACES = (r"(?m)^[>| ]*\*?(?:From|Von) ?:\*? *([^<\n@:]{3,40}?) *(?:<|$)", r"(?m)^(?:Our Client|Client Name|Claimant|Name|Re) ?: *(?:(?:Mr|Mrs|Ms|Miss|Dr) )?([^\n\d@:()]{4,36})$", r"(?m)^I, ([^\n\d@:(),]{4,36}), confirm")
 _PLACE_VALUES = r"(?m)(?:Address|Location|Garage|inspect|located at) ?[:–-] ?\n?([^\n:@]{8,110})$"
+#: Numbers set in groups: the four figures after the nought tell telephone numbers from references.
+_GROUPED = r"(?<![\w+./:-])(\(?0\d{2,4}\)?[ .-]{1,2}\d{3,4}[ .-]?\d{3,4})(?!\d)"
+#: Least weight of an entry of each lexicon; a place in a fixture weighs five.
+LEAST = {"name": 2, "place": 5, "prefix": 3}
 
 
-def lexicons(models: DataFrame, fixtures: DataFrame) -> tuple[dict[str, int], set[str]]:
-    """Words of names with their counts, words of addresses."""
+def lexicon(models: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """kind (name, place, prefix), w, n: words of names and of addresses, beginnings of telephone numbers; counted in one pass over all texts."""
     value = lambda k: F.get(F.map_values(F.map_filter("expected_values", lambda key, _: key == k)), F.lit(0))
-    text = models.select(F.col("plain_text").alias("t")).where(F.col("t").isNotNull())
-    one = [text.select(F.explode(F.regexp_extract_all("t", F.lit(p), F.lit(1))).alias("v")) for p in _NAME_PLACES]
-    own = fixtures.select(F.regexp_replace(value("claimant_name"), r"[,(<\[].*$", "").alias("v")).where(F.col("v").isNotNull() & ~F.lower("v").rlike(r"\b(?:" + "|".join(sorted(FIRM_WORDS)) + r"|as above|see|not|known|tbc|advised|unknown)\b"))
-    words = one[0].unionByName(one[1]).unionByName(one[2]).unionByName(own).select(F.explode(F.split(F.lower("v"), r"[\s,]+")).alias("w"))
-    words = words.where((F.length("w") > 2) & F.col("w").rlike(r"^[^\d.]+$") & ~F.col("w").isin(*TITLES, *PARTICLES, *(w for w in STOP | FIRM_WORDS | NAME_LABELS if len(w) > 2), "tbc", "unknown", "known"))
-    names = words.groupBy("w").count().where(F.col("count") >= LEXICON_COUNT)
-    spots = fixtures.select(value("inspection_address").alias("v")).where(F.col("v").isNotNull()).withColumn("weight", F.lit(5)).unionByName(text.select(F.explode(F.regexp_extract_all("t", F.lit(_PLACE_VALUES), F.lit(1))).alias("v")).withColumn("weight", F.lit(1)))
-    pw = spots.select(F.explode(F.split(F.lower("v"), r"[\s,;/]+")).alias("w"), "weight").withColumn("w", F.regexp_replace(F.regexp_replace("w", r"[.]+$", ""), "[’']", ""))
-    places = pw.where((F.length("w") > 2) & F.col("w").rlike(r"^[\p{L}-]+$") & ~F.col("w").isin(*(w for w in STOP if len(w) > 2))).groupBy("w").agg(F.sum("weight").alias("n")).where(F.col("n") >= 5)
-    return {r["w"]: r["count"] for r in top_rows(names, "count", MOST_NAMES)}, {r["w"] for r in top_rows(places, "n", MOST_PLACES)}
+    spot = lambda kind, v, weight=1: F.struct(F.lit(kind).alias("kind"), v.alias("v"), F.lit(weight).alias("weight"))
+    spots_of = lambda kind, p: F.transform(F.regexp_extract_all("plain_text", F.lit(p), F.lit(1)), lambda v: spot(kind, F.substring(F.regexp_replace(v, r"\D", ""), 2, 4) if kind == "prefix" else v))
+    found = [spots_of(kind, p) for kind, p in (*(("name", p) for p in _NAME_PLACES), ("place", _PLACE_VALUES), ("prefix", _GROUPED))]
+    firm = F.lower(value("claimant_name")).rlike(r"\b(?:" + "|".join(sorted(L.FIRM_WORDS)) + r"|as above|see|not|known|tbc|advised|unknown)\b")
+    own = F.when(~firm, F.regexp_replace(value("claimant_name"), r"[,(<\[].*$", ""))
+    spots = models.select(F.explode(F.concat(*found)).alias("s")).unionByName(fixtures.select(F.explode(F.array(spot("name", own), spot("place", value("inspection_address"), 5))).alias("s"))).select("s.*").where(F.col("v").isNotNull())
+    words = spots.groupBy("kind", "v").agg(F.sum("weight").alias("n")).select("kind", F.explode(F.split(F.lower("v"), r"[\s,;/]+")).alias("w"), "n")
+    words = words.withColumn("w", F.when(F.col("kind") == "place", F.regexp_replace(F.regexp_replace("w", r"[.]+$", ""), "[’']", "")).otherwise(F.replace("w", F.lit("’"), F.lit("'"))))
+    stop = tuple(w for w in L.STOP if len(w) > 2)
+    fit = (
+        F.when(F.col("kind") == "name", F.col("w").rlike(r"^[^\d.]+$") & ~F.col("w").isin(*L.TITLES, *L.PARTICLES, *stop, *L.FIRM_WORDS, *L.NAME_LABELS, "tbc", "unknown", "known"))
+        .when(F.col("kind") == "place", F.col("w").rlike(r"^[\p{L}-]+$") & ~F.col("w").isin(*stop)).otherwise(True)
+    )
+    least = F.when(F.col("kind") == "name", LEAST["name"]).when(F.col("kind") == "place", LEAST["place"]).otherwise(LEAST["prefix"])
+    return words.where((F.length("w") > 2) & fit).groupBy("kind", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def texts_of(models: DataFrame, fixtures: DataFrame) -> DataFrame:
@@ -478,58 +615,103 @@ def texts_of(models: DataFrame, fixtures: DataFrame) -> DataFrame:
     return a.unionByName(b).where(F.col("text").isNotNull() & (F.col("text") != ""))
 
 
-@lru_cache(maxsize=2)
-def _tagger(holder) -> tuple[Proposer, Field]:
-    names, places, prefixes, weights = holder.value
-    proposer = Proposer(names, places)
-    proposer.prefixes = prefixes
-    return proposer, Field(weights)
+class Words:
+    """Lexicons: the broadcast part and, over it, the entries that came with one text."""
+
+    def __init__(self, base: list[tuple[str, str]], more: Iterable[tuple[str, str]] = ()):
+        self.of = {k: {w: 1 for kind, w in chain(base, more) if kind == k} for k in LEAST}
+
+    def coder(self, more: Iterable[tuple[str, str]] = ()) -> Coder:
+        more = list(more)
+        names, places, prefixes = (_Over({w for kind, w in more if kind == k}, self.of[k]) if more else self.of[k] for k in ("name", "place", "prefix"))
+        return Coder(names, places, prefixes)
+
+
+class _Over:
+    def __init__(self, own: set[str], base: dict[str, int]):
+        self.own, self.base = own, base
+
+    def __contains__(self, w: str) -> bool:
+        return w in self.own or w in self.base
 
+    def get(self, w: str, default: int = 0) -> int:
+        return 1 if w in self else default
 
-def train(models: DataFrame, fixtures: DataFrame):
-    names, places = lexicons(models, fixtures)
-    sample = bounded_sample(models.select("plain_text", "model_id").where(F.col("plain_text").isNotNull()), "model_id", FIT_TEXTS)
-    proposer = Proposer(names, places)
-    field = fit_field([r["plain_text"] for r in sample], proposer)
-    return names, places, proposer.prefixes, field.w
 
+def keys_of(text: str) -> set[tuple[str, str]]:
+    """(kind, word) of all that a lexicon may be asked for in a text."""
+    out = set()
+    for tok in set(tokens_of(text)):
+        w = tok.lstrip(" \t\n>|")
+        base = w.lower().replace("’", "'").rstrip("'.")
+        if w.isdigit():
+            out.add(("prefix", w[1:5]))
+        elif base:
+            out |= {("name", base), ("place", base), ("place", base.replace("'", ""))}
+    return out
 
-def tag(text: str, proposer: Proposer, field: Field) -> list[Segment]:
-    return [s for s in field.best(proposer.segments(text)) if field.potential(s) > 0]
 
+def with_entries(src: DataFrame, rest: DataFrame) -> DataFrame:
+    """``src`` with ``more``: the entries beyond the broadcast part that its text may ask for."""
 
-def redact(text: str, segments: list[Segment]) -> str:
-    """``text`` with each segment replaced by the name of its kind in brackets."""
-    out, end = [], 0
-    for s in segments:
-        out += [text[end : s.start], f"[{s.kind}]"]
-        end = s.end
-    return "".join([*out, text[end:]])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place, rec, text in zip(*(c.to_pylist() for c in b.columns)):
+                keys = sorted(keys_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array([place] * len(keys), pa.string()), pa.array([rec] * len(keys), pa.int64()), pa.array([k for k, _ in keys], pa.string()), pa.array([w for _, w in keys], pa.string())], names=["place", "rec_id", "kind", "w"])
 
+    asked = src.select("place", "rec_id", "text").mapInArrow(run, "place string, rec_id bigint, kind string, w string").join(rest.select("kind", "w"), ["kind", "w"])
+    return src.join(asked.groupBy("place", "rec_id").agg(F.collect_set(F.struct("kind", "w")).alias("more")), ["place", "rec_id"], "left")
 
-def find_personal(models: DataFrame, fixtures: DataFrame, redacted: bool = False) -> DataFrame:
+
+@lru_cache(maxsize=2)
+def _tagger(holder) -> tuple[Words, Tagger]:
+    base, weights = holder.value
+    words = Words(base)
+    return words, Tagger(words.coder(), weights)
+
+
+def train(models: DataFrame, fixtures: DataFrame, most: int = MOST_WORDS) -> tuple[list[tuple[str, str]], DataFrame | None, dict[str, float]]:
+    """(broadcast entries, the entries beyond them if any, weights)."""
+    top, rest = top_and_rest(lexicon(models, fixtures), "n", most)
+    base = [(r["kind"], r["w"]) for r in top]
+    texts = [r["plain_text"] for r in bounded_sample(models.select("plain_text", "model_id").where(F.col("plain_text").isNotNull()), "model_id", FIT_TEXTS)]
+    more: list[tuple[str, str]] = []
+    if rest is not None:
+        asked = models.sparkSession.createDataFrame(sorted(set().union(*map(keys_of, texts))) or [("", "")], "kind string, w string")
+        more = [(r["kind"], r["w"]) for r in rest.select("kind", "w").join(F.broadcast(asked), ["kind", "w"]).collect()]  # at most the words of the sample
+    words = Words(base, more)
+    coder = words.coder()
+    return base, rest, fit(labelled(texts, L.Proposer(words.of["name"], set(words.of["place"])), coder), coder)
+
+
+def find_personal(models: DataFrame, fixtures: DataFrame, redacted: bool = False, most: int = MOST_WORDS) -> DataFrame:
     """place, rec_id, kind, surface of each distinct piece of personal data; with ``redacted`` place, rec_id, text with placeholders.
 
     Null and empty texts give no row; repeated rows of a record count once; a text without personal data comes out
-    unchanged. Texts are searched whole, whatever their length.
+    unchanged. Texts are searched whole, whatever their length. most: entries of the lexicons that are broadcast; the result
+    does not depend on it.
     """
-    data = models.sparkSession.sparkContext.broadcast(train(models, fixtures))
+    base, rest, weights = train(models, fixtures, most)
+    data = models.sparkSession.sparkContext.broadcast((base, weights))
     src = texts_of(models, fixtures)
+    src = src.withColumn("more", F.lit(None).cast("array<struct<kind:string,w:string>>")) if rest is None else with_entries(src, rest)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        proposer, field = _tagger(data)
+        words, common = _tagger(data)
         for b in batches:
             cols: list[list] = [[], [], [], []]
-            for place, rec, text in zip(*(c.to_pylist() for c in b.columns)):
-                segs = tag(text, proposer, field)
+            for place, rec, text, more in zip(*(c.to_pylist() for c in b.columns)):
+                tagger = Tagger(words.coder((x["kind"], x["w"]) for x in more), common.weights) if more else common
                 if redacted:
-                    for c, v in zip(cols, (place, rec, redact(text, segs))):
+                    for c, v in zip(cols, (place, rec, tagger.redacted(text))):
                         c.append(v)
                 else:
-                    for kind, surface in sorted({(s.kind, s.text) for s in segs}):
+                    for kind, surface in sorted(tagger.pieces(text)):
                         for c, v in zip(cols, (place, rec, kind, surface)):
                             c.append(v)
             names = ["place", "rec_id", "text"] if redacted else ["place", "rec_id", "kind", "surface"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "rec_id" else pa.string()) for c, n in zip(cols, names)], names=names)
 
+    src = src.select("place", "rec_id", "text", "more")
     return src.mapInArrow(run, "place string, rec_id bigint, text string" if redacted else "place string, rec_id bigint, kind string, surface string").dropDuplicates()

@@ -305,16 +305,71 @@ def test_personal_data(spark):
     assert red[("model", 0)].startswith("Dear [NAME],\nOur Client: Mr [NAME]\nInspection Address: [ADDRESS]\nMobile [PHONE]\nEmail: [EMAIL]\nRef - 02986208885\nNI No: [ID]\n")
 
 
+def random_lattice(rng):
+    n = rng.randint(1, 6)
+    arcs = sorted({(i, rng.randint(i + 1, n)) for i in rng.choices(range(n), k=5)})
+    return n, [(i, j, rng.choice(pii.KINDS), [f"f{rng.randrange(8)}", f"g{rng.randrange(8)}"]) for i, j in arcs]
+
+
+def paths(arcs):
+    for mask in range(1 << len(arcs)):
+        pick = [x for x in range(len(arcs)) if mask >> x & 1]
+        if all(arcs[x][1] <= arcs[y][0] or arcs[y][1] <= arcs[x][0] for x in pick for y in pick if x < y):
+            yield pick
+
+
 def test_best_segments_equal_brute_force():
     rng = random.Random(7)
     for _ in range(200):
-        segs = [pii.Segment(a := rng.randrange(20), a + rng.randint(1, 8), "NAME", "", (f"f{rng.randrange(12)}",)) for _ in range(rng.randint(0, 9))]
-        f = pii.Field({f"f{k}": rng.uniform(-2, 3) for k in range(12)})
-        best = 0.0
-        for mask in range(1 << len(segs)):
-            pick = [s for i, s in enumerate(segs) if mask >> i & 1]
-            if all(p.end <= q.start or q.end <= p.start for i, p in enumerate(pick) for q in pick[i + 1 :]):
-                best = max(best, sum(map(f.potential, pick)))
-        got = f.best(segs)
-        assert sum(map(f.potential, got)) == pytest.approx(best)
-        assert all(p.end <= q.start for p, q in zip(got, got[1:]))
+        n, arcs = random_lattice(rng)
+        w = {f"{c}{k}": rng.uniform(-2, 2) for c in "fg" for k in range(8)}
+        score = lambda pick: sum(w[f] for x in pick for f in arcs[x][3])  # noqa: E731, B023
+        got = pii.segment(arcs, n, w)
+        spans = {(i, j, k): x for x, (i, j, k, _) in enumerate(arcs)}
+        assert score([spans[g] for g in got]) == pytest.approx(max(map(score, paths(arcs))))
+
+
+def test_likelihood_and_gradient_equal_brute_force():
+    import math
+
+    rng = random.Random(8)
+    for _ in range(50):
+        n, named = random_lattice(rng)
+        ids = {f: k for k, f in enumerate(sorted({f for a in named for f in a[3]}))}
+        arcs = [(i, j, [ids[f] for f in fs]) for i, j, _, fs in named]
+        w = [rng.uniform(-2, 2) for _ in ids]
+        weigh = lambda pick: math.exp(sum(w[f] for x in pick for f in arcs[x][2]))  # noqa: E731, B023
+        every = list(paths(arcs))
+        z, gold = sum(map(weigh, every)), rng.choice(every)
+        value, g = pii.likelihood(n, arcs, gold, w)
+        assert value == pytest.approx(math.log(weigh(gold) / z))
+        assert g == pytest.approx([(x in gold) - sum(weigh(p) for p in every if x in p) / z for x in range(len(arcs))])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aZ0 9\n>|.,'’-@(+)[]dot\u00e9\u00a0\t/:;"), max_size=80))
+def test_tokens_put_together_are_the_text(text):
+    assert "".join(pii.tokens_of(text)).replace(pii.MAIL, "") == text
+
+
+def test_held_out_chunks(spark):
+    """The field learns what the labels mean, not the labelled chunks: likelihood and accuracy on texts it has not seen."""
+    rng = random.Random(9)
+    first, last = ["Ann", "Bob", "Cleo", "Dara"], ["Quenwold", "Trowmore", "Ibbick", "Vellarra"]
+    names = {w.lower(): 9 for w in first + last}
+    say = ["Our Client: Mr {0}\n", "Kind regards,\n{0}\n", "Please ring {1} today.\n", "Mobile {1}\n", "Our Ref: 02986208885\n", "Inspection Address: {2}\n", "The van was late.\n"]
+    make = lambda: "".join(rng.sample(say, 6)).format(f"{rng.choice(first)} {rng.choice(last)}", f"07700 900 {rng.randrange(100, 999)}", f"{rng.randrange(1, 90)} Larchbank Road, Aldford, AD1 2AB")
+    places = {"larchbank": 1, "aldford": 1}
+    coder, proposer = pii.Coder(names, places, {"7700": 1}), pii.L.Proposer(names, set(places))
+    seen, held = pii.labelled([make() for _ in range(80)], proposer, coder), pii.labelled([make() for _ in range(80)], proposer, coder)
+    w = pii.fit(seen, coder)
+    right = {(k, g) for k, g in held if tuple(pii.segment((x := pii.Lattice(k, coder)).arcs, x.n, w)) == g}
+    assert sum(held[x] for x in right) > 0.98 * sum(held.values()) and any(g for _, g in held)
+
+
+def test_bounded_lexicons_change_nothing(spark):
+    people = [f"{a} {b}" for a in ("Ann", "Bob", "Cleo") for b in ("Quenwold", "Trowmore", "Ibbick")]
+    m = spark.createDataFrame([(i, f"Our Client: Mr {p}\nInspection Address: 12 Larchbank Road, Aldford, AD1 2AB\nThanks,\n{p}\n{p} rang 07700 900 123") for i, p in enumerate(people * 4)], "model_id long, plain_text string")
+    x = spark.createDataFrame([(500, {"claimant_name": "Ann Ibbick"})], "record_id long, expected_values map<string,string>")
+    full = {tuple(r) for r in pii.find_personal(m, x).collect()}
+    assert full and all({tuple(r) for r in pii.find_personal(m, x, most=n).collect()} == full for n in (0, 4))
