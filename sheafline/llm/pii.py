@@ -19,7 +19,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,11 +67,13 @@ _CHUNK = re.compile(rf"(?:{_IN}|[+(](?={_FIGURE})|#(?=w?\.?w?{_FIGURE}))(?:{_GLU
 class Token:
     """What the features see of a token: its coarse class (``mark``), a name, and for words, figures and mixed tokens their parts."""
 
-    __slots__ = ("mark", "name", "lex", "place", "case", "role", "shape", "digits", "lead", "known", "upper", "size")
+    __slots__ = ("mark", "name", "lex", "place", "case", "role", "shape", "digits", "lead", "known", "upper", "size", "begins", "short")
 
     def __init__(self, mark: str, name: str, lex: int = 0, place: str = "", case: str = "", role: str = "", shape: str = "", digits: int = 0, lead: str = "", known: bool = False, size: int = 0):
         self.mark, self.name, self.lex, self.place, self.case, self.role, self.shape, self.digits, self.lead, self.known = mark, name, lex, place, case, role, shape, digits, lead, known
         self.upper, self.size = case in ("U", "i"), size
+        self.short = f"{lex}{place}{case}{role[:1]}" if mark == "m" else mark
+        self.begins = shape[:1] == "A" or shape in ("N8", "N9")  # an identity number may begin here
 
 
 class Coder(dict):
@@ -235,8 +236,44 @@ def chunks_of(toks: list[str], coder: Coder) -> Iterator[tuple[str, int, int]]:
         yield f"{codes[a - _BEFORE:a].translate(coder.outside)}\0{codes[a:b]}\0{codes[b:b + _AFTER].translate(coder.outside)}", a - _BEFORE, b - _BEFORE
 
 
+@lru_cache(maxsize=REMEMBERED)
+def features(part: tuple) -> tuple[str, ...]:
+    """The features of a part of a span; what a span's parts hold is put together in ``Lattice``."""
+    sort, *x = part
+    if sort == "name":
+        kinds, known, words, places, commas, case, word, gap, right, more = x
+        full = known == words
+        return (
+            "N", f"N:known={known}/{words}", f"N:seq={' '.join(kinds) if words < 5 else 'long'}", f"N:first={kinds[0]}", f"N:last={kinds[-1]}", f"N:L={word}", f"N:L={word}{gap}", f"N:gap={gap}:{case}{min(words, 3)}", f"N:R={right}", f"N:R2={right} {more}",
+            f"N:{known > 0}:{word}", f"N:{full}:{words > 1}:{case}", f"N:{right}:{kinds[-1]}", f"N:place={places}/{words}", f"N:comma={commas}", f"N:{full}:{gap}:{right}", f"N:{full}:{word}:{gap}:{words > 1}",
+        )
+    if sort == "mail":
+        return "E", f"E:L={x[0]}"
+    if sort == "phone":
+        groups, digits, front, word, role, known, near, right = x
+        plain = len(groups) == 1
+        return (
+            "P", f"P:form={' '.join(groups)}", f"P:digits={digits}:{front}", f"P:front={front}", f"P:role={role}", f"P:L={word}", f"P:{role}:{plain}", f"P:known={known}:{plain}:{role}", f"P:known={known}", f"P:near={near}", f"P:R={right}", f"P:plain={plain}",
+        )
+    if sort == "id":
+        kind, told, word, size, right = x
+        return "I", f"I:{kind}", f"I:{kind}:{told}", f"I:{kind}:L={word}", f"I:{kind}:n={size}", f"I:{kind}:R={right}"
+    if sort == "start":
+        label, first, ahead, word, gap = x
+        return "A", f"A:label={label}", f"A:first={first}", f"A:ahead={ahead}", f"A:{ahead}>{first}", f"A:L={word}", f"A:gap={gap}"
+    if sort == "end":
+        last, second, follows, right = x
+        return f"A:last={last}", f"A:last2={second} {last}", f"A:follows={follows}", f"A:{last}>{follows}", f"A:R={right}"
+    number, kind, code, words, unknown, odd, numbers, lines, dots, label, last = x
+    core = f"A:{number > 0:d}{min(kind, 2)}{min(code, 2)}"
+    return (
+        core, f"{core}:{label}", f"A:words={min(words, 6)}", f"A:unknown={min(unknown, 4)}", f"A:odd={min(odd, 3)}", f"A:numbers={min(numbers, 4)}", f"A:lines={min(lines, 6)}", f"A:dots={min(dots, 3)}", f"A:code-end={code > 0}:{last}",
+        f"A:share={round(unknown / (words + code + unknown), 1)}", f"A:{min(unknown, 3)}:{min(lines, 3)}:{code > 0}",
+    )
+
+
 class Lattice:
-    """The admissible spans of a chunk: (first, end, kind, features)."""
+    """The admissible spans of a chunk: (first, end, kind, parts); ``features`` says what each part means."""
 
     def __init__(self, key: str, coder: Coder):
         before, inner, after = key.split("\0")
@@ -246,7 +283,7 @@ class Lattice:
         self.right = [t[c] for c in after]
         self.n = len(self.t)
         self.all = self.left + self.t + self.right
-        self.arcs: list[tuple[int, int, str, list[str]]] = []
+        self.arcs: list[tuple[int, int, str, tuple[tuple, ...]]] = []
         self._names()
         self._figures()
         self._addresses()
@@ -272,7 +309,7 @@ class Lattice:
         for i in range(n):
             if t[i].mark != "m" or (t[i].case == "l" and not t[i].lex and t[i].role != "particle"):
                 continue
-            word, gap, near = self.side(i)
+            word, gap, _ = self.side(i)
             led = word in _LEADS
             words, known, commas, places = 0, 0, 0, 0
             for j in range(i + 1, min(n, i + LONGEST["NAME"]) + 1):
@@ -291,20 +328,16 @@ class Lattice:
                 if not known and not led:  # words that nothing marks as names are none
                     continue
                 right, next_one = self.after(j)
-                kinds = [f"{y.lex}{y.place}{y.case}{y.role[:1]}" if y.mark == "m" else y.mark for y in t[i:j]]
+                kinds = tuple(y.short for y in t[i:j])
                 case = "l" if all(y.case == "l" for y in t[i:j] if y.mark == "m") else "U" if all(y.upper for y in t[i:j] if y.mark == "m") else "T"
-                self.arcs.append((i, j, "NAME", [
-                    "N", f"N:n={words}", f"N:known={known}/{words}", f"N:seq={' '.join(kinds) if words < 5 else 'long'}", f"N:first={kinds[0]}", f"N:last={kinds[-1]}", f"N:L={word}", f"N:L={word}{gap}", f"N:gap={gap}:{case}{min(words, 3)}", f"N:near={near}",
-                    f"N:R={right}", f"N:R2={right} {next_one if right in _SOFT else ''}", f"N:comma={commas}", f"N:{known > 0}:{word}", f"N:{known == words}:{words > 1}:{case}", f"N:{right}:{kinds[-1]}", f"N:place={places}/{words}",
-                    f"N:{known == words}:{gap}:{right}", f"N:{known == words}:{word}:{gap}:{words > 1}",
-                ]))
+                self.arcs.append((i, j, "NAME", (("name", kinds, known, words, places, commas, case, word, gap, right, next_one if right in _SOFT else ""),)))
 
     def _figures(self) -> None:
         t, n = self.t, self.n
         for i in range(n):
             if t[i].mark == "e":
                 word, gap, _ = self.side(i)
-                self.arcs.append((i, i + 1, "EMAIL", ["E", f"E:L={word}"]))
+                self.arcs.append((i, i + 1, "EMAIL", (("mail", word),)))
             if t[i].mark not in "d+(":
                 continue
             word, _, near = self.side(i)
@@ -321,16 +354,12 @@ class Lattice:
                 groups.append(str(x.digits))
                 if 9 <= digits <= 15:
                     right = self.after(j)[0]
-                    plain = len(groups) == 1
                     front = t[i].mark if t[i].mark in "+(" else lead
-                    self.arcs.append((i, j, "PHONE", [
-                        "P", f"P:form={' '.join(groups)}", f"P:digits={digits}:{front}", f"P:front={front}", f"P:role={role}", f"P:L={word}", f"P:{role}:{plain}", f"P:known={known}:{plain}:{role}", f"P:known={known}", f"P:near={near}", f"P:R={right}", f"P:plain={plain}",
-                    ]))
+                    self.arcs.append((i, j, "PHONE", (("phone", tuple(groups), digits, front, word, role, known, near, right),)))
         # identity numbers: the shapes of neighbouring tokens together
-        if sum(x.digits or 6 * (x.mark == "d") for x in t) < 6:
-            return
         for i in range(n):
-            if t[i].mark not in "dm" or (t[i].mark == "m" and t[i].size not in (2, 5)):
+            x = t[i]
+            if not (x.begins if x.mark == "d" else x.mark == "m" and x.upper and x.size in (2, 5)):
                 continue
             word = self.side(i)[0]
             marks = any(y.name == "id" for y in self.all[i : i + len(self.left)])
@@ -343,7 +372,7 @@ class Lattice:
                 kind = id_kind([y for y in t[i:j] if y.mark != "-"])
                 if kind:
                     right, _ = self.after(j)
-                    self.arcs.append((i, j, "ID", ["I", f"I:{kind}", f"I:{kind}:{marks}", f"I:{kind}:L={word}", f"I:{kind}:n={j - i}", f"I:{kind}:R={right[:4]}"]))
+                    self.arcs.append((i, j, "ID", (("id", kind, marks, word, j - i, right[:4]),)))
 
     def _addresses(self) -> None:
         t, n = self.t, self.n
@@ -352,29 +381,27 @@ class Lattice:
         starts = [i for i in range(n) if t[i].mark in "dmc#" and (i == 0 or t[i].mark in "d#c" or t[i - 1].mark not in "m" or t[i].place in ("U", "B") or not t[i - 1].place)]
         ends = [j for j in range(1, n + 1) if t[j - 1].mark in "dmcu." and (j == n or t[j - 1].mark == "c" or t[j].mark not in "m" or not t[j].place)]
         # how many tokens of each sort stand before a place
-        sums = [[0] * 10]
+        sums = [[0] * 9]
         for x in t:
             word = x.mark == "m"
-            sums.append([c + v for c, v in zip(sums[-1], (x.mark == "d" and x.role == "house", x.place == "K", x.mark == "c", word and bool(x.place), (word and not x.place) or x.mark == "u", x.mark == "d" and x.role != "house", x.mark == "d", x.mark == "\n", x.mark == ".", 0))])
+            sums.append([c + v for c, v in zip(sums[-1], (x.mark == "d" and x.role == "house", x.place == "K", x.mark == "c", word and bool(x.place), (word and not x.place) or x.mark == "u", x.mark == "d" and x.role != "house", x.mark == "d", x.mark == "\n", x.mark == "."))])
         kinds = [self._kind(x) for x in t]
-        after = {j: (self._part(j), self.after(j)[0], kinds[j - 1], kinds[j - 2] if j > 1 else "") for j in ends}
+        after = {}
+        for j in ends:
+            right = self.after(j)[0]
+            after[j] = ("end", kinds[j - 1], kinds[j - 2] if j > 1 else "", self._part(j), right if len(right) < 3 else "")
         for i in starts:
             word, gap, _ = self.side(i)
             label = any(y.name == "place" for y in self.all[i : i + len(self.left)])
-            first, ahead = kinds[i], self._part(i - 1)
-            fixed = ["A", f"A:label={label}", f"A:first={first}", f"A:ahead={ahead}", f"A:{ahead}>{first}", f"A:L={word}", f"A:gap={gap}"]
+            start = ("start", label, kinds[i], self._part(i - 1), word, gap)
+            a = sums[i]
             for j in ends:
                 if j <= i or j - i > LONGEST["ADDRESS"]:
                     continue
-                number, kind, code, words, unknown, odd, numbers, lines, dots, _ = (b - a for a, b in zip(sums[i], sums[j]))
-                if not (words or code) or words + code + (number > 0) < 2:
-                    continue
-                follows, right, last, second = after[j]
-                core = f"A:{number > 0:d}{min(kind, 2)}{min(code, 2)}"
-                self.arcs.append((i, j, "ADDRESS", [
-                    *fixed, core, f"{core}:{label}", f"A:words={min(words, 6)}", f"A:unknown={min(unknown, 4)}", f"A:odd={min(odd, 3)}", f"A:numbers={min(numbers, 4)}", f"A:lines={min(lines, 6)}", f"A:dots={min(dots, 3)}", f"A:last={last}",
-                    f"A:last2={second if j - i > 1 else ''} {last}", f"A:follows={follows}", f"A:{last}>{follows}", f"A:R={right if len(right) < 3 else ''}", f"A:code-end={code > 0}:{last}", f"A:share={round(unknown / (words + code + unknown), 1)}", f"A:{min(unknown, 3)}:{min(lines, 3)}:{code > 0}",
-                ]))
+                b = sums[j]
+                words, code = b[3] - a[3], b[2] - a[2]
+                if (words or code) and words + code + (b[0] > a[0]) > 1:
+                    self.arcs.append((i, j, "ADDRESS", (start, after[j], ("part", b[0] - a[0], b[1] - a[1], code, words, b[4] - a[4], b[5] - a[5], b[6] - a[6], b[7] - a[7], b[8] - a[8], label, kinds[j - 1]))))
 
     @staticmethod
     def _kind(x: Token) -> str:
@@ -409,13 +436,34 @@ def id_kind(part: list[Token]) -> str | None:
     return None
 
 
-def segment(arcs: list[tuple[int, int, str, list[str]]], n: int, weights: dict[str, float]) -> list[tuple[int, int, str]]:
+class Weights(dict):
+    """Weights of features; the sums of parts are remembered."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__(weights)
+        self.parts: dict[tuple, float] = {}
+
+    def score(self, parts: tuple[tuple, ...]) -> float:
+        total = 0.0
+        for p in parts:
+            v = self.parts.get(p)
+            if v is None:
+                if len(self.parts) > REMEMBERED:
+                    self.parts.clear()
+                v = self.parts[p] = sum([self.get(f, 0.0) for f in features(p)])
+            total += v
+        return total
+
+
+def segment(arcs: list[tuple[int, int, str, tuple[tuple, ...]]], n: int, weights: Weights) -> list[tuple[int, int, str]]:
     """The best disjoint spans of a chunk of ``n`` tokens (Viterbi over the lattice; a token outside all spans costs nothing)."""
     into: dict[int, list[tuple[int, float, str]]] = defaultdict(list)
-    for i, j, kind, feats in arcs:
-        v = sum(weights.get(f, 0.0) for f in feats)
+    for i, j, kind, parts in arcs:
+        v = weights.score(parts)
         if v > 0:
             into[j].append((i, v, kind))
+    if not into:
+        return []
     best, back = [0.0] * (n + 1), [None] * (n + 1)
     for j in range(1, n + 1):
         best[j] = best[j - 1]
@@ -439,13 +487,12 @@ class Chunks:
     def __init__(self, data: dict[tuple[str, tuple], int], coder: Coder):
         self.ids: dict[str, int] = {}
         self.items: list[tuple[int, list[tuple[int, int, list[int]]], list[int], int]] = []
-        self.arcs: list[Lattice] = []
         for (key, gold), times in data.items():
             lattice = Lattice(key, coder)
             spans = {(i, j, k): x for x, (i, j, k, _) in enumerate(lattice.arcs)}
             if not all(g in spans for g in gold):
                 continue
-            self.items.append((lattice.n, [(i, j, [self.ids.setdefault(f, len(self.ids)) for f in feats]) for i, j, _, feats in lattice.arcs], [spans[g] for g in gold], times))
+            self.items.append((lattice.n, [(i, j, [self.ids.setdefault(f, len(self.ids)) for part in parts for f in features(part)]) for i, j, _, parts in lattice.arcs], [spans[g] for g in gold], times))
 
 
 def likelihood(n: int, arcs: list[tuple[int, int, list[int]]], gold: list[int], w: list[float], gradient: bool = True) -> tuple[float, list[float]]:
@@ -536,7 +583,7 @@ class Tagger:
     """Finds the personal data of texts; remembers the segmentation of each string of classes."""
 
     def __init__(self, coder: Coder, weights: dict[str, float]):
-        self.coder, self.weights = coder, weights
+        self.coder, self.weights = coder, Weights(weights)
         self.known: dict[str, list[tuple[int, int, str]]] = {}
         self.solved: dict[str, list[tuple[int, int, str]]] = {}
 
@@ -582,7 +629,7 @@ class Tagger:
 _NAME_PLACES = (r"(?m)^[>| ]*\*?(?:From|Von) ?:\*? *([^<\n@:]{3,40}?) *(?:<|$)", r"(?m)^(?:Our Client|Client Name|Claimant|Name|Re) ?: *(?:(?:Mr|Mrs|Ms|Miss|Dr) )?([^\n\d@:()]{4,36})$", r"(?m)^I, ([^\n\d@:(),]{4,36}), confirm")
 _PLACE_VALUES = r"(?m)(?:Address|Location|Garage|inspect|located at) ?[:–-] ?\n?([^\n:@]{8,110})$"
 #: Numbers set in groups: the four figures after the nought tell telephone numbers from references.
-_GROUPED = r"(?<![\w+./:-])(\(?0\d{2,4}\)?[ .-]{1,2}\d{3,4}[ .-]?\d{3,4})(?!\d)"
+_GROUPED = r"(0(?<![\w+./:-]0)\d{2,4}\)?[ .-]{1,2}\d{3,4}[ .-]?\d{3,4})(?!\d)"
 #: Least weight of an entry of each lexicon; a place in a fixture weighs five.
 LEAST = {"name": 2, "place": 5, "prefix": 3}
 
@@ -615,18 +662,6 @@ def texts_of(models: DataFrame, fixtures: DataFrame) -> DataFrame:
     return a.unionByName(b).where(F.col("text").isNotNull() & (F.col("text") != ""))
 
 
-class Words:
-    """Lexicons: the broadcast part and, over it, the entries that came with one text."""
-
-    def __init__(self, base: list[tuple[str, str]], more: Iterable[tuple[str, str]] = ()):
-        self.of = {k: {w: 1 for kind, w in chain(base, more) if kind == k} for k in LEAST}
-
-    def coder(self, more: Iterable[tuple[str, str]] = ()) -> Coder:
-        more = list(more)
-        names, places, prefixes = (_Over({w for kind, w in more if kind == k}, self.of[k]) if more else self.of[k] for k in ("name", "place", "prefix"))
-        return Coder(names, places, prefixes)
-
-
 class _Over:
     def __init__(self, own: set[str], base: dict[str, int]):
         self.own, self.base = own, base
@@ -638,6 +673,12 @@ class _Over:
         return 1 if w in self else default
 
 
+def coder_of(base: dict[str, dict[str, int]], more: Iterable[tuple[str, str]] = ()) -> Coder:
+    """A coder over the lexicons ``base`` and, over them, the entries that came with a text."""
+    more = list(more)
+    return Coder(*(_Over({w for kind, w in more if kind == k}, base[k]) if more else base[k] for k in LEAST))
+
+
 def keys_of(text: str) -> set[tuple[str, str]]:
     """(kind, word) of all that a lexicon may be asked for in a text."""
     out = set()
@@ -665,24 +706,32 @@ def with_entries(src: DataFrame, rest: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=2)
-def _tagger(holder) -> tuple[Words, Tagger]:
-    base, weights = holder.value
-    words = Words(base)
-    return words, Tagger(words.coder(), weights)
+def _tagger(holder) -> tuple[dict[str, dict[str, int]], Tagger]:
+    base, coder, weights, solved = holder.value
+    tagger = Tagger(coder, weights)
+    tagger.solved.update(solved)
+    return base, tagger
 
 
-def train(models: DataFrame, fixtures: DataFrame, most: int = MOST_WORDS) -> tuple[list[tuple[str, str]], DataFrame | None, dict[str, float]]:
-    """(broadcast entries, the entries beyond them if any, weights)."""
+def train(models: DataFrame, fixtures: DataFrame, most: int = MOST_WORDS) -> tuple[tuple, DataFrame | None]:
+    """(what is broadcast: lexicons, coder, weights and the segmentations of the sample's chunks; the entries beyond the bound, if any)."""
     top, rest = top_and_rest(lexicon(models, fixtures), "n", most)
-    base = [(r["kind"], r["w"]) for r in top]
+    base: dict[str, dict[str, int]] = {k: {r["w"]: 1 for r in top if r["kind"] == k} for k in LEAST}
     texts = [r["plain_text"] for r in bounded_sample(models.select("plain_text", "model_id").where(F.col("plain_text").isNotNull()), "model_id", FIT_TEXTS)]
     more: list[tuple[str, str]] = []
     if rest is not None:
         asked = models.sparkSession.createDataFrame(sorted(set().union(*map(keys_of, texts))) or [("", "")], "kind string, w string")
         more = [(r["kind"], r["w"]) for r in rest.select("kind", "w").join(F.broadcast(asked), ["kind", "w"]).collect()]  # at most the words of the sample
-    words = Words(base, more)
-    coder = words.coder()
-    return base, rest, fit(labelled(texts, L.Proposer(words.of["name"], set(words.of["place"])), coder), coder)
+    own: dict[str, dict[str, int]] = {k: base[k] | {w: 1 for kind, w in more if kind == k} for k in LEAST}
+    coder = coder_of(own)
+    data = labelled(texts, L.Proposer(own["name"], set(own["place"])), coder)
+    weights = fit(data, coder)
+    if more:
+        return (base, coder_of(base), weights, {}), rest
+    tagger = Tagger(coder, weights)
+    for key, _ in data:
+        tagger.best(key)
+    return (base, coder, weights, tagger.solved), rest
 
 
 def find_personal(models: DataFrame, fixtures: DataFrame, redacted: bool = False, most: int = MOST_WORDS) -> DataFrame:
@@ -692,17 +741,17 @@ def find_personal(models: DataFrame, fixtures: DataFrame, redacted: bool = False
     unchanged. Texts are searched whole, whatever their length. most: entries of the lexicons that are broadcast; the result
     does not depend on it.
     """
-    base, rest, weights = train(models, fixtures, most)
-    data = models.sparkSession.sparkContext.broadcast((base, weights))
+    fitted, rest = train(models, fixtures, most)
+    data = models.sparkSession.sparkContext.broadcast(fitted)
     src = texts_of(models, fixtures)
     src = src.withColumn("more", F.lit(None).cast("array<struct<kind:string,w:string>>")) if rest is None else with_entries(src, rest)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, common = _tagger(data)
+        base, common = _tagger(data)
         for b in batches:
             cols: list[list] = [[], [], [], []]
             for place, rec, text, more in zip(*(c.to_pylist() for c in b.columns)):
-                tagger = Tagger(words.coder((x["kind"], x["w"]) for x in more), common.weights) if more else common
+                tagger = Tagger(coder_of(base, ((x["kind"], x["w"]) for x in more)), common.weights) if more else common
                 if redacted:
                     for c, v in zip(cols, (place, rec, tagger.redacted(text))):
                         c.append(v)
