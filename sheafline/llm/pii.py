@@ -28,7 +28,7 @@ from sheafline.llm import pii_labels as L
 from sheafline.session import bounded_sample, top_and_rest
 
 #: Texts of the fit (the first by a hash of their id), entries of a lexicon that are broadcast.
-FIT_TEXTS, MOST_WORDS = 1_200, 200_000
+FIT_TEXTS, MOST_WORDS = 1_000, 200_000
 #: Longest spans of each kind in tokens: the bound of the bounded-entity dynamic programming, not of texts or chunks.
 LONGEST = {"NAME": 12, "EMAIL": 1, "PHONE": 11, "ID": 7, "ADDRESS": 60}
 #: Chunks and tokens whose results a worker remembers; what is forgotten is worked out again.
@@ -40,8 +40,9 @@ MAIL = "\ue000"
 # a word may hold the signs that letters become in a wrong decoding, so all but these may stand in it
 _W = r"[^\s\d_!-/:-@\[-`{-~“”‘’…–—·•]"
 _TOKEN = re.compile(
-    r"\n(?:[ \t]*[>|])*[ \t]*| ?(?:[A-Za-z]{1,2}\d[\dA-Za-z]? ?\d[A-Za-z]{2}(?![^\W_])|[^\W\d_]\.(?= ?[^\W\d_])"
-    rf"|[^\W\d_]{_W}*+(?:['’-](?![sS]\b)[^\W\d_]{_W}*+)*+(?!\d)|[^\W_]+|\S)|[^\S\n]+"
+    r" ?(?:[a-z]{2,}+(?=[ ,.;:\n)])"
+    rf"|[^\W\d_](?!\. ?[^\W\d_]){_W}*+(?:['’-](?![sS]\b)[^\W\d_]{_W}*+)*+(?!\d)"
+    r"|[A-Za-z]{1,2}\d[\dA-Za-z]? ?\d[A-Za-z]{2}(?![^\W_])|[^\W\d_]\.(?= ?[^\W\d_])|[^\W_]+|\S)|\n(?:[ \t]*[>|])*[ \t]*|[^\S\n]+"
 )
 _RUN = re.compile(r"[A-Za-z]+|\d+")
 _POSTCODE = re.compile(r"[A-Za-z]{1,2}\d[\dA-Za-z]? ?\d[A-Za-z]{2}$")
@@ -87,6 +88,7 @@ class Coder(dict):
         self.used = {O: 0, M: 0, P: 0, D: 0}
         #: Outside a chunk words, figures and the rest count by their coarse class only.
         self.outside: dict[int, str] = {}
+        self.leads: set[str] = set()
         self.house = self.figures("1")
         self.read("\n")
         for c in "md":
@@ -104,6 +106,8 @@ class Coder(dict):
                 self.used[base] = min(self.used[base] + 1, (0x2FFF if base == O else 0xFFF))
             self.codes[key] = got
             self.tokens[got] = token
+            if token.name in _LEADS:
+                self.leads.add(got)
             if token.mark in "mdu" or token.name == "word":
                 self.outside[ord(got)] = "d" if token.mark == "d" else "m"
         return got
@@ -228,9 +232,14 @@ def canonical(key: str, coder: Coder) -> str:
     return f"{''.join(reversed(left))}\0{inner}\0{after}"
 
 
+def coded(toks: list[str], coder: Coder) -> str:
+    """The classes of the tokens, with ``_BEFORE`` line ends before and ``_AFTER`` behind them."""
+    return "\n\n\n\n" + "".join(map(coder.__getitem__, toks)) + "\n\n"
+
+
 def chunks_of(toks: list[str], coder: Coder) -> Iterator[tuple[str, int, int]]:
     """(key, first, end) of each chunk; the key holds the classes of the tokens before, in and after it."""
-    codes = "\n\n\n\n" + "".join(map(coder.__getitem__, toks)) + "\n\n"
+    codes = coded(toks, coder)
     for m in _CHUNK.finditer(codes):
         a, b = m.span()
         yield f"{codes[a - _BEFORE:a].translate(coder.outside)}\0{codes[a:b]}\0{codes[b:b + _AFTER].translate(coder.outside)}", a - _BEFORE, b - _BEFORE
@@ -579,6 +588,10 @@ def labelled(texts: list[str], proposer: L.Proposer, coder: Coder) -> dict[tuple
     return out
 
 
+#: The segmentation of a chunk without any admissible span (an empty one differs: it has spans, but none that is worth it).
+NO_SPAN = ()
+
+
 class Tagger:
     """Finds the personal data of texts; remembers the segmentation of each string of classes."""
 
@@ -586,27 +599,39 @@ class Tagger:
         self.coder, self.weights = coder, Weights(weights)
         self.known: dict[str, list[tuple[int, int, str]]] = {}
         self.solved: dict[str, list[tuple[int, int, str]]] = {}
+        #: Chunks that hold no admissible span unless a word before them leads to one.
+        self.weak: set[str] = set()
 
     def spans(self, toks: list[str]) -> Iterator[tuple[int, int, str]]:
         """(first, end, kind) of each piece, in tokens."""
-        known = self.known
-        for key, a, _ in chunks_of(toks, self.coder):
+        known, weak, leads, outside = self.known, self.weak, self.coder.leads, self.coder.outside
+        codes = coded(toks, self.coder)
+        for m in _CHUNK.finditer(codes):
+            a, b = m.span()
+            inner, left = codes[a:b], codes[a - _BEFORE : a]
+            if inner in weak and leads.isdisjoint(left):
+                continue
+            key = f"{left.translate(outside)}\0{inner}\0{codes[b:b + _AFTER].translate(outside)}"
             got = known.get(key)
             if got is None:
                 got = self.best(key)
+                if got == NO_SPAN and leads.isdisjoint(left):
+                    weak.add(inner)
             for i, j, kind in got:
-                yield a + i, a + j, kind
+                yield a - _BEFORE + i, a - _BEFORE + j, kind
 
     def best(self, key: str) -> list[tuple[int, int, str]]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.weak) > REMEMBERED:
+            self.weak.clear()
         if len(self.solved) > REMEMBERED:
             self.solved.clear()
         short = canonical(key, self.coder)
         got = self.solved.get(short)
         if got is None:
             lattice = Lattice(short, self.coder)
-            got = self.solved[short] = segment(lattice.arcs, lattice.n, self.weights)
+            got = self.solved[short] = segment(lattice.arcs, lattice.n, self.weights) if lattice.arcs else NO_SPAN
         self.known[key] = got
         return got
 
@@ -626,7 +651,8 @@ class Tagger:
 
 
 #: Values of labels that hold one name, and headers of mails; the part in parentheses is the name.
-_NAME_PLACES = (r"(?m)^[>| ]*\*?(?:From|Von) ?:\*? *([^<\n@:]{3,40}?) *(?:<|$)", r"(?m)^(?:Our Client|Client Name|Claimant|Name|Re) ?: *(?:(?:Mr|Mrs|Ms|Miss|Dr) )?([^\n\d@:()]{4,36})$", r"(?m)^I, ([^\n\d@:(),]{4,36}), confirm")
+_NAME_LINES = r"(?m)^(?:[>| ]*\*?(?:From|Von) ?:|(?:Our Client|Client Name|Claimant|Name|Re) ?:|I, )[^\n]*$"
+_NAME_PLACES = (r"^[>| ]*\*?(?:From|Von) ?:\*? *([^<\n@:]{3,40}?) *(?:<|$)", r"^(?:Our Client|Client Name|Claimant|Name|Re) ?: *(?:(?:Mr|Mrs|Ms|Miss|Dr) )?([^\n\d@:()]{4,36})$", r"^I, ([^\n\d@:(),]{4,36}), confirm")
 _PLACE_VALUES = r"(?m)(?:Address|Location|Garage|inspect|located at) ?[:–-] ?\n?([^\n:@]{8,110})$"
 #: Numbers set in groups: the four figures after the nought tell telephone numbers from references.
 _GROUPED = r"(0(?<![\w+./:-]0)\d{2,4}\)?[ .-]{1,2}\d{3,4}[ .-]?\d{3,4})(?!\d)"
@@ -638,11 +664,13 @@ def lexicon(models: DataFrame, fixtures: DataFrame) -> DataFrame:
     """kind (name, place, prefix), w, n: words of names and of addresses, beginnings of telephone numbers; counted in one pass over all texts."""
     value = lambda k: F.get(F.map_values(F.map_filter("expected_values", lambda key, _: key == k)), F.lit(0))
     spot = lambda kind, v, weight=1: F.struct(F.lit(kind).alias("kind"), v.alias("v"), F.lit(weight).alias("weight"))
-    spots_of = lambda kind, p: F.transform(F.regexp_extract_all("plain_text", F.lit(p), F.lit(1)), lambda v: spot(kind, F.substring(F.regexp_replace(v, r"\D", ""), 2, 4) if kind == "prefix" else v))
-    found = [spots_of(kind, p) for kind, p in (*(("name", p) for p in _NAME_PLACES), ("place", _PLACE_VALUES), ("prefix", _GROUPED))]
+    spots_of = lambda kind, p: F.transform(F.regexp_extract_all("plain_text", F.lit(p), F.lit(0 if kind == "line" else 1)), lambda v: spot(kind, F.substring(F.regexp_replace(v, r"\D", ""), 2, 4) if kind == "prefix" else v))
+    found = [spots_of(kind, p) for kind, p in (("line", _NAME_LINES), ("place", _PLACE_VALUES), ("prefix", _GROUPED))]
     firm = F.lower(value("claimant_name")).rlike(r"\b(?:" + "|".join(sorted(L.FIRM_WORDS)) + r"|as above|see|not|known|tbc|advised|unknown)\b")
     own = F.when(~firm, F.regexp_replace(value("claimant_name"), r"[,(<\[].*$", ""))
     spots = models.select(F.explode(F.concat(*found)).alias("s")).unionByName(fixtures.select(F.explode(F.array(spot("name", own), spot("place", value("inspection_address"), 5))).alias("s"))).select("s.*").where(F.col("v").isNotNull())
+    named = F.coalesce(*(F.nullif(F.regexp_extract("v", p, 1), F.lit("")) for p in _NAME_PLACES))
+    spots = spots.select(F.when(F.col("kind") == "line", "name").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "line", named).otherwise(F.col("v")).alias("v"), "weight")
     words = spots.groupBy("kind", "v").agg(F.sum("weight").alias("n")).select("kind", F.explode(F.split(F.lower("v"), r"[\s,;/]+")).alias("w"), "n")
     words = words.withColumn("w", F.when(F.col("kind") == "place", F.regexp_replace(F.regexp_replace("w", r"[.]+$", ""), "[’']", "")).otherwise(F.replace("w", F.lit("’"), F.lit("'"))))
     stop = tuple(w for w in L.STOP if len(w) > 2)
