@@ -44,6 +44,7 @@ _TOKEN = re.compile(
     rf"|[^\W\d_](?!\. ?[^\W\d_]){_W}*+(?:['’-](?![sS]\b)[^\W\d_]{_W}*+)*+(?!\d)"
     r"|[A-Za-z]{1,2}\d[\dA-Za-z]? ?\d[A-Za-z]{2}(?![^\W_])|[^\W\d_]\.(?= ?[^\W\d_])|[^\W_]+|\S)|\n(?:[ \t]*[>|])*[ \t]*|[^\S\n]+"
 )
+_FORM = str.maketrans({**dict.fromkeys("0123456789", "0"), **dict.fromkeys("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "a")})
 _RUN = re.compile(r"[A-Za-z]+|\d+")
 _POSTCODE = re.compile(r"[A-Za-z]{1,2}\d[\dA-Za-z]? ?\d[A-Za-z]{2}$")
 #: Words beside personal data, by what they announce; words of one group are one class.
@@ -89,6 +90,7 @@ class Coder(dict):
         #: Outside a chunk words, figures and the rest count by their coarse class only.
         self.outside: dict[int, str] = {}
         self.leads: set[str] = set()
+        self.forms: dict[tuple, str] = {}
         self.house = self.figures("1")
         self.read("\n")
         for c in "md":
@@ -125,7 +127,9 @@ class Coder(dict):
             return self.of("\n", Token("\n", "\n")) if not w.strip("\n \t") else self.of("q", Token("q", "quote"))
         if not w.strip():
             return self.of("w", Token("w", "wide"))
-        if w[0] == "":  # a mail address, set in before
+        if w.isalpha():
+            return self.word(w, w.lower())
+        if w[0] == MAIL and len(w) > 1:
             return self.of("e", Token("e", "mail"))
         low = w.lower().replace("’", "'")
         if not any(c.isalnum() for c in w):
@@ -142,6 +146,17 @@ class Coder(dict):
         return self.word(w, low)
 
     def figures(self, w: str) -> str:
+        """Class of a token with figures in it; tokens of one form share it."""
+        known = len(w) >= 5 and w[0] == "0" and w[1:5] in self.prefixes and w.isdigit()
+        form = (w.translate(_FORM), known, w[:4] if w[:2] in ("44", "00") else w[0] == "0", w[-1] in "ABCDabcd", w[-1].isalpha() and "9" in w and bool(re.match(r"[A-Za-z]{2,4}9{1,3}\d{6}", w)) or bool(re.fullmatch(r"[A-Za-z]{2,4}9{1,3}", w)))
+        got = self.forms.get(form)
+        if got is None:
+            if len(self.forms) > REMEMBERED:
+                self.forms.clear()
+            got = self.forms[form] = self.new_form(w, known, form[-1])
+        return got
+
+    def new_form(self, w: str, known: bool, nines: bool) -> str:
         runs = _RUN.findall(w)
         if sum(map(len, runs)) != len(w) or len(w) > 20:
             return self.of(D, Token("d", "odd", shape="X"))
@@ -151,8 +166,6 @@ class Coder(dict):
             shape = shape[:-2] + ("C1" if last.upper() in "ABCD" else "B1")
         plain = w.isdigit()
         lead = "0044" if w.startswith("0044") else "44" if w.startswith("44") else "0" if w[0] == "0" else ""
-        known = plain and len(w) >= 5 and w[0] == "0" and w[1:5] in self.prefixes
-        nines = bool(re.match(r"[A-Za-z]{2,4}9{1,3}(?:\d{6}|$)", w))
         kind = "house" if re.fullmatch(r"\d{1,4}[A-Za-z]?", w) else "long" if plain else "mixed"
         return self.of(D, Token("d", f"{kind}:{shape}:{lead}:{known:d}:{nines:d}", shape=shape, digits=len(w) if plain else 0, lead=lead, known=known, case="9" if nines else "", role=kind))
 
@@ -183,11 +196,12 @@ def mails_in(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     at = text.find("@")
     while at >= 0:
-        a = max(text.rfind(c, 0, at) for c in " \n\t<(:,;\"") + 1
-        for m in L._EMAIL.finditer(text, a, at + 400 if text.find("\n", at) < 0 else text.find("\n", at)):
-            if m.start() < at < m.end():
-                out.append((m.start(), m.end()))
-                break
+        line = text.rfind("\n", 0, at) + 1
+        a = max(line - 1, *[text.rfind(c, line, at) for c in " \t<(:,;\""]) + 1
+        stop = text.find("\n", at)
+        m = next((m for m in L._EMAIL.finditer(text, a, len(text) if stop < 0 else stop) if m.end() > at), None)
+        if m and m.start() < at:
+            out.append((m.start(), m.end()))
         at = text.find("@", max(at + 1, out[-1][1] if out else 0))
     if "[at]" in text or "(at)" in text or "{at}" in text or " dot " in text:
         for m in re.finditer(r"[^\n]*(?:\[at\]|\(at\)|\{at\}| dot )[^\n]*", text):
@@ -206,11 +220,16 @@ def tokens_of(text: str) -> list[str]:
     end = 0
     for a, b in mails_in(text):
         out += _TOKEN.findall(text[end:a])
-        out.append("" + text[a:b])
+        out.append(MAIL + text[a:b])
         end = b
     return out + _TOKEN.findall(text[end:])
 
 
+def said(toks: list[str]) -> str:
+    """The text of tokens."""
+    return "".join([t[1:] if t[0] == MAIL and len(t) > 1 else t for t in toks])
+
+
 _BEFORE, _AFTER = 4, 2
 #: Signs beyond which the features look on.
 _SOFT = frozenset("\n,;/.()+'-w") | {"quote", "wide", ":", "dash", "sign"}
@@ -564,9 +583,9 @@ def labelled(texts: list[str], proposer: L.Proposer, coder: Coder) -> dict[tuple
         start, end, at = {}, {}, 0
         for k, tok in enumerate(toks):
             bare = tok.lstrip(" \t")
-            size = len(tok) - (bare[:1] == MAIL)
+            size = len(tok) - (bare[:1] == MAIL and len(bare) > 1)
             end[at + size] = k + 1
-            start[at + size - len(bare) + (bare[:1] == MAIL)] = k
+            start[at + size - len(bare) + (len(tok) - size)] = k
             at += size
         spans, doubt = [], []
         for s in proposer.segments(text):
@@ -637,7 +656,7 @@ class Tagger:
 
     def pieces(self, text: str) -> set[tuple[str, str]]:
         toks = tokens_of(text)
-        return {(kind, "".join(toks[a:b]).lstrip(" \t").replace(MAIL, "")) for a, b, kind in self.spans(toks)}
+        return {(kind, said(toks[a:b]).lstrip(" \t")) for a, b, kind in self.spans(toks)}
 
     def redacted(self, text: str) -> str:
         """``text`` with each piece replaced by the name of its kind in brackets."""
@@ -645,9 +664,9 @@ class Tagger:
         out, end = [], 0
         for a, b, kind in self.spans(toks):
             blank = toks[a][: len(toks[a]) - len(toks[a].lstrip(" \t"))]
-            out += [*toks[end:a], f"{blank}[{kind}]"]
+            out += [said(toks[end:a]), f"{blank}[{kind}]"]
             end = b
-        return "".join([*out, *toks[end:]]).replace(MAIL, "")
+        return "".join([*out, said(toks[end:])])
 
 
 #: Values of labels that hold one name, and headers of mails; the part in parentheses is the name.
@@ -671,8 +690,9 @@ def lexicon(models: DataFrame, fixtures: DataFrame) -> DataFrame:
     spots = models.select(F.explode(F.concat(*found)).alias("s")).unionByName(fixtures.select(F.explode(F.array(spot("name", own), spot("place", value("inspection_address"), 5))).alias("s"))).select("s.*").where(F.col("v").isNotNull())
     named = F.coalesce(*(F.nullif(F.regexp_extract("v", p, 1), F.lit("")) for p in _NAME_PLACES))
     spots = spots.select(F.when(F.col("kind") == "line", "name").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "line", named).otherwise(F.col("v")).alias("v"), "weight")
-    words = spots.groupBy("kind", "v").agg(F.sum("weight").alias("n")).select("kind", F.explode(F.split(F.lower("v"), r"[\s,;/]+")).alias("w"), "n")
-    words = words.withColumn("w", F.when(F.col("kind") == "place", F.regexp_replace(F.regexp_replace("w", r"[.]+$", ""), "[’']", "")).otherwise(F.replace("w", F.lit("’"), F.lit("'"))))
+    # counted as they stand before anything else, so that all that follows sees each word once
+    raw = spots.select("kind", "weight", F.explode(F.split(F.lower("v"), r"[\s,;/]+")).alias("w")).groupBy("kind", "w").agg(F.sum("weight").alias("n"))
+    words = raw.withColumn("w", F.when(F.col("kind") == "place", F.regexp_replace(F.regexp_replace("w", r"[.]+$", ""), "[’']", "")).otherwise(F.replace("w", F.lit("’"), F.lit("'"))))
     stop = tuple(w for w in L.STOP if len(w) > 2)
     fit = (
         F.when(F.col("kind") == "name", F.col("w").rlike(r"^[^\d.]+$") & ~F.col("w").isin(*L.TITLES, *L.PARTICLES, *stop, *L.FIRM_WORDS, *L.NAME_LABELS, "tbc", "unknown", "known"))
