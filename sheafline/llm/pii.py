@@ -672,7 +672,7 @@ class Tagger:
 #: Values of labels that hold one name, and headers of mails; the part in parentheses is the name.
 _NAME_LINES = r"(?m)^(?:[>| ]*\*?(?:From|Von) ?:|(?:Our Client|Client Name|Claimant|Name|Re) ?:|I, )[^\n]*$"
 _NAME_PLACES = (r"^[>| ]*\*?(?:From|Von) ?:\*? *([^<\n@:]{3,40}?) *(?:<|$)", r"^(?:Our Client|Client Name|Claimant|Name|Re) ?: *(?:(?:Mr|Mrs|Ms|Miss|Dr) )?([^\n\d@:()]{4,36})$", r"^I, ([^\n\d@:(),]{4,36}), confirm")
-_PLACE_VALUES = r"(?m)(?:Address|Location|Garage|inspect|located at) ?[:–-] ?\n?([^\n:@]{8,110})$"
+_PLACE_VALUES = r"(?m)(?=[ALGil])(?:Address|Location|Garage|inspect|located at) ?[:–-] ?\n?([^\n:@]{8,110})$"
 #: Numbers set in groups: the four figures after the nought tell telephone numbers from references.
 _GROUPED = r"(0(?<![\w+./:-]0)\d{2,4}\)?[ .-]{1,2}\d{3,4}[ .-]?\d{3,4})(?!\d)"
 #: Least weight of an entry of each lexicon; a place in a fixture weighs five.
@@ -687,7 +687,7 @@ def lexicon(models: DataFrame, fixtures: DataFrame) -> DataFrame:
     found = [spots_of(kind, p) for kind, p in (("line", _NAME_LINES), ("place", _PLACE_VALUES), ("prefix", _GROUPED))]
     firm = F.lower(value("claimant_name")).rlike(r"\b(?:" + "|".join(sorted(L.FIRM_WORDS)) + r"|as above|see|not|known|tbc|advised|unknown)\b")
     own = F.when(~firm, F.regexp_replace(value("claimant_name"), r"[,(<\[].*$", ""))
-    spots = models.select(F.explode(F.concat(*found)).alias("s")).unionByName(fixtures.select(F.explode(F.array(spot("name", own), spot("place", value("inspection_address"), 5))).alias("s"))).select("s.*").where(F.col("v").isNotNull())
+    spots = models.select(F.explode_outer(F.concat(*found)).alias("s")).unionByName(fixtures.select(F.explode(F.array(spot("name", own), spot("place", value("inspection_address"), 5))).alias("s"))).select("s.*").where(F.col("v").isNotNull())
     named = F.coalesce(*(F.nullif(F.regexp_extract("v", p, 1), F.lit("")) for p in _NAME_PLACES))
     spots = spots.select(F.when(F.col("kind") == "line", "name").otherwise(F.col("kind")).alias("kind"), F.when(F.col("kind") == "line", named).otherwise(F.col("v")).alias("v"), "weight")
     # counted as they stand before anything else, so that all that follows sees each word once
