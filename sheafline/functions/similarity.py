@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,101 +24,74 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _clean(s: str) -> str:
-    s = re.sub(" {2,}", " ", s.replace("\r", " ").replace("\t", " "))
-    return re.sub("\n{3,}", "\n\n", s).strip(" :\n")
+class Finder:
+    """The best place of every label in documents, by similarity: the line most like it, or in longer lines the run of as many words as the label has.
 
-
-def _mask(s: str) -> int:
-    """A bit for each of the letters a to z and digits in ``s``."""
-    m = 0
-    for c in s:
-        k = ord(c)
-        if 97 <= k <= 122:
-            m |= 1 << (k - 97)
-        elif 48 <= k <= 57:
-            m |= 1 << (k - 22)
-    return m
-
-
-@lru_cache(maxsize=100_000)
-def _word(w: str) -> int:
-    return _mask(w)
-
-
-@lru_cache(maxsize=50_000)
-def _line(line: str) -> tuple[str, tuple[str, ...], tuple[int, ...], int]:
-    low = line.lower().strip()
-    words = tuple(low.split())
-    return low, words, tuple(map(_word, words)), _mask(low)
-
-
-class _Label:
-    """A label with a bound on what it can have in common with a string of given letters."""
-
-    def __init__(self, label: str):
-        self.text = label.lower().strip()
-        self.n, self.size, self.counts = len(self.text), len(self.text.split()), tuple(Counter(self.text).items())
-        self.mask = _mask(self.text)
-        self.most: dict[int, int] = {}
-
-    def common(self, mask: int) -> int:
-        """Characters of the label left when the letters that the other string lacks are taken out."""
-        absent = self.mask & ~mask
-        got = self.most.get(absent)
-        if got is None:
-            got = self.most[absent] = self.n - sum(c for x, c in self.counts if _mask(x) & absent)
-        return got
-
-
-_label = lru_cache(maxsize=10_000)(_Label)
-
-
-def locate(lines: list[str], label: str, threshold: float) -> tuple[int, float] | None:
-    """(index, similarity) of the line that is most like ``label``; windows of as many words as the label has in longer lines, the earliest best wins.
-
-    A comparison is made only if neither the lengths nor the letters in common rule out that it reaches the threshold
-    and beats the best so far; all bounds are exact.
+    The strings that labels are compared with are few beside their occurrences, so each is judged once and remembered: counts of
+    letters in common bound the similarity of all new strings to all labels at once, and only pairs that the bound
+    leaves are compared.
     """
-    t = _label(label)
-    n, size = t.n, t.size
-    best, where = threshold, -1
-    for i, line in enumerate(lines):
-        low, words, masks, mask = _line(line)
-        if t.common(mask) * (2 - best) < best * n:  # no part of the line can be like the label
-            continue
-        if len(low) > n + 5:
-            # windows are put together only where their letters suffice
-            need, tries = best * n / (2 - best), []
-            for k in range(len(words) - size + 1):
-                m = masks[k]
-                for x in masks[k + 1 : k + size]:
-                    m |= x
-                if t.common(m) >= need:
-                    tries.append(" ".join(words[k : k + size]))
-        else:
-            tries = [low]
-        for s in tries:
-            total = best * (len(s) + n)
-            if 2 * min(len(s), n) < total or 2 * sum([min(c, s.count(x)) for x, c in t.counts]) < total:
-                continue
-            r = ratio(t.text, s)
-            if r > best or (where < 0 and r >= threshold):
-                best, where = r, i
-    return (where, best) if where >= 0 else None
-
-
-def value_beside(line: str, label: str, conf: float) -> tuple[str | None, float]:
-    """What stands after a delimiter whose left side is like ``label``; (None, conf) if there is no such delimiter."""
-    want = label.lower().strip()
-    for cut in (line.find(":"), line.find("|")):
-        if cut >= 0:
-            r = ratio(want, line[:cut].strip().lower())
-            if r >= 0.7:
-                return _clean(line[cut + 1 :]), max(conf, r)
-    m = re.search(r"\s[-–—]\s", line)
-    if m:
-        r = ratio(want, line[: m.start()].strip().lower())
-        if r >= 0.7:
-            return _clean(line[m.end() :]), max(conf, r)
-    return None, conf
+
+    #: Strings remembered by a worker; what is forgotten is judged again. Strings judged in one array operation.
+    KEPT, BLOCK = 500_000, 2_048
+
+    def __init__(self, labels: list[str], least: float):
+        self.labels = list(dict.fromkeys(x.lower().strip() for x in labels if x.strip()))
+        self.least = least
+        self.sizes = sorted({len(x.split()) for x in self.labels})
+        self.of_size = {n: [x for x in self.labels if len(x.split()) == n] for n in self.sizes}
+        self.counts = {n: _letters(self.of_size[n]) for n in self.sizes}
+        self.longest = max(map(len, self.labels), default=0)
+        self.all_counts = _letters(self.labels)
+        # string -> ((label, similarity), ...); under 0 those of whole lines
+        self.known: dict[int, dict[str, tuple[tuple[str, float], ...]]] = {n: {} for n in (0, *self.sizes)}
+
+    def _judge(self, size: int, strings: set[str]) -> None:
+        known = self.known[size]
+        if len(known) > self.KEPT:
+            known.clear()
+            return self._judge(size, strings)
+        new = [s for s in strings if s not in known]
+        labels, counts = (self.labels, self.all_counts) if size == 0 else (self.of_size[size], self.counts[size])
+        lengths = np.array([len(x) for x in labels])
+        for a in range(0, len(new), self.BLOCK):
+            part = new[a : a + self.BLOCK]
+            common = np.minimum(_letters(part)[:, None, :], counts[None, :, :]).sum(axis=2, dtype=np.int64)
+            hits: dict[int, list[tuple[str, float]]] = {}
+            for i, k in zip(*np.nonzero(2 * common >= self.least * (np.array([len(x) for x in part])[:, None] + lengths[None, :]) - 1e-9)):
+                r = ratio(labels[k], part[i])
+                if r >= self.least:
+                    hits.setdefault(i, []).append((labels[k], r))
+            known.update((s, tuple(hits.get(i, ()))) for i, s in enumerate(part))
+
+    def locate(self, documents: list[list[str]]) -> list[dict[str, tuple[int, float]]]:
+        """For each document label -> (index of the line, similarity); the earliest best counts. Labels that reach the least similarity nowhere are absent."""
+        read = [[(low, low.split()) for low in (t.lower().strip() for t in lines)] for lines in documents]
+        self._judge(0, {low for rows in read for low, _ in rows if len(low) <= self.longest + 5})
+        for n in self.sizes:
+            self._judge(n, {" ".join(words[k : k + n]) for rows in read for _, words in rows for k in range(len(words) - n + 1)})
+        whole, out = self.known[0], []
+        for rows in read:
+            best: dict[str, tuple[int, float]] = {}
+            for i, (low, words) in enumerate(rows):
+                found = [(x, r) for x, r in whole.get(low, ()) if len(low) <= len(x) + 5]
+                for n in self.sizes:
+                    known = self.known[n]
+                    found += [(x, r) for k in range(len(words) - n + 1) for x, r in known[" ".join(words[k : k + n])] if len(low) > len(x) + 5]
+                for x, r in found:
+                    if x not in best or r > best[x][1]:
+                        best[x] = (i, r)
+            out.append(best)
+        return out
+
+
+def _letters(strings: list[str]) -> np.ndarray:
+    """How often each string has each of the letters a to z, each digit, and all else together (at most 255 times)."""
+    codes = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)
+    kind = np.full(codes.shape, 36)
+    letter, digit = (codes >= 97) & (codes <= 122), (codes >= 48) & (codes <= 57)
+    kind[letter] = codes[letter] - 97
+    kind[digit] = codes[digit] - 22
+    row = np.repeat(np.arange(len(strings)), [len(s) for s in strings])
+    counts = np.bincount(row * 37 + kind, minlength=len(strings) * 37)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(len(strings), 37)

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 
 #: Patterns of postcodes, dates and plates, words that are only labels, phrases of narratives in addresses.
-POSTCODE = r"\b[A-Za-z]{1,2}[0-9][A-Za-z0-9]?\s*[0-9][ABD-HJLNP-UW-Zabd-hjlnp-uw-z]{2}\b"
+#: They hold for Java and for Python alike, so blanks are spelled out (Java's \s knows only those of ASCII).
+_S = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+POSTCODE = rf"\b[A-Za-z]{{1,2}}[0-9][A-Za-z0-9]?{_S}*[0-9][ABD-HJLNP-UW-Zabd-hjlnp-uw-z]{{2}}\b"
 DATE = (
-    r"(?i)\b[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}\b"
-    r"|\b[0-9]{1,2}(?:st|nd|rd|th)?\s+(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+[0-9]{2,4}\b"
-    r"|\b[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\b"
+    rf"(?i)\b(?:[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}|[0-9]{{1,2}}(?:st|nd|rd|th)?{_S}+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)[a-z]*{_S}+[0-9]{{2,4}}"
+    r"|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2})\b"
 )
-VRM_SHAPES = r"[A-Z]{2}[0-9]{2} ?[A-Z]{3}|[A-Z][0-9]{1,3} ?[A-Z]{3}|[A-Z]{3} ?[0-9]{1,3}[A-Z]?|[A-Z]{1,3} ?[0-9]{1,4}"
-VRM = rf"(?i)\b(?!VAT|TEL|REF)({VRM_SHAPES})\b"
+VRM = rf"(?i)\b(?!VAT\b)(?!TEL\b)(?!REF\b)([A-Z]{{2}}[0-9]{{2}}{_S}?[A-Z]{{3}}|[A-Z][0-9]{{1,3}}{_S}?[A-Z]{{3}}|[A-Z]{{3}}{_S}?[0-9]{{1,3}}[A-Z]?|[A-Z]{{1,3}}{_S}?[0-9]{{1,4}})\b"
 LABEL_ONLY = (
     "name", "model", "make/model", "make", "vehicle", "registration", "reg", "reference", "ref", "date", "client", "claimant", "our client", "our insured", "your ref", "our ref", "post code", "postcode",
 )
@@ -38,7 +38,7 @@ def clean(c: Column) -> Column:
 
 def search_form(c: Column) -> Column:
     """Lower case, signs to blanks, one blank between words."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\n ]+", " "), r"(?U)\s+", " "))
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\n ]+", " "), "[\n ]+", " "))
 
 
 def label_form(c: Column) -> Column:
@@ -47,9 +47,11 @@ def label_form(c: Column) -> Column:
 
 def strip_html(c: Column) -> Column:
     """The text of an HTML fragment; entities that no built-in decodes are left to ``sources.markup``."""
-    for a, b in (("\x91", "'"), ("\x92", "'"), ("\x93", '"'), ("\x94", '"'), ("\x96", "-"), ("\x97", "-")):
+    for a, b in (("\x91", "'"), ("\x92", "'"), ("\x93", '"'), ("\x94", '"'), ("\x96", "-"), ("\x97", "-"), ("\x85", "...")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.regexp_replace(c, r"(?is)<(style|script)\b.*?</\1\s*>|<!--.*?-->|<\?xml.*?\?>|<!doctype[^>]*>", "")
+    # what is not shown leaves a blank, so that the words on either side stay apart
+    for hidden in (r"(?is)<style[^>]*>.*?</style\s*>", r"(?is)<script[^>]*>.*?</script\s*>", "(?s)<!--.*?-->", r"(?i)<\?xml[^>]*\?>", "(?i)<!doctype[^>]*>"):
+        c = F.regexp_replace(c, hidden, " ")
     c = F.regexp_replace(c, r"(?i)<br\s*/?>|</(?:p|div|tr|li|h[1-6])\s*>", "\n")
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)</td\s*>", "\t"), "<[^>]+>", " ")
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&pound;", "£"), ("&amp;", "&")):
@@ -149,3 +151,13 @@ def line_structs(c: Column, keep_first: bool = True) -> Column:
         )
 
     return F.aggregate(rows, empty, step)["out"]
+
+
+def is_human(c: Column) -> Column:
+    """A line that people would write: of usual length, printable, with letters or at least four digits and few odd signs."""
+    size = F.length(c)
+    count = lambda kind: size - F.length(F.regexp_replace(c, f"[{kind}]", ""))
+    letters, digits = count(r"\p{L}"), count(r"\p{Nd}")
+    odd = F.length(F.regexp_replace(c, r"[\p{L}\p{N}\p{Z}\s.,:;/_()&'@£#-]", ""))
+    printable = ~c.rlike(r"[\p{Cc}\p{Cf}\p{Co}\p{Cn}\p{Zl}\p{Zp}]|[\p{Zs}&&[^ ]]")
+    return size.between(2, 220) & printable & (letters + digits >= 2) & ((letters > 0) | (digits >= 4)) & (odd <= F.greatest(F.lit(3), F.floor(size / 8)))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheafline.functions import normalize as N
-from sheafline.functions.text import NARRATIVE, VRM, is_label_only, is_narrative
+from sheafline.functions.text import NARRATIVE, clean, is_label_only
 from sheafline.schema import DATES, FIELD_ORDER, FIELDS, REQUIRED
 
 #: Phrases that show a value to be something else.
@@ -44,29 +45,59 @@ def issues_of(values: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*rows))
 
 
+@dataclass(frozen=True)
+class Gate:
+    """What makes a value of a field suspicious. Patterns hold for Java and for Python alike.
+
+    label: a mere label; values: these; least: shorter than this; shape: matching it whole (shape_is_bad) or not matching it; phrases: holding one of
+    them; no_plate: holding the plate that stands beside a label; goes_on: followed by this in the text; blank: whether an empty value is judged.
+    """
+
+    label: bool = False
+    values: tuple[str, ...] = ()
+    least: int = 0
+    shape: str = ""
+    shape_is_bad: bool = True
+    phrases: tuple[str, ...] = ()
+    no_plate: bool = False
+    goes_on: str = ""
+    blank: bool = False
+
+
+#: The gates.
+GATES: dict[str, Gate] = {
+    **dict.fromkeys(DATES, Gate(shape="[0-9]{2}/[0-9]{2}/[0-9]{4}", shape_is_bad=False)),
+    "claimant_name": Gate(label=True, shape=r"(?i)[A-Z]{1,3}[0-9]{1,3}\s?[A-Z]{3}", phrases=CLAIMANT_PHRASES),
+    "vehicle_model": Gate(label=True, values=(",", ".", "-"), least=2, phrases=MODEL_PHRASES, no_plate=True, blank=True),
+    # four signs or fewer, unless they are letters, figures, letters
+    "vrm": Gate(shape=r"(?![A-Z]{1,3}[0-9]{1,3}[A-Z]{1,3}$).{1,4}", goes_on=r"\s*[0-9][A-Z]{2}\b"),
+    "reference": Gate(label=True, shape="[A-Za-z!?]{1,10}", phrases=REFERENCE_PHRASES),
+    "inspection_address": Gate(phrases=NARRATIVE),
+}
+
+
 def suspicious(field: str, value: Column, text: Column, label_vrm: Column) -> Column:
-    """Whether a normalised value is more likely something else; false for fields without a gate."""
-    v = F.coalesce(value, F.lit(""))
-    filled = v != ""
-    label = is_label_only(v)
-    if field in DATES:
-        return filled & ~v.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$")
-    if field == "claimant_name":
-        return filled & (label | F.upper(v).rlike(f"^(?:{VRM[4:]})$") | _any(v, CLAIMANT_PHRASES))
-    if field == "vehicle_model":
-        holds = (label_vrm != "") & F.contains(N.vrm(v), N.vrm(label_vrm))
-        return label | (F.length(v) <= 1) | v.rlike(r"^[^\p{L}\p{Nd}]+$") | F.coalesce(holds, F.lit(False)) | _any(v, MODEL_PHRASES)
-    if field == "vrm":
-        short = (F.length(v) < 5) & ~v.rlike("^[A-Z]{1,3}[0-9]{1,3}[A-Z]{1,3}$")
-        # followed in the text by the second half of a postcode
-        spaced = F.regexp_replace(v, "(.)", "$1\\\\s*")
-        goes_on = F.rlike(text, F.concat(F.lit(r"(?i)\b"), F.regexp_replace(spaced, r"[^A-Za-z0-9\\s*]", "."), F.lit(r"[0-9][ABD-HJLNP-UW-Z]{2}\b")))
-        return filled & (short | F.coalesce(goes_on, F.lit(False)))
-    if field == "reference":
-        return filled & (label | v.rlike("^[A-Za-z!/?]{1,10}$") | _any(v, REFERENCE_PHRASES))
-    if field == "inspection_address":
-        return filled & is_narrative(v)
-    return F.lit(False)
-
-
-__all__ = ["issues_of", "suspicious", "NARRATIVE"]
+    """Whether a normalised value is more likely something else; false for fields without a gate. label_vrm: the plate beside a label, or null."""
+    g = GATES.get(field)
+    if g is None:
+        return F.lit(False)
+    v = clean(F.coalesce(value, F.lit("")))
+    bad = F.length(v) < g.least
+    if g.label:
+        bad = bad | ((v != "") & is_label_only(v))
+    if g.values:
+        bad = bad | v.isin(*g.values)
+    if g.shape:
+        flag, body = ("(?i)", g.shape[4:]) if g.shape.startswith("(?i)") else ("", g.shape)
+        like = v.rlike(f"(?s){flag}^(?:{body})$")
+        bad = bad | (like if g.shape_is_bad else ~like)
+    if g.phrases:
+        bad = bad | _any(v, g.phrases)
+    if g.no_plate:
+        bad = bad | F.coalesce((label_vrm != "") & F.contains(N.vrm(v), N.vrm(label_vrm)), F.lit(False))
+    if g.goes_on:
+        bad = bad | F.coalesce(F.rlike(text, F.concat(F.lit(r"(?i)\b\Q"), v, F.lit(r"\E" + g.goes_on))), F.lit(False))
+    return bad if g.blank else (v != "") & bad
+
+
+__all__ = ["GATES", "issues_of", "suspicious"]

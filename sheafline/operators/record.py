@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from sheafline.functions import normalize as N
 from sheafline.functions.text import line_structs, split_lines
 from sheafline.functions.validate import issues_of
-from sheafline.operators import engine
-from sheafline.operators.rules import View, build
+from sheafline.functions.similarity import Finder
+from sheafline.operators import batch, ladder
+from sheafline.operators.rules import View, build, labels_of
 from sheafline.schema import DATES, FIELD_ORDER, FIELDS, REQUIRED
 
 #: Rules for providers without their own; a parameter.
@@ -48,11 +49,27 @@ def normalised(field: str, value: Column, force_postcode: Column | bool = False)
 FIELD_STRUCT = "struct<value:string,raw_value:string,rule_id:string,confidence:double,pos:int>"
 
 
-def extract_records(docs: DataFrame, catalog: list[dict] | None = None, rules: dict[str, dict] | None = None, fuzzy: bool = True, as_of: dt.date | None = None, key: str = "model_id") -> DataFrame:
+#: Documents read at a time.
+AT_A_TIME = 256
+
+
+def _readers(b: pa.RecordBatch, finder: Finder | None, day: dt.date) -> Iterator[tuple[int, batch.Doc]]:
+    """(row, document) of a batch with plain_text, texts and raw_lines."""
+    text, lines, raw = (b.column(b.schema.get_field_index(n)) for n in ("plain_text", "texts", "raw_lines"))
+    for a in range(0, b.num_rows, AT_A_TIME):
+        part = [x or [] for x in lines.slice(a, AT_A_TIME).to_pylist()]
+        near = finder.locate(part) if finder else [{}] * len(part)
+        for i, (t, ls, r, n) in enumerate(zip(text.slice(a, AT_A_TIME).to_pylist(), part, raw.slice(a, AT_A_TIME).to_pylist(), near)):
+            yield a + i, batch.Doc(ls, t, r or [], day, n)
+
+
+def extract_records(docs: DataFrame, catalog: list[dict] | None = None, rules: dict[str, dict] | None = None, fuzzy: bool = True, as_of: dt.date | None = None, key: str = "model_id", spread: bool = True) -> DataFrame:
     """key, provider_id, lines, fields (struct of 13 extractions), diagnostics and issues of each row of ``docs``.
 
     docs: key, provider_id (of ``detect``), plain_text and the columns of ``documents_of``.
     catalog: providers as dicts with provider_id, name, work_provider, field_rules and flags; a provider without rules gets ``rules``.
+    spread: the documents are first shuffled by key over all cores, since the work on each far outweighs moving it and files
+    may have few splits.
     An error of a rule is kept as a diagnostic even if a fallback fills the field. Null texts give records without values.
     """
     base = DEFAULT_RULES if rules is None else rules
@@ -60,17 +77,21 @@ def extract_records(docs: DataFrame, catalog: list[dict] | None = None, rules: d
     day = as_of or dt.date.today()
     src = docs.select(key, "provider_id", F.coalesce("plain_text", F.lit("")).alias("plain_text"), F.transform("lines", lambda x: x["line_index"]).alias("at"), "texts", "raw_lines")
     kind = dict(src.dtypes)[key]
+    if spread:
+        src = src.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    labels = list(dict.fromkeys([*labels_of(base), *(x for p in by_id.values() for x in labels_of(p.get("field_rules") or {})), *ladder.ALL_LABELS]))
     fields = ", ".join(f"{f}: {FIELD_STRUCT}" for f in FIELD_ORDER)
     schema = f"`{key}` {kind}, provider_id string, at array<int>, fields struct<{fields}>, diagnostics array<struct<field:string,code:string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.struct([("value", pa.string()), ("raw_value", pa.string()), ("rule_id", pa.string()), ("confidence", pa.float64()), ("pos", pa.int32())])
+        finder = Finder(labels, ladder.LEAST) if fuzzy else None
         for b in batches:
-            cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names) if n not in (key, "at")}
+            ids = b.column(b.schema.get_field_index("provider_id")).to_pylist()
             rows, notes = [], []
-            for pid, text, lines, raw in zip(cols["provider_id"], cols["plain_text"], cols["texts"], cols["raw_lines"]):
-                p = by_id.get(pid) or {}
-                got = engine.extract(engine.Doc(lines or [], text, raw or [], day, fuzzy), p.get("field_rules") or base, p)
+            for i, doc in _readers(b, finder, day):
+                p = by_id.get(ids[i]) or {}
+                got = batch.extract(doc, p.get("field_rules") or base, p)
                 rows.append({f: {"value": x.value, "raw_value": x.raw_value, "rule_id": x.rule_id, "confidence": x.confidence, "pos": x.pos} for f, x in got.items()})
                 notes.append([{"field": f, "code": x.issue} for f, x in got.items() if x.issue])
             names = b.schema.names
@@ -140,8 +161,9 @@ def rerun_rule(docs: DataFrame, field: str, rule: dict, fuzzy: bool = True, as_o
     kind = dict(src.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(labels_of({field: rule}), ladder.LEAST)
         for b in batches:
-            got = [engine.apply_rule(engine.Doc(t or [], p, r or [], day), rule) for p, t, r in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+            got = [batch.apply_rule(doc, rule) for _, doc in _readers(b, finder, day)]
             cols = [pa.array([getattr(g, n) for g in got], t) for n, t in (("value", pa.string()), ("confidence", pa.float64()), ("pos", pa.int32()), ("issue", pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, "raw_value", "confidence", "pos", "error"])
 

@@ -1,7 +1,7 @@
 """Extraction rules: each kind is a builder of one Column over a document.
 
 A document is seen through a ``View``: its clean lines (array of strings, in flat order), its plain text, its raw lines.
-Labels are found as they are written, all in the JVM; misspelt ones are the business of ``engine``. Every builder returns
+Labels are found as they are written, all in the JVM; misspelt ones are the business of ``batch``. Every builder returns
 ``struct<value, rule_id, confidence, pos>``; ``pos`` is the flat position of the line the value stands on, null where a
 kind has none. A miss has the value ``''``.
 """

@@ -163,7 +163,7 @@ def read_msg(raw: bytes) -> dict:
         if markup.looks_like_html(body):
             body = markup.html_text(body)
         if not body.strip():
-            body = markup.html_text(markup.decode(m.htmlBody)) if m.htmlBody else markup.rtf_text(markup.decode(m.rtfBody))
+            body = markup.html_text(markup.decode(m.htmlBody)) if m.htmlBody else markup.rtf_text(markup.decode(m.rtfBody), mail=True)
         names = ", ".join(a.longFilename or a.shortFilename or "" for a in m.attachments)
         return _mail([("Subject", m.subject), ("From", m.sender), ("To", m.to), ("Cc", m.cc), ("Date", str(m.date or ""))], body, "msg", f"Attachments: {names}" if names else "")
 

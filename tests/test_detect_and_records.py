@@ -1,13 +1,14 @@
-"""Detection, rules, fallbacks and records; the column builders against the batched engine."""
+"""Detection, rules, fallbacks and records; the column builders against the batched reader."""
 
 import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
+from sheafline.operators import batch
 from sheafline.operators import detect as D
-from sheafline.operators import engine
 from sheafline.operators import fallbacks as K
+from sheafline.operators import ladder as S
 from sheafline.operators import record as R
 from sheafline.operators import rules as U
 from sheafline.schema import FIELD_ORDER
@@ -26,8 +27,8 @@ def docs(spark):
     return R.documents_of(spark.createDataFrame(list(enumerate(DOCS)), "model_id long, plain_text string").withColumn("provider_id", F.lit("a"))).persist()
 
 
-def engine_docs(docs, fuzzy=False):
-    return {r["model_id"]: engine.Doc(r["texts"], r["plain_text"], r["raw_lines"], DAY, fuzzy) for r in docs.collect()}
+def batch_docs(docs):
+    return {r["model_id"]: batch.Doc(r["texts"], r["plain_text"], r["raw_lines"], DAY) for r in docs.collect()}
 
 
 RULES = [
@@ -40,18 +41,18 @@ RULES = [
 
 
 @pytest.mark.parametrize("rule", RULES, ids=lambda r: r.get("kind", "none") + str(RULES.index(r)))
-def test_rule_columns_equal_engine(spark, docs, rule):
+def test_rule_columns_equal_batch(spark, docs, rule):
     e, code = U.build(R.view_of(F.lit(DAY)), rule)
     got = {r["model_id"]: (r["e"]["value"], r["e"]["pos"]) for r in docs.select("model_id", e.alias("e")).collect()}
-    want = {i: engine.apply_rule(d, rule) for i, d in engine_docs(docs).items()}
+    want = {i: batch.apply_rule(d, rule) for i, d in batch_docs(docs).items()}
     assert got == {i: (w.value, w.pos) for i, w in want.items()}
     assert {code} == {w.issue for w in want.values()}
 
 
-@pytest.mark.parametrize("field", sorted(K.FALLBACKS))
-def test_fallback_columns_equal_engine(spark, docs, field):
+@pytest.mark.parametrize("field", sorted(S.LADDERS))
+def test_fallback_columns_equal_batch(spark, docs, field):
     got = {r["model_id"]: (r["e"]["value"], r["e"]["rule_id"]) for r in docs.select("model_id", K.fallback(R.view_of(), field).alias("e")).collect()}
-    want = {i: engine.FALLBACKS[field](d) for i, d in engine_docs(docs).items()}
+    want = {i: batch.climb(d, field) for i, d in batch_docs(docs).items()}
     assert got == {i: (w.value, w.rule_id) for i, w in want.items()}
 
 

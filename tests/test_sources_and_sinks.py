@@ -54,6 +54,13 @@ def test_readers(spark):
 def test_markup():
     assert markup.decode(b"caf\xe9") == "café" and markup.decode("é".encode()) == "é" and markup.decode(None) == ""
     assert markup.html_text("a&eacute;<br>b") == "aé\nb"
+    assert markup.html_text("a<style>x</style>b<!-- c -->d\x85") == "a b d..." and markup.html_text("<tr><td>1</td><td>2</td></tr>") == "1 2"
+    assert markup.rtf_text(r"{\rtf1{\fonttbl{\f0 Arial;}{\f1 Times;}}{\*\x y}It\rquote s \'a31\par two\tab x}") == "It's £1\ntwo\tx"
+    assert markup.rtf_text(r"{\rtf1 one\par two \~x}", mail=True) == "one two x"
+    line = b"The Vehicle was seen at the yard of the repairer on the second of May in the rain"
+    twice = line + b"\x00\x01" + line.upper() + b"\x00\x02" + "£ and some more words here".encode("utf-16-le")
+    assert markup.scrape(twice) == line.decode() + "\n£ and some more words here"
+    assert markup.human("a_b (x)") and not markup.human("+++%%%*** a1") and not markup.human("a\tb")
     assert not markup.human("\x00\x01") and not markup.human("12") and markup.human("AB12 CDE")
     assert readers.needs_ocr(2, [1, 1]) and not readers.needs_ocr(3, [1, 1, 1]) and not readers.needs_ocr(1, [2])
     assert readers.uni("/uni0041b") == "Ab"

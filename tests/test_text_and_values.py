@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from sheafline.functions import normalize as N
 from sheafline.functions import text as X
-from sheafline.functions.similarity import locate, ratio
+from sheafline.functions.similarity import Finder, ratio
 from sheafline.functions.validate import issues_of, suspicious
-from sheafline.operators import engine
+from sheafline.operators import batch
 from sheafline.schema import FIELD_ORDER
 
 
@@ -26,7 +26,7 @@ VALUES = [None, "", "  ", " a\t b:\n", "x\r\ny", "A  B   C", "é“q”", ":\n:"
 
 def test_clean_matches_python(spark):
     got = col(spark, VALUES, X.clean)
-    assert got[0] is None and got[1:] == [engine.clean(v) for v in VALUES[1:]]
+    assert got[0] is None and got[1:] == [batch.clean(v) for v in VALUES[1:]]
 
 
 def test_names_and_tokens(spark):
@@ -52,8 +52,8 @@ DATES = ["12th March 2024", "19/122024", "31/02/2024", "5-Apr-69", "5-April-68",
 
 
 def test_dates_match_python(spark):
-    assert col(spark, DATES, N.date) == [engine.norm_date(d or "") for d in DATES]
-    assert engine.norm_date("5-Apr-69") == "05/04/1969" and engine.norm_date("5-April-68") == "05/04/2068"
+    assert col(spark, DATES, N.date) == [batch.norm_date(d or "") for d in DATES]
+    assert batch.norm_date("5-Apr-69") == "05/04/1969" and batch.norm_date("5-April-68") == "05/04/2068"
 
 
 ADDRESSES = ["", None, "one line", "x, AB1 2DE", "a\nb\nc\nd\ne\nf\nAB12DE rest", "12 High St AB1 2DE later", "a,,b", "AB1 2DE", "AB1 2DE and AB2 3EF"]
@@ -61,8 +61,8 @@ ADDRESSES = ["", None, "one line", "x, AB1 2DE", "a\nb\nc\nd\ne\nf\nAB12DE rest"
 
 @pytest.mark.parametrize("force", [False, True])
 def test_addresses_match_python(spark, force):
-    assert col(spark, ADDRESSES, lambda c: N.address(c, force)) == [engine.norm_address(a or "", force) for a in ADDRESSES]
-    assert all(a.count("\n") == 5 for a in (engine.norm_address(x or "", force) for x in ADDRESSES))
+    assert col(spark, ADDRESSES, lambda c: N.address(c, force)) == [batch.norm_address(a or "", force) for a in ADDRESSES]
+    assert all(a.count("\n") == 5 for a in (batch.norm_address(x or "", force) for x in ADDRESSES))
 
 
 def test_other_values(spark):
@@ -77,17 +77,17 @@ def test_issues_and_gates(spark):
     df = spark.createDataFrame([tuple(row[f] for f in FIELD_ORDER)], ", ".join(f"{f} string" for f in FIELD_ORDER))
     codes = [x["code"] for x in df.select(issues_of({f: F.col(f) for f in FIELD_ORDER})).head()[0]]
     assert codes == ["missing_required_field"] * 4 + ["invalid_date_format", "invalid_vrm", "invalid_mileage", "invalid_vat"]
-    doc = engine.Doc(["Reg: AB12 CDE"], "Reg: AB12 CDE at AB1 2DE", [], None)
+    doc = batch.Doc(["Reg: AB12 CDE"], "Reg: AB12 CDE at AB1 2DE", [], None)
     cases = [("claimant_name", "AB12 CDE"), ("claimant_name", "Jo Bloggs"), ("vehicle_model", ""), ("vehicle_model", "Ford AB12CDE"), ("vehicle_model", "Ford Fiesta"), ("vrm", "AB1"), ("vrm", "AB12CDE"), ("reference", "please"), ("reference", "R/1"), ("incident_date", "x"), ("inspection_address", "the introducer said")]
     df = spark.createDataFrame([(f, v) for f, v in cases], "f string, v string")
     got = [df.where(F.col("f") == f).where(F.col("v") == v).select(suspicious(f, F.col("v"), F.lit(doc.text), F.lit("AB12 CDE"))).head()[0] for f, v in cases]
-    assert got == [engine.suspicious(f, v, doc) for f, v in cases]
+    assert got == [batch.suspicious(f, v, doc) for f, v in cases]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(string.ascii_lowercase + " :", max_size=30), max_size=6), st.text(string.ascii_lowercase + " ", min_size=1, max_size=12))
 def test_locate_equals_unbounded_search(lines, label):
-    """The bounds of ``locate`` lose nothing against comparing everything."""
+    """The bounds of ``Finder`` lose nothing against comparing everything."""
     if not label.strip():
         return
     target, size = label.strip(), len(label.split())
@@ -100,4 +100,4 @@ def test_locate_equals_unbounded_search(lines, label):
             if r > best:
                 best, where = r, i
     want = (where, best) if where is not None and best >= 0.72 else None
-    assert locate(lines, label, 0.72) == want
+    assert Finder([label], 0.72).locate([lines])[0].get(label.lower().strip()) == want
