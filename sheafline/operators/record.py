@@ -63,11 +63,12 @@ def _readers(b: pa.RecordBatch, finder: Finder | None, day: dt.date) -> Iterator
             yield a + i, batch.Doc(ls, t, r or [], day, n)
 
 
-def extract_records(docs: DataFrame, catalog: list[dict] | None = None, rules: dict[str, dict] | None = None, fuzzy: bool = True, as_of: dt.date | None = None, key: str = "model_id", spread: bool = True) -> DataFrame:
+def extract_records(docs: DataFrame, catalog: list[dict] | None = None, rules: dict[str, dict] | None = None, fuzzy: bool = True, as_of: dt.date | None = None, key: str = "model_id", spread: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """key, provider_id, lines, fields (struct of 13 extractions), diagnostics and issues of each row of ``docs``.
 
     docs: key, provider_id (of ``detect``), plain_text and the columns of ``documents_of``.
     catalog: providers as dicts with provider_id, name, work_provider, field_rules and flags; a provider without rules gets ``rules``.
+    carry: columns of ``docs`` that are passed on.
     spread: the documents are first shuffled by key over all cores, since the work on each far outweighs moving it and files
     may have few splits.
     An error of a rule is kept as a diagnostic even if a fallback fills the field. Null texts give records without values.
@@ -75,13 +76,13 @@ def extract_records(docs: DataFrame, catalog: list[dict] | None = None, rules: d
     base = DEFAULT_RULES if rules is None else rules
     by_id = {p["provider_id"]: p for p in catalog or []}
     day = as_of or dt.date.today()
-    src = docs.select(key, "provider_id", F.coalesce("plain_text", F.lit("")).alias("plain_text"), F.transform("lines", lambda x: x["line_index"]).alias("at"), "texts", "raw_lines")
+    src = docs.select(key, "provider_id", F.coalesce("plain_text", F.lit("")).alias("plain_text"), F.transform("lines", lambda x: x["line_index"]).alias("at"), "texts", "raw_lines", *carry)
     kind = dict(src.dtypes)[key]
     if spread:
         src = src.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     labels = list(dict.fromkeys([*labels_of(base), *(x for p in by_id.values() for x in labels_of(p.get("field_rules") or {})), *ladder.ALL_LABELS]))
     fields = ", ".join(f"{f}: {FIELD_STRUCT}" for f in FIELD_ORDER)
-    schema = f"`{key}` {kind}, provider_id string, at array<int>, fields struct<{fields}>, diagnostics array<struct<field:string,code:string>>"
+    schema = f"`{key}` {kind}, provider_id string, at array<int>, fields struct<{fields}>, diagnostics array<struct<field:string,code:string>>" + "".join(f", `{c}` {dict(src.dtypes)[c]}" for c in carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.struct([("value", pa.string()), ("raw_value", pa.string()), ("rule_id", pa.string()), ("confidence", pa.float64()), ("pos", pa.int32())])
@@ -97,16 +98,16 @@ def extract_records(docs: DataFrame, catalog: list[dict] | None = None, rules: d
             names = b.schema.names
             yield pa.RecordBatch.from_arrays([
                 b.column(names.index(key)), b.column(names.index("provider_id")), b.column(names.index("at")), pa.array(rows, pa.struct([(f, shape) for f in FIELD_ORDER])),
-                pa.array(notes, pa.list_(pa.struct([("field", pa.string()), ("code", pa.string())]))),
-            ], names=[key, "provider_id", "at", "fields", "diagnostics"])
+                pa.array(notes, pa.list_(pa.struct([("field", pa.string()), ("code", pa.string())]))), *(b.column(names.index(c)) for c in carry),
+            ], names=[key, "provider_id", "at", "fields", "diagnostics", *carry])
 
     df = src.mapInArrow(run, schema)
     return df.withColumn("issues", issues_of({f: F.col(f"fields.{f}.value") for f in FIELD_ORDER}))
 
 
-def wide(records: DataFrame, key: str = "model_id") -> DataFrame:
-    """key, provider_id and the values of the 13 fields as columns."""
-    return records.select(key, "provider_id", *(F.col(f"fields.{f}.value").alias(f) for f in FIELD_ORDER))
+def wide(records: DataFrame, key: str = "model_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, provider_id, the values of the 13 fields as columns and the columns carried."""
+    return records.select(key, "provider_id", *carry, *(F.col(f"fields.{f}.value").alias(f) for f in FIELD_ORDER))
 
 
 def _of_field(field: str) -> Column:

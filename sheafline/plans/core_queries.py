@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from sheafline.functions import normalize as N
 from sheafline.functions import text as X
 from sheafline.functions.similarity import similarity
-from sheafline.functions.validate import issues_of
+from sheafline.functions.validate import issues_of, suspicious
 from sheafline.operators import catalog as C
 from sheafline.operators import detect as D
 from sheafline.operators import fallbacks as K
 from sheafline.operators import record as R
 from sheafline.operators import rules as U
+from sheafline.operators.ladder import LADDERS
 from sheafline.operators.timestamps import date_cases, find_dates, normalise_timestamps
-from sheafline.schema import FIELD_ORDER
+from sheafline.plans import core_sql as Q
+from sheafline.schema import FIELD_ORDER, REQUIRED
 from sheafline.session import table
 from sheafline.sinks import exports
 from sheafline.sources import readers
@@ -28,8 +30,6 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: The day that stands for today, so that results do not depend on the day of a run.
 AS_OF = dt.date(2026, 4, 15)
-#: The SQL of search_norm, read_lines, line_dedup_keep_first and fallback_unit covers only the texts it names in its WHERE (ASCII, usual line
-#: ends); the queries cover all texts, and tests/test_whole_queries.py holds them against the SQL on its texts and against plain Python on all.
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -87,7 +87,7 @@ def label_norm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "provider_catalog").select("provider_id", X.label_form(F.col("name")).alias("label"), F.regexp_replace(F.lower("name"), "[^a-z0-9_ ]+", " ").alias("low"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*') AND text IS NOT NULL")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\n ]+', ' ', 'g'), '[\\n ]+', ' ', 'g')) AS norm FROM documents WHERE text IS NOT NULL")
 def search_norm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", X.search_form(F.col("text")).alias("norm"))
 
@@ -97,21 +97,13 @@ def safe_filename(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "document_models").select("model_id", X.safe_filename(F.col("source_path")).alias("name"))
 
 
-@query(r"""
-WITH d AS (SELECT model_id, unnest(string_split(plain_text, chr(10))) AS t, generate_subscripts(string_split(plain_text, chr(10)), 1) - 1 AS i FROM document_models WHERE NOT regexp_matches(plain_text, '[\r\x0b\x0c\x1c-\x1f\x{85}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]')),
-c AS (SELECT model_id, i, trim(replace(t, chr(9), ' '), ' ' || chr(160)) AS t FROM d)
-SELECT model_id, CAST(i AS INTEGER) AS line_index, t AS text FROM c WHERE t <> ''
-""")
+@query(Q.ALL_LINES + " SELECT model_id, CAST(i AS INTEGER) AS line_index, t AS text FROM c WHERE t <> ''")
 def read_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = _models(spark, d).select("model_id", F.explode(X.line_structs(F.col("plain_text"), keep_first=False)).alias("x"))
     return rows.select("model_id", "x.line_index", "x.text")
 
 
-@query(r"""
-WITH d AS (SELECT model_id, unnest(string_split(plain_text, chr(10))) AS t, generate_subscripts(string_split(plain_text, chr(10)), 1) - 1 AS i FROM document_models WHERE NOT regexp_matches(plain_text, '[^\x00-\x7f]')),
-c AS (SELECT model_id, i, trim(translate(t, chr(13) || chr(9), '  ')) AS t FROM d WHERE trim(translate(t, chr(13) || chr(9), '  ')) <> '')
-SELECT model_id, CAST(i AS INTEGER) AS line_index, t AS text FROM (SELECT *, row_number() OVER (PARTITION BY model_id, lower(t) ORDER BY i) AS k FROM c) WHERE k = 1
-""")
+@query(Q.FIRST_LINES + " SELECT model_id, CAST(i AS INTEGER) AS line_index, t AS text FROM u WHERE k = 1")
 def line_dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return _models(spark, d).select("model_id", F.explode(X.line_structs(F.col("plain_text"))).alias("x")).select("model_id", "x.line_index", "x.text")
 
@@ -126,10 +118,36 @@ def date_ordinal(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.ordinal_date(F.date_format("l_shipdate", "dd/MM/yyyy")).alias("worded"))
 
 
-@query()
+_HTML = "'<!doctype html><html><style>p {x: y}</style><!-- c > d --><p>' || replace(coalesce(plain_text, ''), chr(10), '</p><br/>') || chr(133) || '<script>1</script></td>&pound;&nbsp;</html>'"
+_SQL_HTML = _HTML
+for _a, _b in (("chr(133)", "'...'"), ("chr(145)", "''''"), ("chr(146)", "''''"), ("chr(147)", "'\"'"), ("chr(148)", "'\"'"), ("chr(150)", "'-'"), ("chr(151)", "'-'")):
+    _SQL_HTML = f"replace({_SQL_HTML}, {_a}, {_b})"
+for _a, _b in ((r"(?is)<style[^>]*>.*?</style\s*>", "' '"), (r"(?is)<script[^>]*>.*?</script\s*>", "' '"), ("(?s)<!--.*?-->", "' '"), (r"(?i)<\?xml[^>]*\?>", "' '"), ("(?i)<!doctype[^>]*>", "' '"), (r"(?i)<br\s*/?>|</(?:p|div|tr|li|h[1-6])\s*>", "chr(10)"), (r"(?i)</td\s*>", "chr(9)"), ("<[^>]+>", "' '")):
+    _SQL_HTML = f"regexp_replace({_SQL_HTML}, '{_a}', {_b}, 'g')"
+for _a, _b in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&apos;", "''''"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&pound;", "'£'"), ("&amp;", "'&'")):
+    _SQL_HTML = f"replace({_SQL_HTML}, '{_a}', {_b})"
+_SQL_HTML = Q.strip(f"regexp_replace(regexp_replace(replace({_SQL_HTML}, chr(160), ' '), '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g')")
+
+
+@query(f"SELECT model_id, regexp_matches(lower(substr(ltrim({_HTML}), 1, 200)), '<html|<body|<!doctype|<o:p|<v:') AS is_html, {_SQL_HTML} AS text FROM document_models")
 def html_strip(spark: SparkSession, d: str) -> DataFrame:
-    rows = _models(spark, d).select("model_id", F.concat(F.lit("<html><p>"), F.replace("plain_text", F.lit("\n"), F.lit("</p><br/>")), F.lit("</html>")).alias("h"))
-    return rows.select("model_id", X.looks_like_html(F.col("h")).alias("is_html"), X.strip_html(F.col("h")).alias("text"))
+    text = F.replace(F.coalesce("plain_text", F.lit("")), F.lit("\n"), F.lit("</p><br/>"))
+    h = F.concat(F.lit("<!doctype html><html><style>p {x: y}</style><!-- c > d --><p>"), text, F.lit("\x85<script>1</script></td>&pound;&nbsp;</html>"))
+    return _models(spark, d).select("model_id", h.alias("h")).select("model_id", X.looks_like_html(F.col("h")).alias("is_html"), X.strip_html(F.col("h")).alias("text"))
+
+
+_COUNT = "(length(t) - length(regexp_replace(t, '[{0}]', '', 'g')))"
+_LETTERS, _DIGITS = _COUNT.format(r"\p{L}"), _COUNT.format(r"\p{Nd}")
+_SQL_HUMAN = (
+    r"length(t) BETWEEN 2 AND 220 AND NOT regexp_matches(t, '[\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}]') AND NOT regexp_matches(replace(t, ' ', ''), '\p{Zs}') AND " + f"{_LETTERS} + {_DIGITS} >= 2 AND ({_LETTERS} > 0 OR {_DIGITS} >= 4)"
+    r" AND length(regexp_replace(t, '[\p{L}\p{N}\p{Z}\s.,:;/_()&''@£#-]', '', 'g')) <= greatest(3, length(t) // 8)"
+)
+
+
+@query(Q.ALL_LINES + f" SELECT model_id, CAST(i AS INTEGER) AS line_index, ({_SQL_HUMAN}) AS human FROM c WHERE t <> ''")
+def human_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = _models(spark, d).select("model_id", F.explode(X.line_structs(F.col("plain_text"), keep_first=False)).alias("x"))
+    return rows.select("model_id", "x.line_index", X.is_human(F.col("x.text")).alias("human"))
 
 
 @query()
@@ -210,21 +228,24 @@ def _values(spark: SparkSession, d: str) -> DataFrame:
     return fe.groupBy("model_id").pivot("field_key", list(FIELD_ORDER)).agg(F.first("value"))
 
 
-@query(r"""
-WITH v AS (SELECT model_id, field_key, max(value) AS value FROM field_extractions GROUP BY ALL),
-w AS (SELECT model_id, """ + ", ".join(f"coalesce(max(value) FILTER (field_key = '{f}'), '') AS {f}" for f in FIELD_ORDER) + r""" FROM v GROUP BY model_id)
-SELECT model_id, CAST(""" + " + ".join(f"(trim({f}) = '')::INT" for f in ("work_provider", "vrm", "vehicle_model", "claimant_name", "reference", "incident_date", "instruction_date")) + r""" AS INTEGER) AS missing,
- CAST(""" + " + ".join(f"(trim({f}) <> '' AND (NOT regexp_full_match({f}, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') OR try_strptime({f}, '%d/%m/%Y') IS NULL))::INT" for f in ("incident_date", "instruction_date", "inspection_date")) + r""" AS INTEGER) AS bad_dates,
- CAST((trim(vrm) <> '' AND NOT regexp_full_match(upper(regexp_replace(vrm, '\s+', '', 'g')), '[A-Z0-9]{2,8}'))::INT AS INTEGER) AS bad_vrm FROM w
-""")
+_BLANK = lambda f: f"trim({f}) = ''"
+_BAD_DATE = lambda f: f"(NOT regexp_full_match({f}, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') OR try_strptime({f}, '%d/%m/%Y') IS NULL)"
+_ISSUES = [(f, "missing_required_field", _BLANK(f)) for f in FIELD_ORDER if f in REQUIRED]
+_ISSUES += [(f, "invalid_date_format", f"NOT {_BLANK(f)} AND {_BAD_DATE(f)}") for f in ("incident_date", "instruction_date", "inspection_date")]
+_ISSUES += [(f, code, f"NOT {_BLANK(f)} AND NOT ({ok})") for f, code, ok in (
+    ("vrm", "invalid_vrm", "regexp_full_match(upper(regexp_replace(vrm, '\\s+', '', 'g')), '[A-Z0-9]{2,8}')"), ("mileage", "invalid_mileage", "regexp_full_match(mileage, '[0-9]+')"),
+    ("vat_status", "invalid_vat", "vat_status IN ('Yes', 'No')"), ("mileage_unit", "invalid_mileage_unit", "mileage_unit IN ('Miles', 'Km')"),
+)]
+_WIDE = "v AS (SELECT model_id, field_key, max(value) AS value FROM field_extractions GROUP BY ALL), w AS (SELECT model_id, " + ", ".join(f"coalesce(max(value) FILTER (field_key = '{f}'), '') AS {f}" for f in FIELD_ORDER) + " FROM v GROUP BY model_id)"
+
+
+@query(f"WITH {_WIDE} SELECT model_id, concat_ws('|', " + ", ".join(f"CASE WHEN {test} THEN '{f}:{code}' END" for f, code, test in _ISSUES) + ") AS issues FROM w")
 def validate_issues(spark: SparkSession, d: str) -> DataFrame:
-    w = _values(spark, d)
-    i = w.select("model_id", issues_of({f: F.col(f) for f in FIELD_ORDER}).alias("i"))
-    n = lambda code: F.size(F.filter("i", lambda x: x["code"] == code))
-    return i.select("model_id", n("missing_required_field").alias("missing"), n("invalid_date_format").alias("bad_dates"), n("invalid_vrm").alias("bad_vrm"))
+    i = _values(spark, d).select("model_id", issues_of({f: F.col(f) for f in FIELD_ORDER}).alias("i"))
+    return i.select("model_id", F.array_join(F.transform("i", lambda x: F.concat(x["field"], F.lit(":"), x["code"])), "|").alias("issues"))
 
 
-@query()
+@query(f"WITH {_WIDE} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, '{code}' AS code, '{'error' if code == 'missing_required_field' else 'warning'}' AS severity, count(*) AS n FROM w WHERE {test}" for f, code, test in _ISSUES) + ") WHERE n > 0")
 def validate_summary(spark: SparkSession, d: str) -> DataFrame:
     w = _values(spark, d)
     return w.select(F.explode(issues_of({f: F.col(f) for f in FIELD_ORDER})).alias("x")).groupBy("x.field", "x.code", "x.severity").agg(F.count("*").alias("n"))
@@ -245,20 +266,35 @@ SELECT m.model_id, k.provider_id, round(coalesce(k.conf, 0.0), 6) AS confidence
 """
 
 
-@query(_SQL_DETECT)
+_SQL_BEST = _SQL_DETECT.partition("SELECT m.model_id, k.provider_id")[0] + " SELECT m.model_id, k.provider_id, coalesce(c.name, 'Unknown / Unmapped') AS provider_name, round(coalesce(k.conf, 0.0), 6) AS confidence, coalesce(k.terms, '') AS terms FROM m LEFT JOIN k ON m.model_id = k.model_id AND k.r = 1 LEFT JOIN provider_catalog c ON c.provider_id = k.provider_id"
+_SQL_BEST = _SQL_BEST.replace("AS conf\n", f"AS conf, array_to_string(list_concat(req, list_filter(opt, lambda q: {_HIT})), '|') AS terms\n", 1)
+
+
+def _best(df: DataFrame) -> DataFrame:
+    return df.select("model_id", "provider_id", "provider_name", F.round("confidence", 6).alias("confidence"), F.array_join("matched_terms", "|").alias("terms"))
+
+
+@query(_SQL_BEST)
 def detect_providers(spark: SparkSession, d: str) -> DataFrame:
-    return D.detect(_models(spark, d), table(spark, d, "provider_catalog")).select("model_id", "provider_id", F.round("confidence", 6).alias("confidence"))
+    return _best(D.detect(_models(spark, d), table(spark, d, "provider_catalog")))
 
 
-@query(_SQL_DETECT)
-def detect_by_join(spark: SparkSession, d: str) -> DataFrame:
-    return D.detect_join(_models(spark, d), table(spark, d, "provider_catalog")).select("model_id", "provider_id", F.round("confidence", 6).alias("confidence"))
+@query(_SQL_BEST)
+def detect_by_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The plan for large catalogs, here in blocks of ten providers."""
+    return _best(D.detect_blocks(_models(spark, d), table(spark, d, "provider_catalog"), block=10))
 
 
-@query()
+_SQL_EXPLAIN = _SQL_DETECT.partition("s AS (")[0] + f"""x AS (SELECT m.model_id, p.*, list_filter(req, lambda q: {_HIT}) AS hr, list_filter(opt, lambda q: {_HIT}) AS ho, list_filter(neg, lambda q: {_HIT}) AS hn FROM m, p)
+SELECT model_id, provider_id, array_to_string(list_concat(hr, ho), '|') AS matched_terms, coalesce(array_to_string(list_filter(req, lambda q: NOT list_contains(hr, q)), '|'), '') AS missing_terms, coalesce(array_to_string(hn, '|'), '') AS rejected_terms,
+ len(hr) = len(req) AND len(hn) = 0 AND CASE WHEN len(opt) = 0 THEN 1.0::DOUBLE ELSE 0.8::DOUBLE + 0.2::DOUBLE * (len(ho) / len(opt)) END >= least AS eligible FROM x WHERE len(hr) + len(ho) + len(hn) > 0
+"""
+
+
+@query(_SQL_EXPLAIN)
 def detect_explain(spark: SparkSession, d: str) -> DataFrame:
     c = D.candidates(_models(spark, d), table(spark, d, "provider_catalog"), "model_id")
-    return c.select("model_id", "provider_id", *(F.array_join(t, "|").alias(t) for t in ("matched_terms", "missing_terms", "rejected_terms")), F.col("candidate").isNotNull().alias("eligible"))
+    return c.select("model_id", "provider_id", *(F.array_join(t, "|").alias(t) for t in ("matched_terms", "missing_terms", "rejected_terms")), "eligible")
 
 
 @query("SELECT model_id, coalesce(provider_id, (SELECT min(provider_id) FROM provider_catalog)) AS used FROM (" + _SQL_DETECT + ")")
@@ -272,80 +308,65 @@ def detect_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 def _rule(spark: SparkSession, d: str, rule: dict) -> DataFrame:
     e, _ = U.build(R.view_of(as_of=F.lit(AS_OF)), rule)
-    return _docs(spark, d).select("model_id", e.alias("e")).select("model_id", F.col("e.value").alias("value"), F.col("e.pos").alias("pos"))
-
-
-_LINES = r"""
-WITH d AS (SELECT model_id, plain_text, unnest(string_split(plain_text, chr(10))) AS t, generate_subscripts(string_split(plain_text, chr(10)), 1) - 1 AS i FROM document_models),
-c AS (SELECT model_id, i, trim(translate(t, chr(13) || chr(9), '  '), ' ' || chr(160)) AS t FROM d),
-u AS (SELECT model_id, i, t, row_number() OVER (PARTITION BY model_id, lower(t) ORDER BY i) AS k FROM c WHERE t <> ''),
-l AS (SELECT model_id, t, CAST(row_number() OVER (PARTITION BY model_id ORDER BY i) - 1 AS INTEGER) AS pos FROM u WHERE k = 1)
-"""
+    return _docs(spark, d).select("model_id", e.alias("e")).select("model_id", *(F.col(f"e.{c}").alias(c) for c in ("value", "rule_id", "confidence", "pos")))
 
 
-@query(_LINES + r""", h AS (SELECT model_id, min(pos) AS pos FROM l WHERE contains(lower(t), 'odometer') GROUP BY 1)
-SELECT m.model_id, CASE WHEN h.pos IS NULL THEN '' ELSE trim(substr(l.t, instr(lower(l.t), 'odometer') + 8), ' :') END AS value, CASE WHEN trim(substr(l.t, instr(lower(l.t), 'odometer') + 8), ' :') <> '' THEN h.pos END AS pos
-FROM document_models m LEFT JOIN h USING (model_id) LEFT JOIN l ON l.model_id = m.model_id AND l.pos = h.pos""")
+@query(Q.rule_same_line(("Odometer",)))
 def rule_same_line(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "label_same_line", "labels": ["Odometer"]})
 
 
-_ONLY = "(" + ", ".join(f"'{x}'" for x in X.LABEL_ONLY) + ", '')"
-
-
-@query(_LINES + rf""", h AS (SELECT model_id, min(pos) AS pos FROM l WHERE contains(lower(t), 'incident date') GROUP BY 1),
-n AS (SELECT l.model_id, min(l.pos) AS pos FROM l JOIN h ON l.model_id = h.model_id AND l.pos > h.pos WHERE lower(trim(regexp_replace(l.t, ' {{2,}}', ' ', 'g'), ' :')) NOT IN {_ONLY} GROUP BY 1)
-SELECT m.model_id, coalesce(trim(regexp_replace(l.t, ' {{2,}}', ' ', 'g'), ' :'), '') AS value, n.pos FROM document_models m LEFT JOIN n USING (model_id) LEFT JOIN l ON l.model_id = m.model_id AND l.pos = n.pos""")
+@query(Q.rule_next_line(("Incident date",)))
 def rule_next_line(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "label_next_line", "labels": ["Incident date"]})
 
 
-@query()
+@query(Q.rule_same_or_next(("Our Insured", "Location", "Reference")))
 def rule_same_or_next(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "label_same_or_next_line", "labels": ["Our Insured", "Location", "Reference"]})
 
 
-@query()
+@query(Q.rule_between("Our Insured:", "Vehicle"))
 def rule_between(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "between_labels", "start_label": "Our Insured:", "end_label": "Vehicle"})
 
 
-@query(_LINES + r"SELECT m.model_id, coalesce(trim(regexp_replace(l.t, ' {2,}', ' ', 'g'), ' :'), '') AS value, l.pos FROM document_models m LEFT JOIN l ON l.model_id = m.model_id AND l.pos = 2")
+@query(Q.rule_fixed_line(3))
 def rule_fixed_line(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "fixed_line", "line_number": 3})
 
 
-@query()
+@query(Q.rule_fixed_range(2, 4))
 def rule_fixed_range(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "fixed_line", "line_start": 2, "line_end": 4})
 
 
-@query()
+@query(Q.rule_fixed_label(2, ("From:", "Dated", "Date:")))
 def rule_fixed_label(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "fixed_line_label", "line_number": 2, "labels": ["From:", "Dated", "Date:"]})
 
 
-@query()
+@query(Q.rule_offset("Location", 2))
 def rule_offset(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "line_offset", "labels": ["Location"], "offset": 2})
 
 
-@query(r"SELECT model_id, trim(regexp_extract(plain_text, '(?i)claim no: *([A-Z0-9/-]+)', 1), ' :') AS value, CAST(NULL AS INTEGER) AS pos FROM document_models")
+@query(r"SELECT model_id, trim(regexp_extract(plain_text, '(?i)claim no: *([A-Z0-9/-]+)', 1), ' :') AS value, 'default' AS rule_id, CASE WHEN regexp_matches(plain_text, '(?i)claim no: *([A-Z0-9/-]+)') THEN 1.0::DOUBLE END AS confidence, CAST(NULL AS INTEGER) AS pos FROM document_models")
 def rule_regex(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "regex", "pattern": r"claim no: *([A-Z0-9/-]+)"})
 
 
-@query("SELECT model_id, CASE WHEN contains(lower(plain_text), 'miles') OR contains(lower(plain_text), 'mileage') THEN 'Miles' ELSE 'Km' END AS value, CAST(NULL AS INTEGER) AS pos FROM document_models")
+@query("SELECT model_id, CASE WHEN contains(lower(plain_text), 'miles') OR contains(lower(plain_text), 'mileage') THEN 'Miles' ELSE 'Km' END AS value, 'default' AS rule_id, 1.0::DOUBLE AS confidence, CAST(NULL AS INTEGER) AS pos FROM document_models")
 def rule_presence(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "presence", "tokens": ["miles", "mileage"], "value": "Miles", "absent_value": "Km"})
 
 
-@query("SELECT model_id, '15/04/2026' AS value, CAST(NULL AS INTEGER) AS pos FROM document_models")
+@query("SELECT model_id, '15/04/2026' AS value, 'default' AS rule_id, 1.0::DOUBLE AS confidence, CAST(NULL AS INTEGER) AS pos FROM document_models")
 def rule_manual(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "manual", "value": "{today}"})
 
 
-@query()
+@query(Q.rule_email_date(("Date:", "Sent:")))
 def rule_email_date(spark: SparkSession, d: str) -> DataFrame:
     return _rule(spark, d, {"kind": "email_date", "labels": ["Date:", "Sent:"]})
 
@@ -363,18 +384,27 @@ def _fallback(spark: SparkSession, d: str, field: str) -> DataFrame:
     return _docs(spark, d).select("model_id", e.alias("e")).select("model_id", *(F.col(f"e.{c}").alias(c) for c in ("value", "rule_id", "confidence", "pos")))
 
 
-@query("SELECT model_id, CASE WHEN regexp_matches(lower(plain_text), '\\b(?:km|kilomet(?:er|re)s?)\\b') THEN 'Km' WHEN regexp_matches(lower(plain_text), '\\b(?:miles?|mi)\\b') THEN 'Miles' ELSE '' END AS value FROM document_models WHERE NOT regexp_matches(plain_text, '[^\\x00-\\x7f]')")
-def fallback_unit(spark: SparkSession, d: str) -> DataFrame:
-    return _fallback(spark, d, "mileage_unit").select("model_id", "value")
+for _name, _key in (("vrm", "vrm"), ("reference", "reference"), ("incident_date", "incident_date"), ("instruction_date", "instruction_date"), ("address", "inspection_address"), ("claimant", "claimant_name"), ("model", "vehicle_model"), ("vat", "vat_status"), ("unit", "mileage_unit")):
+    assert _key in LADDERS
+    QUERIES[f"fallback_{_name}"] = lambda spark, d, f=_key: _fallback(spark, d, f)
+    ORACLES[f"fallback_{_name}"] = Q.fallback(_key)
 
 
-@query("SELECT model_id, CASE WHEN NOT contains(lower(plain_text), 'vat') THEN '' WHEN regexp_matches(lower(plain_text), '\\b(?:no|not|non)\\s+vat\\b|vat\\s+(?:no|not|none|exempt)') THEN 'No' ELSE 'Yes' END AS value FROM document_models")
-def fallback_vat(spark: SparkSession, d: str) -> DataFrame:
-    return _fallback(spark, d, "vat_status").select("model_id", "value")
+# ---- gates
 
 
-for _name, _key in (("vrm", "vrm"), ("reference", "reference"), ("incident_date", "incident_date"), ("address", "inspection_address"), ("claimant", "claimant_name"), ("model", "vehicle_model")):
-    QUERIES[f"fallback_{_name}"] = lambda spark, d, f=_key: _fallback(spark, d, f)
+def _gate(spark: SparkSession, d: str, field: str) -> DataFrame:
+    """The gate of a field over the values that stand in the extractions; a model is held against the plate of its document."""
+    fe = table(spark, d, "field_extractions")
+    value = N.vrm(F.col("value")) if field == "vrm" else F.col("value")
+    plates = fe.where("field_key = 'vrm'").groupBy("model_id").agg(F.max(N.vrm(F.col("value"))).alias("plate"))
+    rows = fe.where(F.col("field_key") == field).select("record_id", "model_id", value.alias("value")).join(_models(spark, d), "model_id", "left").join(plates, "model_id", "left")
+    return rows.select("record_id", "value", suspicious(field, F.col("value"), F.col("plain_text"), F.col("plate")).alias("suspicious"))
+
+
+for _name, _key in (("reference", "reference"), ("claimant", "claimant_name"), ("model", "vehicle_model"), ("vrm", "vrm"), ("address", "inspection_address"), ("date", "incident_date")):
+    QUERIES[f"gate_{_name}"] = lambda spark, d, f=_key: _gate(spark, d, f)
+    ORACLES[f"gate_{_name}"] = Q.gate(_key)
 
 
 # ---- records
@@ -400,28 +430,33 @@ def _wide_values(spark: SparkSession, d: str) -> DataFrame:
     return _values(spark, d).na.fill("", list(FIELD_ORDER))
 
 
-_WIDE = "v AS (SELECT model_id, field_key, max(value) AS value FROM field_extractions GROUP BY ALL), w AS (SELECT model_id, " + ", ".join(f"coalesce(max(value) FILTER (field_key = '{f}'), '') AS {f}" for f in FIELD_ORDER) + " FROM v GROUP BY model_id)"
+_OVER = {"claimant_name": "claimant_name", "vrm": "vrm", "incident_date": "incident_date", "inspection_address": "inspection_address"}
 
 
-@query(f"WITH {_WIDE}, r AS (SELECT model_id, max(expected_values['claimant_name']) AS n, max(expected_values['vrm']) AS p FROM expected_fixtures GROUP BY 1) SELECT w.model_id, work_provider, CASE WHEN trim(coalesce(r.p, '')) <> '' THEN r.p ELSE vrm END AS vrm, CASE WHEN trim(coalesce(r.n, '')) <> '' THEN r.n ELSE claimant_name END AS claimant_name FROM w LEFT JOIN r USING (model_id)")
+@query(f"WITH {_WIDE}, r AS (SELECT model_id, " + ", ".join(f"max(expected_values['{f}']) AS r_{f}" for f in _OVER) + " FROM expected_fixtures GROUP BY 1) SELECT w.model_id, " + ", ".join(f"CASE WHEN trim(coalesce(r.r_{f}, '')) <> '' THEN r.r_{f} ELSE w.{f} END AS {f}" if f in _OVER else f"w.{f}" for f in FIELD_ORDER) + " FROM w LEFT JOIN r USING (model_id)")
 def engineer_overlay(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "expected_fixtures").groupBy("model_id").agg(F.max(F.col("expected_values")["claimant_name"]).alias("n"), F.max(F.col("expected_values")["vrm"]).alias("p"))
-    report = e.select("model_id", *(F.col({"claimant_name": "n", "vrm": "p"}[f]).alias(f) if f in ("claimant_name", "vrm") else F.lit("").alias(f) for f in FIELD_ORDER))
-    return R.overlay(_wide_values(spark, d), report, "model_id").select("model_id", "work_provider", "vrm", "claimant_name")
+    """The fixtures stand for reports; what they do not hold is blank in them."""
+    e = table(spark, d, "expected_fixtures").groupBy("model_id").agg(*(F.max(F.col("expected_values")[f]).alias(f"r_{f}") for f in _OVER))
+    report = e.select("model_id", *((F.col(f"r_{f}") if f in _OVER else F.lit("")).alias(f) for f in FIELD_ORDER))
+    return R.overlay(_wide_values(spark, d), report, "model_id").select("model_id", *FIELD_ORDER)
 
 
-_FLAGS = "(trim(lower(claimant_name)) IN ('name', 'model', 'reference', 'ref', 'vehicle', 'claimant'))::INT + (trim(lower(vehicle_model)) IN ('name', 'model', 'reference', 'ref', 'vehicle', 'claimant'))::INT + (trim(lower(reference)) IN ('name', 'model', 'reference', 'ref', 'vehicle', 'claimant'))::INT + (vrm <> '' AND contains(upper(regexp_replace(vehicle_model, '\\s+', '', 'g')), upper(regexp_replace(vrm, '\\s+', '', 'g'))))::INT + " + " + ".join(f"({f} <> '' AND NOT regexp_full_match({f}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}'))::INT" for f in ("incident_date", "instruction_date", "inspection_date"))
+_LABEL_WORDS = "('name', 'model', 'reference', 'ref', 'vehicle', 'claimant')"
+_FLAGS = [("model_contains_vrm", "vrm <> '' AND contains(upper(regexp_replace(vehicle_model, '\\s+', '', 'g')), upper(regexp_replace(vrm, '\\s+', '', 'g')))")]
+_FLAGS += [(f"{f}_looks_like_label", f"trim(lower({f})) IN {_LABEL_WORDS}") for f in ("claimant_name", "vehicle_model", "reference")]
+_FLAGS += [(f"{f}_not_normalised", f"{f} <> '' AND NOT regexp_full_match({f}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}')") for f in ("incident_date", "instruction_date", "inspection_date")]
+_FLAG_LIST = "concat_ws('|', " + ", ".join(f"CASE WHEN {test} THEN '{flag}' END" for flag, test in _FLAGS) + ")"
 
 
-@query(f"WITH {_WIDE} SELECT model_id, CAST({_FLAGS} AS INTEGER) AS n_flags FROM w")
+@query(f"WITH {_WIDE} SELECT model_id, {_FLAG_LIST} AS flags FROM w")
 def audit_flags(spark: SparkSession, d: str) -> DataFrame:
-    return R.audit_flags(_wide_values(spark, d)).select("model_id", F.size("flags").alias("n_flags"))
+    return R.audit_flags(_wide_values(spark, d)).select("model_id", F.array_join("flags", "|").alias("flags"))
 
 
-@query(f"WITH {_WIDE} SELECT count(*) AS documents, count(*) FILTER ({_FLAGS} > 0) AS flagged FROM w")
+@query(f"WITH {_WIDE} SELECT count(*) AS documents, count(*) FILTER ({_FLAG_LIST} <> '') AS flagged, count(*) FILTER (" + " AND ".join(f"trim({f}) <> ''" for f in REQUIRED) + ") AS complete, CAST(sum(" + " + ".join(f"(trim({f}) <> '')::INT" for f in FIELD_ORDER) + ") AS BIGINT) AS filled_fields FROM w")
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
     w = _wide_values(spark, d)
-    return R.audit_summary(w.join(R.audit_flags(w), "model_id")).select("documents", "flagged")
+    return R.audit_summary(w.join(R.audit_flags(w), "model_id")).select("documents", "flagged", "complete", "filled_fields")
 
 
 @query("SELECT provider_id, field_key, count(*) AS documents, count(*) FILTER (trim(value) <> '') AS filled, CAST(grouping(provider_id, field_key) AS BIGINT) AS level FROM field_extractions GROUP BY CUBE (provider_id, field_key)")

@@ -17,13 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints, shared by all executors.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, local mode) a temporary folder of this machine is set instead.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset a temporary folder of this machine is set in local
+    mode; elsewhere that is an error, since other hosts could not read it.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sheafline-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
+        path = tempfile.mkdtemp(prefix="sheafline-ckpt-")
     sc.setCheckpointDir(path)
     return path
 

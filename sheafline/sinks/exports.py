@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from sheafline.functions.text import address_block, ordinal_date, safe_filename
 from sheafline.schema import DATES, DOCUMENT, FIELD_ORDER, FIELDS
+from sheafline.session import cut
 
 
 def _v(f: str) -> Column:
@@ -56,10 +57,18 @@ def record_from_map(df: DataFrame, key: str, values: str) -> DataFrame:
 
 
 def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """``unique_name``: later rows of one name get ``_2``, ``_3`` and so on (before the suffix of a file). One shuffle by name."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    """``unique_name``: later rows of one name get ``_2``, ``_3`` and so on (before the suffix of a file); a null name stays null.
+
+    Rows are cut into ranges of (name, order) and numbered within them from where the ranges before ended, so that a name
+    that many rows share is not numbered in one task.
+    """
+    ranges = cut(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), name, order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("count").over(Window.partitionBy(name).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.groupBy(name, "_range").count().withColumn("_before", F.coalesce(before, F.lit(0))).drop("count")
+    n = F.row_number().over(Window.partitionBy(name, "_range").orderBy(order)) + F.col("_before")
     stem, suffix = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), suffix)))
+    unique = F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), suffix))
+    return ranges.join(starts, [name, "_range"], "left").withColumn("unique_name", unique).select(*df.columns, "unique_name")
 
 
 def output_folder(as_of: Column) -> Column:

@@ -21,12 +21,11 @@ def drop_folder(spark: SparkSession, path: str, files_per_batch: int = 1_000) ->
 
 
 def process(files: DataFrame, catalog: DataFrame, providers: list[dict] | None = None, fuzzy: bool = True) -> DataFrame:
-    """Wide records of files; the same code for a batch and for a micro-batch. Unreadable files give records without values and their error."""
+    """Wide records of files; the same code for a batch and for a micro-batch; each file is read once. Unreadable files give records without values and their error."""
     docs = read_content(files)
     keyed = detect(docs.withColumn("plain_text", F.coalesce("plain_text", F.lit(""))), catalog)
     ready = documents_of(keyed).withColumnRenamed("source_path", "doc_id")
-    out = wide(extract_records(ready, providers, fuzzy=fuzzy, key="doc_id"), "doc_id")
-    return out.join(docs.select(F.col("source_path").alias("doc_id"), "reader_error"), "doc_id", "left")
+    return wide(extract_records(ready, providers, fuzzy=fuzzy, key="doc_id", carry=("reader_error",)), "doc_id", ("reader_error",))
 
 
 def run(spark: SparkSession, folder: str, catalog: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, providers: list[dict] | None = None, once: bool = True, fuzzy: bool = True) -> StreamingQuery:

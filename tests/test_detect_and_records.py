@@ -104,7 +104,7 @@ def test_detection(spark):
     ], CATALOG)
     docs = spark.createDataFrame([(1, "ACME  law vat"), (2, "acme yard"), (3, None), (4, "From O’Neill / sons"), (5, "o neill sons")], "k long, plain_text string")
     one = {r["k"]: (r["provider_id"], round(r["confidence"], 6), r["matched_terms"]) for r in D.detect(docs, cat).collect()}
-    two = {r["k"]: (r["provider_id"], round(r["confidence"], 6), r["matched_terms"]) for r in D.detect_join(docs, cat).collect()}
+    two = {r["k"]: (r["provider_id"], round(r["confidence"], 6), r["matched_terms"]) for r in D.detect_blocks(docs, cat, block=2).collect()}
     assert one == two
     assert one[1] == ("c", 1.0, ["acme", "law"]) and one[2] == (None, 0.0, []) and one[3] == (None, 0.0, []) and one[5][0] == "e"
     assert D.detect(docs, cat.limit(0)).where("provider_id is null").count() == 5
@@ -112,5 +112,6 @@ def test_detection(spark):
     assert first == "a" and D.resolve(D.detect(docs, cat), cat).where("k = 3").head()["used_provider"] is None
     with pytest.raises(ValueError):
         D.resolve(docs, cat, explicit="nobody")
-    n = D.candidates(docs, cat, "k").count()
-    assert n == 5 * 4
+    said = {(r["k"], r["provider_id"]): (r["matched_terms"], r["missing_terms"], r["rejected_terms"], r["eligible"]) for r in D.candidates(docs, cat, "k", block=3).collect()}
+    assert said[(2, "b")] == (["acme"], [], ["yard"], False) and said[(1, "c")] == (["acme", "law"], [], [], True) and said[(2, "c")] == (["acme"], ["law"], [], False)
+    assert not any(k == 3 for k, _ in said) and D.candidates(docs, cat.limit(0), "k").count() == 0

@@ -1,4 +1,4 @@
-"""The queries whose SQL covers only part of the texts, against that SQL on its part and against plain Python on all."""
+"""Queries over texts with signs of many kinds, against their SQL and against plain Python."""
 
 import re
 
@@ -37,9 +37,10 @@ def test_all_texts_have_their_rows(spark, tmp_path, name):
     for table, key, text in (("documents", "doc_id", "text"), ("document_models", "model_id", "plain_text")):
         spark.createDataFrame(list(enumerate(TEXTS)), f"{key} long, {text} string").coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
     got = {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
-    assert got == brute(name)
+    short = {r[:2] for r in got} if name == "fallback_unit" else got
+    assert short == brute(name)
     con = duckdb.connect()
     for table in ("documents", "document_models"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
     of_sql = set(con.execute(ORACLES[name]).fetchall())
-    assert of_sql and of_sql == {r for r in got if r[0] in {x[0] for x in of_sql}}
+    assert of_sql == got
