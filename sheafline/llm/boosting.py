@@ -8,8 +8,8 @@ import numpy as np
 class Boosted:
     """Logistic boosting of trees of fixed depth over quantile cuts. Deterministic."""
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.2, cuts: int = 24, leaf: int = 10):
-        self.rounds, self.depth, self.rate, self.cuts, self.leaf = rounds, depth, rate, cuts, leaf
+    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.2, cuts: int = 24, leaf: int = 10, share: float = 1.0):
+        self.rounds, self.depth, self.rate, self.cuts, self.leaf, self.share = rounds, depth, rate, cuts, leaf, share
         self.base, self.trees = 0.0, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
@@ -21,7 +21,10 @@ class Boosted:
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.cuts + 1)[1:-1])) for j in range(m)]
         bins = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1)
         score = np.full(n, self.base)
+        draw = np.random.default_rng(0)
         for _ in range(self.rounds):
+            # each tree sees a share of the features, the same ones at every fit
+            self.seen = np.sort(draw.permutation(m)[: max(1, round(self.share * m))])
             prob = 1 / (1 + np.exp(-score))
             tree, where = self._grow(bins, y - prob, prob * (1 - prob))
             self.trees.append(tree)
@@ -39,7 +42,7 @@ class Boosted:
                 best = (1e-6, -1, 0)
                 if len(at) >= 2 * self.leaf:
                     gs, hs = g[at].sum(), h[at].sum()
-                    for j in range(m):
+                    for j in self.seen:
                         q = len(self.edges[j]) + 1
                         if q < 2:
                             continue
@@ -49,7 +52,7 @@ class Boosted:
                         gain = np.where(ok, gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1), -1)
                         i = int(gain.argmax()) if len(gain) else 0
                         if len(gain) and gain[i] > best[0]:
-                            best = (float(gain[i]), j, i)
+                            best = (float(gain[i]), int(j), i)
                 if best[1] >= 0:
                     feature[k], cut[k] = best[1], self.edges[best[1]][best[2]]
                     node[at] = np.where(bins[at, best[1]] <= best[2], 2 * k + 1, 2 * k + 2)

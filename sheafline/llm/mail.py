@@ -1,9 +1,11 @@
 """Only the text that the sender of a mail newly wrote (problem 2).
 
-Method: the body is segmented into blocks (paragraphs, split where the depth of quotation or the structure changes) and
+Method: the body is segmented into blocks (paragraphs, split where the depth of quotation or the cue of the lines changes) and
 gradient-boosted trees classify them by contact density, quote depth, sender frequency (in how many mails and by how
-many senders the lines occur), overlap with the quoted ancestors, position and wording. The trees are trained on the
-blocks of a bounded sample of mails whose structure leaves no doubt; an exact check of that structure follows.
+many senders their lines occur), overlap with the quoted ancestors, wording, and how far the nearest closing
+formulas, separators, introductions, copied headers and quotations are on either side. A second stage of trees sees also
+what the first says of the neighbouring blocks. The trees decide alone; they are fitted on a bounded sample of mails that
+``mail_labels`` labels, since no labelled mails exist.
 """
 
 from __future__ import annotations
@@ -19,166 +21,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.llm import mail_labels
+from sheafline.llm import mail_lines as C
 from sheafline.llm.boosting import Boosted
-from sheafline.session import bounded_sample, top_rows
-
-#: Mails of the training sample (the first by a hash of their id); lines broadcast with their counts (the commonest first).
-FIT_MAILS, MOST_LINES, LINE_MAILS = 2_000, 20_000, 3
-
-#: Closing formulas, words of header fields by their kind, words of introductions to quotations.
-CLOSERS = (
-    "kind regards", "best regards", "warm regards", "regards", "kr", "br", "rgds", "many thanks", "thanks", "thank you", "with thanks", "thanks and regards", "best wishes", "best", "yours sincerely",
-    "yours faithfully", "yours truly", "sincerely", "cheers", "all the best", "mfg", "mit freundlichen grüßen", "viele grüße", "cordialement", "bien cordialement", "saludos", "un saludo", "pozdrawiam",
-)
-_FROM = r"(?:From|Von|De|Od|Da)"
-_FIELD = r"(?:From|Von|De|Od|Da|Sent|Gesendet|Envoy\S{1,8}|Enviado|Wys\S{1,6}ano|Date|Datum|Fecha|Data|To|An|À|Para|Do|Cc|Kopie|Subject|Betreff|Objet|Asunto|Temat)"
-_HEAD_FIRST = re.compile(rf"^\*?{_FROM} ?:\*? ?\S", re.I)
-_HEAD_ANY = re.compile(rf"^\*?{_FIELD} ?:\*?(?: |$)", re.I)
-_WROTE = r"(?:wrote|schrieb|crit|escribi\S{1,6}|pisze|napisa\S{1,6})"
-_INTRO = re.compile(rf"^(?:(?:On|Am|Le|El|W dniu) .*[0-9].*{_WROTE}.{{0,80}}|.{{0,60}}\b{_WROTE} (?:on|am|le|el) .*[0-9].*) ?:$", re.I)
-_INTRO_A = re.compile(r"^(?:On|Am|Le|El|W dniu) .*[0-9]{1,4}.*$", re.I)
-_INTRO_B = re.compile(rf"^.{{0,80}}\b{_WROTE} ?:$", re.I)
-_MARK = re.compile(r"^(?:-{2,} ?.*\b(?:message|nachricht|messaggio|mensaje|wiadomo\S+|transf\S*|forwarded|original)\b.* ?-{2,}|begin forwarded message ?:|anfang der weitergeleiteten nachricht ?:)$", re.I)
-_QUOTED = re.compile(r"^\s{0,2}((?:[>|]\s?)+)(.*)$", re.S)
-_SEPARATOR = re.compile(r"^(?:-- ?|_{5,}|-{5,}|={5,}|\*{5,})$")
-_CONTACT = re.compile(r"^(?:t|tel|telephone|phone|m|mob|mobile|ddi|dd|direct|fax|e|email|e-mail|web|www|w)\b ?[:.]? ?\S|^\S+@\S+$|^(?:https?://|www\.)\S+$|^\+?[0-9 ().-]{9,}$", re.I)
-_NOTICE = re.compile(
-    r"confidential|privileged|liabilit|virus|before printing|addressee|trading style|opinion stated|bank details never|vertraulich|confidentiel|poufn|bound by|disclaimer|unsubscribe|"
-    r"(?:external|outside)[^.]{0,40}(?:sender|organisation|organization|network|company)|^sent from (?:my|a) |^get the app|^\[external|^caution\b|gesendet von mein|envoy\S+ de mon",
-    re.I,
-)
-NEW, QUOTE, INTRO, OLD, SIGN, NOTICE = range(6)
-
-
-class Line:
-    __slots__ = ("no", "text", "depth", "state", "sure", "block")
-
-    def __init__(self, no: int, text: str, depth: int):
-        self.no, self.text, self.depth, self.state, self.sure, self.block = no, text, depth, NEW, False, 0
-
-
-def sender_names(header: list[str]) -> set[str]:
-    """Spellings of the sender's own name."""
-    for h in header:
-        if h.lower().startswith("from:"):
-            name = re.sub(r"<.*|\(.*", "", h[5:]).strip(" \"'")
-            words = name.split()
-            out = {name.lower()} | ({words[0].lower(), f"{words[0][0]}. {words[-1]}".lower()} if words and "@" not in name else set())
-            return {x for x in out if x and "@" not in x}
-    return set()
-
-
-def _bare(s: str) -> str:
-    return s.strip(" ,.!*-–").lower()
-
-
-def read_mail(text: str) -> tuple[list[Line], set[str]]:
-    """The non-blank lines of the body with their structural state; the sender's names."""
-    rows = text.split("\n")
-    start = next((i for i, r in enumerate(rows) if not r.strip()), len(rows))
-    names = sender_names(rows[:start])
-    raw = [(i, rows[i].replace("\r", "").replace("\xa0", " ")) for i in range(start + 1, len(rows))]
-    bars = sum(r.lstrip().startswith("|") for _, r in raw) >= 2
-    lines: list[Line] = []
-    block = 0
-    for i, r in raw:
-        if not r.strip():
-            block += 1
-            continue
-        m = _QUOTED.match(r)
-        depth, body = 0, r
-        if m and (">" in m[1] or bars):
-            depth, body = len(re.sub(r"\s", "", m[1])), m[2]
-        x = Line(i, body.strip(), depth)
-        if lines and (lines[-1].depth > 0) != (depth > 0):
-            block += 1
-        x.block = block
-        lines.append(x)
-    _structure(lines, names)
-    return lines, names
-
-
-def _intro_at(lines: list[Line], k: int) -> int:
-    """Number of lines of an introduction to a quotation at k, 0 if there is none."""
-    s = lines[k].text
-    if _INTRO.match(s):
-        return 1
-    if k + 1 < len(lines) and _INTRO_A.match(s) and len(s) < 120 and _INTRO_B.match(lines[k + 1].text) and lines[k + 1].depth == lines[k].depth:
-        return 2
-    return 0
-
-
-def _header_at(lines: list[Line], k: int) -> bool:
-    """A copied header block begins at k."""
-    if not _HEAD_FIRST.match(lines[k].text):
-        return False
-    return sum(bool(_HEAD_ANY.match(x.text)) and x.depth == lines[k].depth for x in lines[k + 1 : k + 3]) >= min(2, len(lines) - k - 1) > 0
-
-
-def _structure(lines: list[Line], names: set[str]) -> None:
-    n = len(lines)
-    k = 0
-    state = NEW
-    while k < n:
-        x = lines[k]
-        s = x.text
-        if state == OLD:
-            x.state, x.sure = OLD, True
-            k += 1
-            continue
-        if x.depth:
-            end = k
-            while end < n and lines[end].depth:
-                end += 1
-            lone = end - k == 1 and re.match(r"[0-9]", s) and not (k and lines[k - 1].state in (INTRO, QUOTE))
-            for y in lines[k:end]:
-                y.state, y.sure = (NEW, True) if lone else (QUOTE, True)
-            state = NEW if state != SIGN or not lone else state
-            k = end
-            continue
-        intro = _intro_at(lines, k)
-        if intro:
-            for y in lines[k : k + intro]:
-                y.state, y.sure = INTRO, True
-            k += intro
-            state = NEW if k < n and lines[k].depth else OLD
-            continue
-        after = k + 1 < n and (_header_at(lines, k + 1) or bool(_MARK.match(lines[k + 1].text)) or (k + 2 < n and bool(_MARK.match(s)) and _header_at(lines, k + 2)))
-        if _MARK.match(s) or _header_at(lines, k) or (_SEPARATOR.match(s) and after):
-            state = OLD
-            continue
-        if state != SIGN and _signs(lines, k, names):
-            state = SIGN
-        if state == SIGN:
-            x.state, x.sure = SIGN, True
-        elif _NOTICE.search(s) and (k == 0 or len(s) < 400):
-            x.state = NOTICE
-        k += 1
-
-
-def _signs(lines: list[Line], k: int, names: set[str]) -> bool:
-    s = lines[k].text
-    rest = []
-    for y in lines[k + 1 :]:
-        if y.depth or _MARK.match(y.text) or _INTRO.match(y.text) or _INTRO_A.match(y.text):
-            break
-        rest.append(y)
-    spelled = re.compile(r"\S+ ?[\[(]?\bat\b[\])]? ?\S+ ?[\[(]?\bdot\b|\S+ [\[(]at[\])] \S+", re.I)
-    short = lambda y: (len(y.text.split()) <= 4 and len(y.text) < 45) or bool(spelled.search(y.text))
-    if _SEPARATOR.match(s):
-        return not rest or short(rest[0])
-    if _bare(s) in CLOSERS and len(s) < 40:
-        return not rest or short(rest[0]) or bool(_NOTICE.search(rest[0].text)) or _header_at(lines, k + 1)
-    if _bare(s) in names and k > 0:
-        # without a closing formula: the sender's name, and nothing but short lines, contacts and notices after it
-        return all(short(y) or _CONTACT.match(y.text) or _NOTICE.search(y.text) or _HEAD_ANY.match(y.text) for y in rest[:3]) and not s.endswith(",")
-    return False
+from sheafline.llm.mail_lines import Line, bare, read_mail
+from sheafline.session import bounded_sample, top_and_rest
+
+#: Mails of the training sample (the first by a hash of their id); lines broadcast with their counts (the others come by a join); mails that a line must stand in to be counted as repeated.
+FIT_MAILS, MOST_LINES, LINE_MAILS = 1_500, 20_000, 3
+#: Farthest distance, in lines, that a feature tells apart.
+FAR = 40
 
 
 def blocks_of(lines: list[Line]) -> list[list[Line]]:
     out: list[list[Line]] = []
     for x in lines:
-        if out and out[-1][-1].block == x.block and out[-1][-1].state == x.state:
+        if out and out[-1][-1].paragraph == x.paragraph and out[-1][-1].cue == x.cue:
             out[-1].append(x)
         else:
             out.append([x])
@@ -208,74 +66,126 @@ class Wording:
         return sum(self.odds.get(x, 0.0) for x in w) / max(len(w), 1)
 
 
+def _distances(marks: list[bool], sizes: list[int]) -> tuple[list[int], list[int]]:
+    """For each block the lines between it and the nearest marked block before and after it, ``FAR`` at most."""
+    n = len(marks)
+    before, after = [FAR] * n, [FAR] * n
+    for out, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
+        gap = FAR
+        for i in order:
+            out[i] = gap
+            gap = 0 if marks[i] else min(FAR, gap + sizes[i])
+    return before, after
+
+
 def features(blocks: list[list[Line]], names: set[str], common: dict[str, tuple[int, int]], wording: Wording) -> np.ndarray:
-    old = {w for b in blocks for x in b if x.depth or x.state == OLD for w in _words(x.text)}
-    total = max(sum(len(b) for b in blocks), 1)
-    seen = 0
-    signed = False
-    rows = []
-    for b in blocks:
+    """A row for each block; all features come from the wording and the layout of the lines."""
+    n = len(blocks)
+    if not n:
+        return np.zeros((0, WIDTH))
+    sizes, cues, deep = [len(b) for b in blocks], [b[0].cue for b in blocks], [b[0].depth > 0 for b in blocks]
+    total = sum(sizes)
+    head = [b[0].cue == C.HEAD and len(b) >= 2 for b in blocks]
+    top = [c == C.MARKER or h for c, h in zip(cues, head)]
+    first_top = next((i for i, t in enumerate(top) if t), n)
+    old = {w for i, b in enumerate(blocks) for x in b if x.depth or i > first_top for w in _words(x.text)}
+    marks = [[c == k and not d for c, d in zip(cues, deep)] for k in (C.CLOSES, C.SEPARATES, C.NAMES, C.CONTACTS, C.MARKER, C.INTRODUCES, C.INTRO_BEGINS, C.INTRO_ENDS)] + [head, deep]
+    near = [d for m in marks for d in _distances(m, sizes)]
+    # from each block on to the next quotation, marker or introduction: lines, and the share of them that are short
+    rest, short = [0] * n, [0.0] * n
+    lines = few = 0
+    for i in range(n - 1, -1, -1):
+        if i + 1 < n and (deep[i + 1] or top[i + 1] or cues[i + 1] in (C.INTRODUCES, C.INTRO_BEGINS)):
+            lines = few = 0
+        rest[i], short[i] = min(lines, FAR), few / max(lines, 1)
+        lines += sizes[i]
+        few += sum(len(x.text) < 45 and len(x.text.split()) <= 4 for x in blocks[i])
+    rows, seen, depth_seen = [], 0, 0
+    for i, b in enumerate(blocks):
         text = " ".join(x.text for x in b)
-        words = set(_words(text))
+        words = _words(text)
         freq = [common.get(x.text, (1, 1)) for x in b]
-        contacts = sum(bool(_CONTACT.match(x.text)) for x in b)
         own = 0.0 if b[0].depth else 1.0
         rows.append((
-            contacts / len(b), max(x.depth for x in b), math.log(max(f[0] for f in freq)), math.log(max(f[1] for f in freq)), np.mean([math.log(f[0]) for f in freq]),
-            len(words & old) / max(len(words), 1) * own, seen / total, len(b), len(text) / len(b), wording.score(text), sum(_bare(x.text) in names for x in b) / len(b), float(signed),
-            text.count("@") / len(b), sum(c.isdigit() for c in text) / max(len(text), 1), float(bool(_NOTICE.search(text))), float(b[0].state in (QUOTE, INTRO, OLD)), float(b[0].state == SIGN),
+            sum(x.cue == C.CONTACTS or "@" in x.text for x in b) / len(b), max(x.depth for x in b), math.log(max(f[0] for f in freq)), math.log(max(f[1] for f in freq)), sum(math.log(f[0]) for f in freq) / len(b),
+            len(old.intersection(words)) / max(len(set(words)), 1) * own, seen / total, seen, len(b), len(text) / len(b), len(words) / len(b), max(len(x.text) for x in b), wording.score(text), wording.score(blocks[i + 1][0].text) if i + 1 < n else 0.0,
+            sum(bare(x.text) in names for x in b) / len(b), text.count("@") / len(b), sum(c.isdigit() for c in text) / max(len(text), 1), float(text[:1].isdigit()), float(text.endswith(",")), float(bool(C.HEAD_FIRST.match(b[0].text))),
+            sizes[i + 1] if i + 1 < n else 0, float(i > first_top), float(i == first_top), float(i > 0 and b[0].paragraph == blocks[i - 1][0].paragraph), depth_seen, rest[i], short[i],
+            *(d[i] for d in near), *(float(cues[i] == k) for k in range(10)), float(i + 1 < n and deep[i + 1]), float(i > 0 and deep[i - 1]),
         ))
         seen += len(b)
-        signed = signed or b[0].state == SIGN
-    return np.array(rows, dtype=float).reshape(len(rows), 17)
+        depth_seen = max(depth_seen, b[0].depth)
+    return np.array(rows, dtype=float)
+
+
+#: Number of features.
+WIDTH = 27 + 20 + 10 + 2
+
+
+def _stacked(f: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The features of the second stage: those of the first and what it says of the two blocks on either side and of all before."""
+    pad = np.concatenate([[0.5, 0.5], p, [0.5, 0.5]])
+    n = len(p)
+    return np.column_stack([f, p, pad[:n], pad[1 : n + 1], pad[3 : n + 3], pad[4 : n + 4], np.maximum.accumulate(p) if n else p, np.minimum.accumulate(p[::-1])[::-1] if n else p])
 
 
 class Model:
-    def __init__(self, trees: Boosted, wording: Wording, common: dict[str, tuple[int, int]]):
-        self.trees, self.wording, self.common = trees, wording, common
+    def __init__(self, first: Boosted, second: Boosted, wording: Wording, common: dict[str, tuple[int, int]]):
+        self.first, self.second, self.wording, self.common = first, second, wording, common
+
+    def probabilities(self, feats: list[np.ndarray]) -> list[np.ndarray]:
+        """Of each mail the probability of each block to be old."""
+        ends = np.cumsum([len(f) for f in feats])[:-1] if feats else []
+        if not sum(map(len, feats)):
+            return [np.zeros(0) for _ in feats]
+        one = np.split(self.first.probability(np.concatenate(feats)), ends)
+        return np.split(self.second.probability(np.concatenate([_stacked(f, p) for f, p in zip(feats, one)])), ends)
 
 
 def train(texts: list[str], common: dict[str, tuple[int, int]]) -> Model:
-    """Trees and wording from mails; a block in doubt (new by structure, but after a signature or with contacts) is not learnt from."""
-    mails = [read_mail(t) for t in texts if t]
-    labelled = [(x.text, int(x.state != NEW)) for lines, _ in mails for x in lines if x.state in (NEW, SIGN, NOTICE) and not x.depth]
-    wording = Wording.fit(labelled)
-    xs, ys = [], []
-    for lines, names in mails:
+    """Trees and wording from mails. The second stage is fitted on predictions of trees that did not see the mail, so that it learns how far they may be trusted."""
+    mails = [(lines, names, mail_labels.structure(lines, names)) for lines, names in map(read_mail, filter(None, texts))]
+    wording = Wording.fit([(x.text, int(s != mail_labels.NEW)) for lines, _, states in mails for x, s in zip(lines, states) if not x.depth])
+    feats, labels = [], []
+    for lines, names, states in mails:
+        state = {x.no: s for x, s in zip(lines, states)}
         blocks = blocks_of(lines)
-        f = features(blocks, names, common, wording)
-        for b, row in zip(blocks, f):
-            if b[0].state == NEW and (row[11] or row[0] > 0.5):
-                continue
-            xs.append(row)
-            ys.append(float(b[0].state != NEW))
-    x = np.array(xs) if xs else np.zeros((0, 17))
-    return Model(Boosted().fit(x, np.array(ys)), wording, common)
-
-
-def old_lines(texts: list[str | None], model: Model) -> list[list[int]]:
-    """Of each mail the numbers of the lines that are not newly written."""
+        feats.append(features(blocks, names, common, wording))
+        labels.append(np.array([float(sum(state[x.no] != mail_labels.NEW for x in b) * 2 > len(b)) for b in blocks]))
+    x = lambda part: np.concatenate([np.zeros((0, WIDTH)), *part])
+    y = lambda part: np.concatenate([np.zeros(0), *part])
+    halves = [slice(k, None, 2) for k in (0, 1)]
+    crossed: list[np.ndarray] = [np.zeros(0)] * len(feats)
+    for own, other in (halves, halves[::-1]):
+        trees = Boosted(**TREES).fit(x(feats[other]), y(labels[other]))
+        crossed[own] = [trees.probability(f) for f in feats[own]]
+    second = [_stacked(f, p) for f, p in zip(feats, crossed)]
+    return Model(Boosted(**TREES).fit(x(feats), y(labels)), Boosted(**TREES).fit(np.concatenate([np.zeros((0, WIDTH + 7)), *second]), y(labels)), wording, common)
+
+
+#: The trees of both stages.
+TREES = {"rounds": 40, "depth": 4, "rate": 0.3, "cuts": 16, "leaf": 5, "share": 0.4}
+
+
+def old_lines(texts: list[str | None], model: Model, counts: list[list | None] | None = None) -> list[list[int]]:
+    """Of each mail the numbers of the lines that are not newly written. counts: (line, mails, senders) of repeated lines of each mail that are not broadcast."""
     mails = [read_mail(t) if t else ([], set()) for t in texts]
     per = [blocks_of(lines) for lines, _ in mails]
-    feats = [features(b, names, model.common, model.wording) for b, (_, names) in zip(per, mails)]
-    p = model.trees.probability(np.concatenate(feats)) if feats and sum(map(len, feats)) else np.zeros(0)
-    out, at = [], 0
-    for blocks in per:
-        found = []
-        for b in blocks:
-            old = p[at] > 0.5
-            at += 1
-            # exact check: sure structure stands whatever the trees say
-            found += [x.no for x in b if (x.state != NEW if x.sure else old)]
-        out.append(found)
-    return out
+    more = [{c["line"]: (c["mails"], c["senders"]) for c in x or ()} for x in counts or [None] * len(texts)]
+    feats = [features(b, names, model.common | m if m else model.common, model.wording) for b, (_, names), m in zip(per, mails, more)]
+    return [[x.no for b, q in zip(blocks, p) if q > 0.5 for x in b] for blocks, p in zip(per, model.probabilities(feats))]
+
+
+def _lines_of(mails: DataFrame) -> DataFrame:
+    """model_id, sender, line of every line that is more than three signs."""
+    line = F.trim(F.regexp_replace("line", r"^(?:\s{0,2}[>|])+\s?", ""))
+    rows = mails.select("model_id", F.lower(F.regexp_extract("plain_text", r"(?m)^From: *(.*)$", 1)).alias("sender"), F.explode_outer(F.split("plain_text", "\n")).alias("line"))
+    return rows.withColumn("line", line).where(F.length("line") > 3)
 
 
 def common_lines(mails: DataFrame) -> DataFrame:
     """line, mails, senders: the lines that several mails have."""
-    line = F.trim(F.regexp_replace("line", r"^(?:\s{0,2}[>|])+\s?", ""))
-    rows = mails.select("model_id", F.lower(F.regexp_extract("plain_text", r"(?m)^From: *(.*)$", 1)).alias("sender"), F.explode(F.split("plain_text", "\n")).alias("line")).withColumn("line", line)
-    counts = rows.where(F.length("line") > 3).groupBy("line").agg(F.count("*").alias("mails"), F.approx_count_distinct("sender", 0.1).alias("senders"))
+    counts = _lines_of(mails).groupBy("line").agg(F.count("*").alias("mails"), F.approx_count_distinct("sender", 0.1).alias("senders"))
     return counts.where(F.col("mails") >= LINE_MAILS)
 
 
@@ -288,45 +198,64 @@ def mails_of(models: DataFrame) -> DataFrame:
     return models.where(F.lower("source_type").isin("eml", "msg") & F.col("plain_text").isNotNull())
 
 
-def fit(mails: DataFrame) -> Model:
-    common = {r["line"]: (r["mails"], r["senders"]) for r in top_rows(common_lines(mails), "mails", MOST_LINES)}
-    return train([r["plain_text"] for r in bounded_sample(mails, "model_id", FIT_MAILS)], common)
+_COUNTS = "array<struct<line:string,mails:bigint,senders:bigint>>"
 
 
-def find_old_lines(models: DataFrame) -> DataFrame:
-    """model_id, line_no of every non-blank body line of a mail that its sender did not newly write.
+def fit(mails: DataFrame, most: int = MOST_LINES) -> tuple[Model, DataFrame]:
+    """The model, and the mails with ``counts``: their repeated lines beyond those that are broadcast."""
+    top, rest = top_and_rest(common_lines(mails), "mails", most)
+    common = {r["line"]: (r["mails"], r["senders"]) for r in top}
+    sample = [r["plain_text"] for r in bounded_sample(mails, "model_id", FIT_MAILS)]
+    if rest is None:
+        return train(sample, common), mails.withColumn("counts", F.lit(None).cast(_COUNTS))
+    asked = mails.sparkSession.createDataFrame([(x,) for x in sorted({x.text for t in sample for x in read_mail(t)[0]})] or [("",)], "line string")
+    seen = common | {r["line"]: (r["mails"], r["senders"]) for r in rest.join(F.broadcast(asked), "line").collect()}  # at most the lines of the sample
+    model = train(sample, seen)
+    model.common = common
+    own = _lines_of(mails).select("model_id", "line").join(rest, "line").groupBy("model_id").agg(F.collect_set(F.struct("line", "mails", "senders")).alias("counts"))
+    return model, mails.join(own, "model_id", "left")
 
-    Mails without a blank line are all header and give nothing, as do null and empty ones. Repeated rows of a model
-    count once.
-    """
-    mails = mails_of(models).select("model_id", "plain_text")
-    data = models.sparkSession.sparkContext.broadcast(fit(mails))
+
+def _read(models: DataFrame, most: int, schema: str, rows) -> DataFrame:
+    """``rows`` of (ids, texts, lines that are old) of each batch."""
+    model, mails = fit(mails_of(models).select("model_id", "plain_text"), most)
+    data = models.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(data)
         for b in batches:
-            found = old_lines(b.column(1).to_pylist(), model)
-            ids = [m for m, f in zip(b.column(0).to_pylist(), found) for _ in f]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([n for f in found for n in f], pa.int32())], names=["model_id", "line_no"])
+            for a in range(0, b.num_rows, 1_000):
+                part = b.slice(a, 1_000)
+                texts = part.column(1).to_pylist()
+                yield rows(part.column(0), texts, old_lines(texts, model, part.column(2).to_pylist()))
+
+    return mails.select("model_id", "plain_text", "counts").mapInArrow(run, schema)
+
+
+def find_old_lines(models: DataFrame, most: int = MOST_LINES) -> DataFrame:
+    """model_id, line_no of every non-blank body line of a mail that its sender did not newly write.
 
-    return mails.mapInArrow(run, "model_id bigint, line_no int").dropDuplicates()
+    Mails without a blank line are all header and give nothing, as do null and empty ones. Repeated rows of a model
+    count once. most: repeated lines that are broadcast; the result does not depend on it.
+    """
+
+    def rows(ids: pa.Array, _: list[str], found: list[list[int]]) -> pa.RecordBatch:
+        each = [m for m, f in zip(ids.to_pylist(), found) for _ in f]
+        return pa.RecordBatch.from_arrays([pa.array(each, pa.int64()), pa.array([n for f in found for n in f], pa.int32())], names=["model_id", "line_no"])
+
+    return _read(models, most, "model_id bigint, line_no int", rows).dropDuplicates()
 
 
-def new_text(models: DataFrame) -> DataFrame:
+def new_text(models: DataFrame, most: int = MOST_LINES) -> DataFrame:
     """model_id, new_text: the body without the lines that the sender did not newly write."""
-    mails = mails_of(models).select("model_id", "plain_text")
-    data = models.sparkSession.sparkContext.broadcast(fit(mails))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(data)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            out = []
-            for t, drop in zip(texts, old_lines(texts, model)):
-                rows, gone = t.split("\n"), set(drop)
-                start = next((i for i, r in enumerate(rows) if not r.strip()), len(rows))
-                kept = "\n".join(r for i, r in enumerate(rows) if i > start and i not in gone)
-                out.append(re.sub(r"\n\s*\n(?:\s*\n)+", "\n\n", kept).strip())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["model_id", "new_text"])
-
-    return mails.mapInArrow(run, "model_id bigint, new_text string").dropDuplicates(["model_id"])
+    def rows(ids: pa.Array, texts: list[str], found: list[list[int]]) -> pa.RecordBatch:
+        out = []
+        for t, drop in zip(texts, found):
+            lines, gone = t.split("\n"), set(drop)
+            start = next((i for i, r in enumerate(lines) if not r.strip()), len(lines))
+            kept = "\n".join(r for i, r in enumerate(lines) if i > start and i not in gone)
+            out.append(re.sub(r"\n\s*\n(?:\s*\n)+", "\n\n", kept).strip())
+        return pa.RecordBatch.from_arrays([ids, pa.array(out, pa.string())], names=["model_id", "new_text"])
+
+    return _read(models, most, "model_id bigint, new_text string", rows).dropDuplicates(["model_id"])

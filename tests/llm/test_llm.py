@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from sheafline.llm import address, boosting, mail, mixing, mojibake, pii, reading, scans, tokens  # noqa: E402
+from sheafline.llm import address, boosting, mail, mail_labels, mixing, mojibake, pii, reading, scans, tokens  # noqa: E402
 
 HAS_VOCABULARY = Path(tokens.VOCABULARY).exists()
 needs_vocabulary = pytest.mark.skipif(not HAS_VOCABULARY, reason="no vocabulary file")
@@ -268,12 +268,54 @@ def test_mail_lines(spark):
     assert mail.find_old_lines(m.limit(0)).count() == 0
 
 
-def test_structure_of_mails():
-    state = lambda body: [x.state for x in mail.read_mail("From: Ann Bell <a@x.example>\n\n" + body)[0]]
-    assert state("ok\n-----Original Message-----\nVon: B\nGesendet: today\nBetreff: x\n\nold") == [mail.NEW] + [mail.OLD] * 5
-    assert state("> 90 miles on the meter\nfine") == [mail.NEW, mail.NEW]
-    assert state("The owner wrote: do not touch it.") == [mail.NEW]
-    assert state("fine\n\nAnn Bell\nTeam") == [mail.NEW, mail.SIGN, mail.SIGN]
+def states(body):
+    lines, names = mail.read_mail("From: Ann Bell <a@x.example>\n\n" + body)
+    return mail_labels.structure(lines, names)
+
+
+def test_labels_of_mails():
+    new, old, sign = mail_labels.NEW, mail_labels.OLD, mail_labels.SIGN
+    assert states("ok\n-----Original Message-----\nVon: B\nGesendet: today\nBetreff: x\n\nold") == [new] + [old] * 5
+    assert states("> 90 miles on the meter\nfine") == [new, new]
+    assert states("The owner wrote: do not touch it.") == [new]
+    assert states("fine\n\nAnn Bell\nTeam") == [new, sign, sign]
+
+
+def made_mails(n, seed):
+    rng = random.Random(seed)
+    first, last = ["Ann", "Bob", "Cleo", "Dara"], ["Bell", "Cole", "Dunn", "Ives"]
+    new = ["please go ahead.", "The van was late again", "I shall ring on Monday", "What about the door?", "We agreed on the price: it stands."]
+    old = ["Old question one?", "Could you look at this", "the invoice is here", "As I said before"]
+    notice = "This message is confidential and only for the addressee."
+    out = []
+    for i in range(n):
+        me, you = (f"{rng.choice(first)} {rng.choice(last)}" for _ in range(2))
+        say = lambda pool: "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 3)))
+        quoted = "\n".join("> " + x for x in say(old).split("\n"))
+        end = rng.choice([f"\nKind regards,\n{me}\nClaims Handler\nT: 01632 96000{i % 10}\n", f"\n-- \n{me}\n", f"\nThanks,\n{me.split()[0]}\n"])
+        tail = rng.choice([f"\nOn 1 May 2024 at 10:00, {you} wrote:\n{quoted}\n", f"\n-----Original Message-----\nFrom: {you}\nSent: 1 May 2024\nSubject: x\n\n{say(old)}\n", ""])
+        out.append(f"Subject: x\nFrom: {me} <m{i % 7}@x.example>\nTo: b@x.example\n\nDear {you.split()[0]},\n{say(new)}\n" + rng.choice(["", f"\n{quoted}\n{say(new)}\n"]) + end + rng.choice(["", notice + "\n"]) + tail)
+    return out
+
+
+def test_held_out_mails():
+    """Trees fitted on some mails find the old lines of others; no feature knows what the labels know."""
+    common = {"This message is confidential and only for the addressee.": (99, 9)}
+    model = mail.train(made_mails(300, 1), common)
+    held = made_mails(150, 2)
+    found = mail.old_lines(held, model)
+    hits = wrong = missed = 0
+    for t, f in zip(held, found):
+        lines, names = mail.read_mail(t)
+        want = {x.no for x, s in zip(lines, mail_labels.structure(lines, names)) if s != mail_labels.NEW}
+        hits, wrong, missed = hits + len(want & set(f)), wrong + len(set(f) - want), missed + len(want - set(f))
+    assert hits / (hits + missed) > 0.98 and hits / (hits + wrong) > 0.98
+
+
+def test_bounded_counts_of_lines_change_nothing(spark):
+    m = spark.createDataFrame([(i, "eml", t) for i, t in enumerate(made_mails(60, 3))], "model_id long, source_type string, plain_text string")
+    full = {tuple(r) for r in mail.find_old_lines(m).collect()}
+    assert full and {tuple(r) for r in mail.find_old_lines(m, most=2).collect()} == full
 
 
 def test_boosting_learns():
