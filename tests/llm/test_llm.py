@@ -106,8 +106,9 @@ def test_ranks_and_coverage_equal_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     total = Counter(w for _, t in docs if t for w in t.split() if w.isalpha())
     rank = {w: 1 + sum(m > n for m in total.values()) for w, n in total.items()}
-    counts = reading.word_counts(df, "doc_id", "text")
-    assert {r["word"]: r["rank"] for r in reading.ranked(counts).collect()} == rank
+    occurring = reading.occurrences(df, "doc_id", "text")
+    vocabulary_ = reading.ranked(occurring)
+    assert {r["word"]: r["rank"] for r in vocabulary_.collect()} == rank
     want = {}
     for i, t in docs:
         r = sorted(rank[w] for w in (t or "").split() if w.isalpha())
@@ -115,8 +116,17 @@ def test_ranks_and_coverage_equal_brute_force(spark):
             want[i] = r[-(-7 * len(r) // 10) - 1]
     feats = reading.features(df)
     assert {r["doc_id"]: r["cover_70"] for r in feats.collect()} == want
-    split = reading.with_ranks(counts, reading.ranked(counts), hot=5)
-    assert sorted(map(tuple, split.select("doc_id", "word", "n", "rank").collect())) == sorted((r["doc_id"], r["word"], r["n"], rank[r["word"]]) for r in counts.collect())
+    for hot in (0, 5):
+        split = reading.with_ranks(occurring, vocabulary_, hot=hot)
+        assert Counter((r["doc_id"], r["word"], r["rank"]) for r in split.collect()) == Counter((i, w, rank[w]) for i, t in docs for w in (t or "").split() if w.isalpha())
+
+
+def test_words_of_texts(spark):
+    texts = ["Don't 'tis l’eau rock''n x'", "a1b2 c_d É-é", "'", "", "…x…", "it’s ‘quoted’ O'Neill's"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", reading.words_of("t").alias("w")).orderBy("i").select("w").collect()]
+    import re as regex
+
+    assert got == [regex.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", t.lower()) for t in texts]
 
 
 def test_levels_of_held_out_documents(spark):
