@@ -6,13 +6,14 @@ with the pages. The remaining lines are joined, words broken at line ends put to
 says so, and words that the vocabulary lacks are read back along the confusions of character recognition.
 
 The vocabulary counts the words of all lines that were not recognised from images. Documents are rows (arrays of
-lines) after one shuffle, so that every later step is narrow; words and forms are aggregated before they move.
+lines) after one shuffle, so that every later step is narrow; words and forms are aggregated before they move. A bounded
+part of the vocabulary and of the forms is broadcast; what a document asks beyond it comes to it by a join.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.session import cut, top_rows
+from sheafline.session import cut, top_and_rest
 
 #: Lines at either edge of a page that may be furniture; least similarity of two forms; least share of the pages or documents.
 EDGE, SIMILAR, SHARE = 4, 0.8, 0.5
-#: Least documents of a form of furniture, and the most forms and words that are broadcast (the commonest first).
+#: Least documents of a form of furniture, and the forms and words that are broadcast (the commonest first; the others come by a join).
 FORM_DOCS, MOST_FORMS, MOST_WORDS = 3, 20_000, 200_000
 #: Least count of a word to be known, and to be believed in where a word is cut in two.
 KNOWN, COMMON = 2, 20
@@ -63,26 +64,30 @@ def form(text: str) -> str:
 
 @lru_cache(maxsize=200_000)
 def alike(a: str, b: str) -> bool:
-    return abs(len(a) - len(b)) <= 0.25 * len(b) and len(b) > 7 and SequenceMatcher(None, a, b, False).ratio() >= SIMILAR
+    if abs(len(a) - len(b)) > 0.25 * len(b) or len(b) <= 7:
+        return False
+    least = SIMILAR * (len(a) + len(b))
+    # letters in common bound the similarity and spare most comparisons
+    return 2 * sum([min(a.count(c), b.count(c)) for c in set(b)]) >= least and SequenceMatcher(None, a, b, False).ratio() >= SIMILAR
 
 
 class Document:
-    """lines: (flat_pos, page, line, text), in order."""
+    """lines: (flat_pos, page, line, text), in order. forms: those of the edge lines if they are known already; weak: the repeated ones."""
 
-    def __init__(self, lines: list[tuple[int, int, int, str]]):
-        self.lines = lines
+    def __init__(self, lines: list[tuple[int, int, int, str]], forms: list[str] | None = None, weak: list[int] | None = None):
+        self.lines, self.weak = lines, None if weak is None else set(weak)
         pages: dict[int, list[int]] = defaultdict(list)
         for i, x in enumerate(lines):
             if x[3].strip():
                 pages[x[1]].append(i)
         self.pages = [pages[p] for p in sorted(pages)]
-        self.edges: dict[int, str] = {}
-        for p in self.pages:
-            for i in p[:EDGE] + p[-EDGE:]:
-                self.edges[i] = form(lines[i][3])
+        at = list(dict.fromkeys(i for p in self.pages for i in p[:EDGE] + p[-EDGE:]))
+        self.edges: dict[int, str] = dict(zip(at, [form(lines[i][3]) for i in at] if forms is None else forms))
 
     def repeated(self) -> set[int]:
         """Edge lines whose form comes again at the same edge of enough other pages."""
+        if self.weak is not None:
+            return self.weak
         n = len(self.pages)
         if n < 2:
             return set()
@@ -105,22 +110,49 @@ class Document:
         return found
 
 
+    def running(self) -> set[int]:
+        """What the figures of bare page numbers are ahead of their pages, where that is the same on at least two and half of the pages."""
+        ahead: dict[int, set[int]] = defaultdict(set)
+        for p in self.pages:
+            for i in p[:EDGE] + p[-EDGE:]:
+                n = _figure(self.lines[i][3]) if self.edges[i] == "#" else None
+                if n is not None:
+                    ahead[n - self.lines[i][1]].add(self.lines[i][1])
+        return {d for d, on in ahead.items() if len(on) >= 2 and len(on) >= SHARE * len(self.pages)}
+
+
 class Reader:
-    """What is known of the corpus: counts of clean words and forms of furniture."""
-
-    def __init__(self, words: dict[str, int], forms: set[str]):
-        self.words, self.forms = words, forms
-        self.bones: dict[str, str] = {}
-        for w, n in words.items():
-            if n >= KNOWN and len(w) > 1:
-                k = skeleton(w)
-                if words.get(self.bones.get(k, ""), 0) < n:
-                    self.bones[k] = w
+    """What is known of the corpus: counts of clean words and forms of furniture.
+
+    own: what a document was given beyond them, by question: ("word", w) -> count, ("bone", k) -> word, ("form", f) -> 1; with ``asks``
+    the questions that they leave open are noted in ``asked``.
+    """
+
+    def __init__(self, words: dict[str, int], forms: set[str], bones: dict[str, str] | None = None, own: dict[tuple[str, str], object] | None = None, asks: bool = False):
+        self.words, self.forms, self.own = words, forms, own or {}
+        self.asked: set[tuple[str, str]] | None = set() if asks else None
+        self.bones = bones_of(words) if bones is None else bones
         self.cache: dict[str, str | None] = {}
         self.fine: set[str] = set()  # tokens as they stand that need no look
 
+    def _beyond(self, kind: str, key: str, default):
+        if self.asked is not None:
+            self.asked.add((kind, key))
+        return self.own.get((kind, key), default)
+
+    def count(self, w: str) -> int:
+        n = self.words.get(w, 0)
+        return n or (self._beyond("word", w, 0) if self.own or self.asked is not None else 0)
+
+    def bone(self, k: str) -> str:
+        w = self.bones.get(k, "")
+        return w or (self._beyond("bone", k, "") if self.own or self.asked is not None else "")
+
+    def of_furniture(self, f: str) -> bool:
+        return f in self.forms or bool((self.own or self.asked is not None) and self._beyond("form", f, 0))
+
     def known(self, w: str) -> bool:
-        return self.words.get(w, 0) >= KNOWN
+        return self.count(w) >= KNOWN
 
     def reading(self, word: str) -> str | None:
         """The known word that an unknown one misreads, if any. Lower case in and out."""
@@ -136,35 +168,35 @@ class Reader:
         strange = sum(not (c.isalpha() or c in "'’-") for c in w)
         if strange > 3 or (strange and strange * 2 > len(w)):
             return None
-        hit = self.bones.get(skeleton(w))
-        if hit and hit != w and (len(w) > 3 or self.words[hit] >= COMMON):
+        hit = self.bone(skeleton(w))
+        if hit and hit != w and (len(w) > 3 or self.count(hit) >= COMMON):
             return hit
         best = None
         for wrong, right in CONFUSED:
             at = w.find(wrong)
             while at >= 0:
                 c = w[:at] + right + w[at + len(wrong) :]
-                c = c if self.known(c) else self.bones.get(skeleton(c), "")
-                if c and c != w and self.words.get(c, 0) > self.words.get(best or "", 0):
+                c = c if self.known(c) else self.bone(skeleton(c))
+                if c and c != w and self.count(c) > (self.count(best) if best else 0):
                     best = c
                 at = w.find(wrong, at + 1)
-        if best and (len(w) > 3 or self.words[best] >= COMMON):
+        if best and (len(w) > 3 or self.count(best) >= COMMON):
             return best
         if len(w) >= 6 and not strange:  # one character lost or added
             for i in range(len(w)):
                 c = w[:i] + w[i + 1 :]
-                if self.words.get(c, 0) >= COMMON:
+                if self.count(c) >= COMMON:
                     return c
             for i in range(len(w) + 1):
                 for x in "etaoinsrhldcumfpgwybvk":
                     c = w[:i] + x + w[i:]
-                    if self.words.get(c, 0) >= COMMON:
+                    if self.count(c) >= COMMON:
                         return c
         return None
 
     def furniture(self, doc: Document) -> set[int]:
         """Edge lines of a form of the corpus, and repeated ones with nothing but furniture between them and the edge of their page."""
-        weak = doc.repeated()
+        weak, running = doc.repeated(), doc.running()
         found: set[int] = set()
         for k, p in enumerate(doc.pages):
             for side in (p[:EDGE], p[::-1][:EDGE]):
@@ -172,9 +204,9 @@ class Reader:
                 for i in side:
                     f, line = doc.edges[i], doc.lines[i][3]
                     if f == "#":
-                        hit = enclosed and _page_number(line, doc.lines[i][1] + 1, k + 1)
+                        hit = enclosed and (_page_number(line, doc.lines[i][1] + 1, k + 1) or (_figure(line) is not None and _figure(line) - doc.lines[i][1] in running))
                     else:
-                        hit = f in self.forms or (enclosed and i in weak)
+                        hit = self.of_furniture(f) or (enclosed and i in weak)
                     if hit:
                         found.add(i)
                     enclosed &= hit
@@ -230,10 +262,10 @@ class Reader:
                     real = self.reading(low)
                     if real is None and t + 1 < len(tokens):
                         pair = low + tokens[t + 1].strip(_EDGES).lower()
-                        if len(pair) >= 5 and core.isalpha() and core.islower() and self.words.get(pair, 0) >= COMMON:
+                        if len(pair) >= 5 and core.isalpha() and core.islower() and self.count(pair) >= COMMON:
                             real = low
                             wrong = True
-                    if real is None and core.islower() and core.isalpha() and len(core) >= 6 and any(self.words.get(low[:j], 0) >= 5 * COMMON and self.words.get(low[j:], 0) >= 5 * COMMON for j in range(2, len(low) - 1)):
+                    if real is None and core.islower() and core.isalpha() and len(core) >= 6 and any(self.count(low[:j]) >= 5 * COMMON and self.count(low[j:]) >= 5 * COMMON for j in range(2, len(low) - 1)):
                         wrong = True
                     if real is not None:
                         wrong = True
@@ -262,10 +294,26 @@ class Reader:
         return False
 
 
+def _figure(line: str) -> int | None:
+    """The figure that a short line of figures begins with."""
+    m = re.match(r"\D*(\d{1,4})", line.translate(str.maketrans("lIOo|", "11001")))
+    return int(m[1]) if m and len(line.strip()) <= 12 else None
+
+
 def _page_number(line: str, *numbers: int) -> bool:
     """A line of figures that begins with the number of its page."""
-    m = re.match(r"\D*(\d{1,4})", line.translate(str.maketrans("lIOo|", "11001")))
-    return bool(m) and len(line.strip()) <= 12 and int(m[1]) in numbers
+    return _figure(line) in numbers
+
+
+def bones_of(words: dict[str, int]) -> dict[str, str]:
+    """skeleton -> the commonest known word that has it (the first by letters of equally common ones)."""
+    bones: dict[str, str] = {}
+    for w, n in words.items():
+        if n >= KNOWN and len(w) > 1:
+            k = skeleton(w)
+            if k not in bones or (-n, w) < (-words[bones[k]], bones[k]):
+                bones[k] = w
+    return bones
 
 
 def _core(word: str) -> str:
@@ -300,47 +348,111 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     return counts.where(F.col("n") >= KNOWN)
 
 
+def _rows(lines: list[dict]) -> list[tuple[int, int, int, str]]:
+    return [(x["flat_pos"], x["page_index"], x["line_index"], x["text"]) for x in lines]
+
+
+def with_forms(docs: DataFrame) -> DataFrame:
+    """``docs`` with edges (forms of the edge lines), weak (numbers of the repeated ones) and, of documents of several pages, seen and repeated (distinct forms)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            read = [Document(_rows(lines)) for lines in b.column(1).to_pylist()]
+            weak = [d.repeated() for d in read]
+            many = [len(d.pages) > 1 for d in read]
+            strings = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), b.column(1), pa.array([list(d.edges.values()) for d in read], strings), pa.array([sorted(w) for w in weak], pa.list_(pa.int32())),
+                pa.array([sorted(set(d.edges.values())) if m else [] for d, m in zip(read, many)], strings), pa.array([sorted({d.edges[i] for i in w}) if m else [] for d, w, m in zip(read, weak, many)], strings),
+            ], names=["model_id", "lines", "edges", "weak", "seen", "repeated"])
+
+    kind = dict(docs.dtypes)["lines"]
+    return docs.select("model_id", "lines").mapInArrow(run, f"model_id bigint, lines {kind}, edges array<string>, weak array<int>, seen array<string>, repeated array<string>")
+
+
 def furniture_forms(docs: DataFrame) -> DataFrame:
     """form, seen, local: in how many documents of several pages a form stands at an edge, and in how many it is repeated there."""
+    each = lambda c: docs.select(F.explode_outer(c).alias("form"), (F.lit(c) == "repeated").cast("bigint").alias("local"))
+    return each("seen").unionByName(each("repeated")).where("form is not null").groupBy("form").agg(F.sum(1 - F.col("local")).alias("seen"), F.sum("local").alias("local"))
+
+
+def _answers(words: DataFrame | None, forms: DataFrame | None) -> DataFrame:
+    """kind, key, answer, n: all that may be asked beyond what is broadcast."""
+    session = (words if words is not None else forms).sparkSession
+    out = session.createDataFrame([], "kind string, key string, answer string, n bigint")
+    if forms is not None:
+        out = out.unionByName(forms.select(F.lit("form").alias("kind"), F.col("form").alias("key"), F.lit("1").alias("answer"), F.lit(1).cast("bigint").alias("n")))
+    if words is not None:
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([skeleton(w) for w in b.column(0).to_pylist()], pa.string())], names=["word", "n", "bone"])
+
+        w = words.select("word", "n").mapInArrow(run, "word string, n bigint, bone string")
+        best = w.where(F.length("word") > 1).groupBy("bone").agg(F.min(F.struct((-F.col("n")).alias("least"), "word")).alias("x"))
+        out = out.unionByName(w.select(F.lit("word").alias("kind"), F.col("word").alias("key"), F.lit(None).cast("string").alias("answer"), "n"))
+        out = out.unionByName(best.select(F.lit("bone").alias("kind"), F.col("bone").alias("key"), F.col("x.word").alias("answer"), F.lit(1).cast("bigint").alias("n")))
+    return cut(out)
+
+
+_OWN = "array<struct<kind:string,key:string,answer:string,n:bigint>>"
+
+
+def _given(rows: list[dict] | None) -> dict[tuple[str, str], object]:
+    return {(x["kind"], x["key"]): x["n"] if x["kind"] == "word" else x["answer"] for x in rows or ()}
+
+
+def with_answers(docs: DataFrame, data, answers: DataFrame) -> DataFrame:
+    """``docs`` with ``own``: the answers to what each asks beyond the broadcast part. An answer may lead to further questions, so this goes on until none has an answer."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, forms, bones = data.value
         for b in batches:
-            seen: Counter = Counter()
-            local: Counter = Counter()
-            for lines in b.column(0).to_pylist():
-                d = Document([(x["flat_pos"], x["page_index"], x["line_index"], x["text"]) for x in lines])
-                if len(d.pages) > 1:
-                    seen.update(set(d.edges.values()))
-                    local.update({d.edges[i] for i in d.repeated()})
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([local[f] for f in seen], pa.int64())], names=["form", "seen", "local"])
-
-    return docs.select("lines").mapInArrow(run, "form string, seen bigint, local bigint").groupBy("form").agg(F.sum("seen").alias("seen"), F.sum("local").alias("local"))
+            for m, rows, edges, weak, own in zip(*(b.column(i).to_pylist() for i in range(5))):
+                given = _given(own)
+                reader = Reader(words, forms, bones, given, asks=True)
+                reader.judge(Document(_rows(rows), edges, weak))
+                open_ = sorted(reader.asked - given.keys())
+                yield pa.RecordBatch.from_arrays([pa.array([m] * len(open_), pa.int64()), pa.array([k for k, _ in open_], pa.string()), pa.array([k for _, k in open_], pa.string())], names=["model_id", "kind", "key"])
+
+    docs = docs.withColumn("own", F.lit(None).cast(_OWN))
+    while True:
+        asked = docs.select("model_id", "lines", "edges", "weak", "own").mapInArrow(run, "model_id bigint, kind string, key string")
+        new = cut(asked.join(answers, ["kind", "key"]).groupBy("model_id").agg(F.collect_set(F.struct("kind", "key", "answer", "n")).alias("_new")))
+        if new.isEmpty():
+            return docs
+        docs = cut(docs.join(new, "model_id", "left").withColumn("own", F.concat(F.coalesce("own", F.array().cast(_OWN)), F.coalesce("_new", F.array().cast(_OWN)))).drop("_new"))
 
 
 @lru_cache(maxsize=2)
-def _reader(key: int, holder) -> Reader:
-    words, forms = holder.value
-    return Reader(words, forms)
+def _reader(holder) -> Reader:
+    return Reader(*holder.value)
 
 
-def repair_scans(lines: DataFrame, texts: bool = False) -> DataFrame:
+def repair_scans(lines: DataFrame, texts: bool = False, most_words: int = MOST_WORDS, most_forms: int = MOST_FORMS) -> DataFrame:
     """model_id, flat_pos, defect of every defect of the recognised documents; with ``texts`` instead model_id, text: the repaired paragraphs.
 
     A document is recognised from images if some confidence in it is below 1. Repeated rows count once. Documents
-    without any confidence are left alone.
+    without any confidence are left alone. most_words, most_forms: what is broadcast; the result does not depend on it.
     """
-    docs = cut(documents_of(lines))
+    docs = cut(with_forms(documents_of(lines)))
     sc = lines.sparkSession.sparkContext
-    words = {r["word"]: r["n"] for r in top_rows(vocabulary(lines), "n", MOST_WORDS)}
-    good = furniture_forms(docs).where((F.col("local") >= FORM_DOCS) & (F.col("local") >= SHARE * F.col("seen")))
-    data = sc.broadcast((words, {r["form"] for r in top_rows(good, "local", MOST_FORMS)}))
+    top, more_words = top_and_rest(vocabulary(lines), "n", most_words)
+    words = {r["word"]: r["n"] for r in top}
+    good, more_forms = top_and_rest(furniture_forms(docs).where((F.col("local") >= FORM_DOCS) & (F.col("local") >= SHARE * F.col("seen"))), "local", most_forms)
+    data = sc.broadcast((words, {r["form"] for r in good}, bones_of(words)))
+    if more_words is None and more_forms is None:
+        docs = docs.withColumn("own", F.lit(None).cast(_OWN))
+    else:
+        docs = with_answers(docs, data, _answers(more_words, more_forms))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(data.id if hasattr(data, "id") else id(data), data)
+        reader = _reader(data)
         for b in batches:
             ids, pos, kinds, bodies = [], [], [], []
-            for m, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found, body = reader.judge(Document([(x["flat_pos"], x["page_index"], x["line_index"], x["text"]) for x in rows]))
+            for m, rows, edges, weak, own in zip(*(b.column(i).to_pylist() for i in range(5))):
+                by = Reader(reader.words, reader.forms, reader.bones, _given(own)) if own else reader
+                found, body = by.judge(Document(_rows(rows), edges, weak))
                 if texts:
                     ids.append(m)
                     bodies.append(body)
@@ -353,4 +465,4 @@ def repair_scans(lines: DataFrame, texts: bool = False) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(kinds, pa.string())], names=["model_id", "flat_pos", "defect"])
 
-    return docs.mapInArrow(run, "model_id bigint, text string" if texts else "model_id bigint, flat_pos int, defect string")
+    return docs.select("model_id", "lines", "edges", "weak", "own").mapInArrow(run, "model_id bigint, text string" if texts else "model_id bigint, flat_pos int, defect string")

@@ -246,6 +246,9 @@ def test_scan_defects():
     found, text = reader().judge(d)
     assert found == [(0, "furniture"), (1, "misread"), (2, "hyphenated"), (3, "furniture"), (4, "furniture"), (6, "misread"), (8, "hyphenated"), (10, "furniture")]
     assert "the vehicle was damaged and approved by this office" in text and "call-out" in text
+    # a bundle whose numbering starts elsewhere
+    bundle = doc(*([w, str(12 + k)] for k, w in enumerate(("the vehicle was damaged", "nobody could offer a report", "call the hospital"))))
+    assert [x for x in reader().judge(bundle)[0] if x[1] == "furniture"] == [(1, "furniture"), (3, "furniture"), (5, "furniture")]
     one = doc(["the report", "Registered office on request"])
     assert reader().judge(one)[0] == [(1, "furniture")]
     assert reader().judge(doc([""])) == ([], "")
@@ -256,6 +259,8 @@ def test_scans_of_tables(spark):
     df = spark.createDataFrame(rows, "model_id long, flat_pos int, page_index int, line_index int, text string, confidence double").withColumn("defect", F.lit("clash"))
     assert [tuple(r) for r in scans.repair_scans(df).collect()] == [(1, 0, "misread")]
     assert scans.repair_scans(df, texts=True).collect()[0]["text"] == "the vehicle"
+    full = {tuple(r) for r in scans.repair_scans(df).collect()}
+    assert all({tuple(r) for r in scans.repair_scans(df, most_words=n, most_forms=0).collect()} == full for n in (0, 2))
     assert scans.repair_scans(df.limit(0)).count() == 0
 
 
