@@ -14,6 +14,7 @@ from the fixtures; a bounded part is broadcast, the entries beyond it reach the
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter, defaultdict
@@ -28,7 +29,7 @@ from sheafline.llm import pii_labels as L
 from sheafline.session import bounded_sample, top_and_rest
 
 #: Texts of the fit (the first by a hash of their id), entries of a lexicon that are broadcast.
-FIT_TEXTS, MOST_WORDS = 1_000, 200_000
+FIT_TEXTS, MOST_WORDS = 800, 200_000
 #: Longest spans of each kind in tokens: the bound of the bounded-entity dynamic programming, not of texts or chunks.
 LONGEST = {"NAME": 12, "EMAIL": 1, "PHONE": 11, "ID": 7, "ADDRESS": 60}
 #: Chunks and tokens whose results a worker remembers; what is forgotten is worked out again.
@@ -672,7 +673,8 @@ class Tagger:
 #: Values of labels that hold one name, and headers of mails; the part in parentheses is the name.
 _NAME_LINES = r"(?m)^(?:[>| ]*\*?(?:From|Von) ?:|(?:Our Client|Client Name|Claimant|Name|Re) ?:|I, )[^\n]*$"
 _NAME_PLACES = (r"^[>| ]*\*?(?:From|Von) ?:\*? *([^<\n@:]{3,40}?) *(?:<|$)", r"^(?:Our Client|Client Name|Claimant|Name|Re) ?: *(?:(?:Mr|Mrs|Ms|Miss|Dr) )?([^\n\d@:()]{4,36})$", r"^I, ([^\n\d@:(),]{4,36}), confirm")
-_PLACE_VALUES = r"(?m)(?=[ALGil])(?:Address|Location|Garage|inspect|located at) ?[:–-] ?\n?([^\n:@]{8,110})$"
+# found at their delimiter, which is rarer than the first letters of the labels
+_PLACE_VALUES = r"(?m) ?[:–-](?<=(?:Address|Location|Garage|inspect|located at) ?[:–-]) ?\n?([^\n:@]{8,110})$"
 #: Numbers set in groups: the four figures after the nought tell telephone numbers from references.
 _GROUPED = r"(0(?<![\w+./:-]0)\d{2,4}\)?[ .-]{1,2}\d{3,4}[ .-]?\d{3,4})(?!\d)"
 #: Least weight of an entry of each lexicon; a place in a fixture weighs five.
@@ -796,6 +798,7 @@ def find_personal(models: DataFrame, fixtures: DataFrame, redacted: bool = False
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, common = _tagger(data)
+        gc.disable()  # what is remembered is large, lasting and without cycles: looking through it again and again would find nothing
         for b in batches:
             cols: list[list] = [[], [], [], []]
             for place, rec, text, more in zip(*(c.to_pylist() for c in b.columns)):

@@ -27,7 +27,7 @@ FIT_ROWS = 20_000
 #: Borders between the bands, each above the band of its number; weight of the band itself in the target of a border, which keeps its score rising with the band on either side.
 BORDERS, SLOPE = (1, 2, 3, 4), 0.15
 #: What parts words: all but letters and apostrophes, and apostrophes that no letter stands on either side of.
-BREAK = r"(?:[^\p{L}'’]|(?<!\p{L})['’]|['’](?!\p{L}))+"
+BREAK = r"[^\p{L}'’]+|(?<!\p{L})['’]|['’](?!\p{L})"
 
 
 def words_of(text: str) -> Column:
