@@ -183,22 +183,46 @@ def linked(cls: DataFrame) -> DataFrame:
     return a.join(b, (x("hash") == y("hash")) & (x("class_id") < y("class_id")) & one_place).select(x("class_id").alias("a"), y("class_id").alias("b")).distinct()
 
 
-def same_places(records: DataFrame, key: str = "record_id", text: str = "address") -> DataFrame:
-    """record_a, record_b (smaller first) of all pairs of records whose addresses denote one place, each pair once.
+def place_classes(records: DataFrame, key: str = "record_id", text: str = "address") -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): record_id, class_id of every record that names a house and a street; a, b of the classes that denote one place.
 
-    Repeated rows of a record count once. Addresses without a house number or street match nothing.
+    Copies of an address are one class, so nothing here grows with the square of their number. Repeated rows of a record count
+    once. Addresses without a house number or street are in no class.
     """
     parts = cut(parsed(records.select(F.col(key).alias("record_id"), F.col(text).alias("address")).dropDuplicates(["record_id"]), "record_id", "address"))
     cls = cut(classes(with_usual_streets(with_area(parts))))
-    pairs = linked(cls)
-    m = cls.select("record_id", "class_id")
-    across = (
-        pairs.join(m.select(F.col("class_id").alias("a"), F.col("record_id").alias("ra")), "a")
-        .join(m.select(F.col("class_id").alias("b"), F.col("record_id").alias("rb")), "b").select("ra", "rb")
-    )
-    within = m.alias("m").join(m.alias("n"), (F.col("m.class_id") == F.col("n.class_id")) & (F.col("m.record_id") < F.col("n.record_id"))).select(F.col("m.record_id").alias("ra"), F.col("n.record_id").alias("rb"))
-    both = across.unionByName(within)
-    return both.select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"))
+    return cls.select("record_id", "class_id"), cut(linked(cls))
+
+
+def linked_records(records: DataFrame, key: str = "record_id", text: str = "address") -> DataFrame:
+    """record_id, class_id, links: with how many other records each record shares its place. Copies are counted, not expanded."""
+    members, pairs = place_classes(records, key, text)
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("n"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    across = both.join(sizes.select(F.col("class_id").alias("b"), F.col("n").alias("m")), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("m").alias("m"))
+    links = sizes.join(across, "class_id", "left").select("class_id", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("links"))
+    return members.join(links, "class_id").select("record_id", "class_id", "links")
+
+
+#: Records of a class from which on its pairs are made in ``SPLIT`` tasks.
+LARGE, SPLIT = 1_000, 16
+
+
+def same_places(records: DataFrame, key: str = "record_id", text: str = "address") -> DataFrame:
+    """record_a, record_b (smaller first) of all pairs of records whose addresses denote one place, each pair once.
+
+    The pairs of classes are expanded to pairs of their records; large classes are split, so that no task makes all pairs of one.
+    """
+    members, pairs = place_classes(records, key, text)
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("n"))
+    m = members.join(sizes, "class_id").withColumn("parts", F.when(F.col("n") > LARGE, SPLIT).otherwise(1))
+    # a record of the first side goes to one part of its class, a record of the second side to all parts of the first side's class
+    left = m.select(F.col("class_id").alias("a"), F.col("record_id").alias("ra"), F.pmod(F.xxhash64("record_id"), "parts").cast("int").alias("part"), "parts")
+    every = pairs.unionByName(members.select(F.col("class_id").alias("a"), F.col("class_id").alias("b")).distinct())
+    wide = every.join(m.select(F.col("class_id").alias("a"), "parts").distinct(), "a").join(members.select(F.col("class_id").alias("b"), F.col("record_id").alias("rb")), "b")
+    right = wide.select("a", "b", "rb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = left.select("a", "ra", "part").join(right, ["a", "part"]).where((F.col("a") != F.col("b")) | (F.col("ra") < F.col("rb")))
+    return met.select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"))
 
 
 def address_records(extractions: DataFrame, fixtures: DataFrame) -> DataFrame:

@@ -18,13 +18,6 @@ from pyspark.sql.window import Window
 
 from sheafline.session import cut
 
-#: Domain of a source; sources not named here form a domain of their own. A parameter of the operator.
-DOMAINS = {
-    "instruction_letters": "correspondence", "garage_messages": "correspondence", "claims_notes": "correspondence",
-    "engineer_reports": "technical", "valuation_sheets": "technical", "salvage_bulletins": "technical", "training_notes": "technical",
-    "policy_wordings": "legal", "court_bundles": "legal",
-    "help_pages": "public", "driver_interviews": "public", "hire_invoices": "finance",
-}
 #: Parts by hash of an epoch of a leaf; one part is ordered exactly, so it must fit in a task.
 PARTS = 4096
 
@@ -62,8 +55,8 @@ class Node:
             c.fill(given[id(c)])
 
 
-def budgets(targets: list[dict], sizes: list[tuple[str, str, int]], total: int, domains: dict[str, str] = DOMAINS) -> list[tuple]:
-    """(plan, source, lang, tokens of the leaf, budget) of each leaf; targets: rows of the plans; sizes: source, lang, tokens."""
+def budgets(targets: list[dict], sizes: list[tuple[str, str, int]], total: int, domains: dict[str, str] | None = None) -> list[tuple]:
+    """(plan, source, lang, tokens of the leaf, budget) of each leaf; domains: source -> domain, other sources form a domain of their own; targets: rows of the plans; sizes: source, lang, tokens."""
     by_source: dict[str, list[tuple[str, int]]] = defaultdict(list)
     for source, lang, n in sizes:
         by_source[source].append((lang, n))
@@ -76,7 +69,7 @@ def budgets(targets: list[dict], sizes: list[tuple[str, str, int]], total: int,
         root, leaves = Node(), []
         for t in rows:
             size = sum(n for _, n in by_source.get(t["source"], ()))
-            domain = domains.get(t["source"], t["source"])
+            domain = (domains or {}).get(t["source"], t["source"])
             for lang, n in by_source.get(t["source"], ()) or [("und", 0)]:
                 node = root
                 for name in (domain, lang, t["source"]):
@@ -91,9 +84,10 @@ def budgets(targets: list[dict], sizes: list[tuple[str, str, int]], total: int,
     return out
 
 
-def mix(documents: DataFrame, targets: DataFrame, sizes: DataFrame | None = None, seed: int = 7, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, sizes: DataFrame | None = None, seed: int = 7, parts: int = PARTS, domains: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(selection, shares).
 
+    domains: source -> domain, the upper level of the trees; a source that is not named forms a domain of its own.
     documents: doc_id, text, source, lang; sizes: doc_id, source, lang, n_tokens if already counted.
     selection: plan_name, source, lang, doc_id, uses, n_tokens; one row for each document used by a plan, ``uses`` times.
     shares: plan_name, source, target_share (sums to 1 in a plan), wanted_tokens, actual_tokens, actual_share, most_uses.
@@ -114,7 +108,7 @@ def mix(documents: DataFrame, targets: DataFrame, sizes: DataFrame | None = None
     named = [s for s in {p["source"] for p in plans} if s is not None]
     total = sizes.agg(F.sum("n_tokens")).head()[0] or 0
     leaf_sizes = [(r[0], r[1], r[2]) for r in sizes.where(F.col("source").isin(named)).groupBy("source", "lang").agg(F.sum("n_tokens")).collect()]  # sources by languages
-    leaves = budgets(plans, leaf_sizes, total)
+    leaves = budgets(plans, leaf_sizes, total, domains)
     schema = "plan_name string, source string, lang string, leaf_tokens bigint, budget double"
     tree = spark.createDataFrame(leaves, schema)
     tree = tree.withColumns({"full": F.when(F.col("leaf_tokens") > 0, F.floor(F.col("budget") / F.col("leaf_tokens") + 1e-12)).otherwise(0).cast("int")})

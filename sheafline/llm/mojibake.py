@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheafline.session import cut, top_rows
+from sheafline.session import cut, top_and_rest
 
 #: Single byte encodings that programs took UTF-8 for, and pairs of them (was read as, really is).
 READ_AS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp1254")
@@ -259,12 +259,12 @@ def dictionaries(documents: DataFrame, texts: DataFrame, text: str = "text", top
     counts = _windows(texts, text).unionByName(words.where(outside).select("w", "n"))
     clean = cut(_clean(cut(counts.groupBy("w").agg(F.sum("n").alias("n")))))
     by_lang = _language_dictionaries(words.where(~outside).unionByName(words.join(clean.select("w"), "w", "left_semi").select("lang", "w", "n")))
-    first = sorted(top_rows(clean, "n", top), key=lambda r: (r["n"], r["w"]))
+    first, rest = top_and_rest(clean, "n", top)
+    first = sorted(first, key=lambda r: (r["n"], r["w"]))
     windows = [r["w"] for r in first]
     cases = [v for w in windows for v in (w.upper(), w.lower()) if " " not in w and v != w]
     of_corpus = f" {' '.join(cases)} {' '.join(windows)} ".encode(COMPRESSED_AS, "surrogatepass") if windows else b""
-    beyond = clean.where(F.col("n") < first[0]["n"]) if first else clean
-    return Dictionaries([*by_lang, of_corpus], beyond.select("w") if clean.count() > len(first) else None)
+    return Dictionaries([*by_lang, of_corpus], None if rest is None else rest.select("w"))
 
 
 def _verdicts(windows: DataFrame, dicts: Dictionaries, data) -> DataFrame:

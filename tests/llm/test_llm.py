@@ -62,7 +62,7 @@ def test_forced_boundaries_change_nothing(encoder, text):
 
 def test_budgets_fill_siblings_first():
     targets = [{"plan_name": "p", "source": s, "target_share": w, "max_repeats": r, "budget_ratio": 1.0} for s, w, r in (("instruction_letters", 1.0, 1), ("claims_notes", 1.0, 5), ("policy_wordings", 2.0, 9), ("nowhere", 0.0, 1))]
-    got = {x[1]: x[4] for x in mixing.budgets(targets, [("instruction_letters", "en", 10), ("claims_notes", "en", 100), ("policy_wordings", "en", 100)], 200)}
+    got = {x[1]: x[4] for x in mixing.budgets(targets, [("instruction_letters", "en", 10), ("claims_notes", "en", 100), ("policy_wordings", "en", 100)], 200, {"instruction_letters": "c", "claims_notes": "c"})}
     assert got == pytest.approx({"instruction_letters": 10, "claims_notes": 90, "policy_wordings": 100})
     short = {x[1]: x[4] for x in mixing.budgets(targets, [("instruction_letters", "en", 1), ("claims_notes", "en", 1), ("policy_wordings", "en", 1)], 1000)}
     assert short == pytest.approx({"instruction_letters": 1, "claims_notes": 5, "policy_wordings": 9})
@@ -225,6 +225,13 @@ def test_pairs_equal_brute_force(spark):
     rows += [rows[0], (9000, None), (9001, ""), (9002, "no number here")]
     got = {tuple(r) for r in address.same_places(spark.createDataFrame(rows, "record_id long, address string")).collect()}
     want = {(a, b) for g in truth.values() for a in g for b in g if a < b}
+    df = spark.createDataFrame(rows, "record_id long, address string")
+    per = Counter(x for p in got for x in p)
+    links = {r["record_id"]: r["links"] for r in address.linked_records(df).collect()}
+    assert links == {i: per[i] for i in links} and set(per) <= set(links)
+    whole, address.LARGE = address.LARGE, 10
+    assert {tuple(r) for r in address.same_places(df).collect()} == got and len(got) == address.same_places(df).count()
+    address.LARGE = whole
     assert len(got & want) / len(want) > 0.99 and len(got - want) <= 0.005 * len(want)
     assert address.same_places(spark.createDataFrame([], "record_id long, address string")).count() == 0
 
