@@ -18,7 +18,7 @@ from sheafline.operators import fallbacks as K
 from sheafline.operators import record as R
 from sheafline.operators import rules as U
 from sheafline.operators.ladder import LADDERS
-from sheafline.operators.timestamps import date_cases, find_dates, normalise_timestamps
+from sheafline.operators.timestamps import date_cases, estimate_zones, find_dates, normalise_timestamps
 from sheafline.plans import core_sql as Q
 from sheafline.schema import FIELD_ORDER, REQUIRED
 from sheafline.session import table
@@ -60,7 +60,7 @@ def _raw(spark: SparkSession, d: str, *fields: str) -> DataFrame:
 @query()
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     fe, fx, models = (table(spark, d, n) for n in ("field_extractions", "expected_fixtures", "document_models"))
-    return find_dates(fe, fx, models, estimate_missing=True).select("record_id", "normal_form")
+    return find_dates(fe, fx, models).select("record_id", "normal_form")  # a time without any zone is no case here
 
 
 @query()
@@ -71,6 +71,15 @@ def p1_zone_sources(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("field", "zone_from").agg(F.count("*").alias("cases"))
 
 
+@query()
+def p1_zones(spark: SparkSession, d: str) -> DataFrame:
+    """For each zone that offices state, the zone that the times of their instructions alone would suggest: estimated against known."""
+    cases = date_cases(*(table(spark, d, n) for n in ("field_extractions", "expected_fixtures", "document_models")))
+    own = cases.where((F.col("field") == "instruction_date") & F.col("sent_at").isNotNull())
+    zones = tuple(sorted(r[0] for r in own.where("tz_name is not null").select("tz_name").distinct().limit(1_000).collect()))  # names of zones: about 600 exist
+    return estimate_zones(own, "tz_name", "spelling", order="record_id", sent="sent_at", arrived="arrived_at", zones=zones)
+
+
 # ---- text primitives
 
 _STRIP = r"' \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0'"

@@ -51,20 +51,6 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> list[Row]:
     return sorted(got, key=lambda r: (r["_h"], str(r[key])))[: 2 * rows]
 
 
-def top_rows(counts: DataFrame, by: str, rows: int) -> list[Row]:
-    """The rows with the highest ``by``, at most ``rows``; rows that tie at the bound are left out together.
-
-    The bound comes from the table of distinct values, so that each partition sends the driver only rows that are kept.
-    """
-    counts = cut(counts)
-    if counts.count() > rows:
-        steps = counts.groupBy(by).agg(F.count("*").alias("_m"))
-        upto: Column = F.sum("_m").over(Window.orderBy(F.desc(by)))
-        least = steps.withColumn("_u", upto).where(F.col("_u") <= rows).agg(F.min(by)).head()[0]
-        counts = counts.where(F.col(by) >= least) if least is not None else counts.limit(0)
-    return counts.collect()
-
-
 def top_and_rest(counts: DataFrame, by: str, rows: int) -> tuple[list[Row], DataFrame | None]:
     """(the rows with the highest ``by``, at most ``rows`` of them; all other rows as a table, None if there are none).
 
