@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sheafline.operators import catalog as C
 from sheafline.operators import record as R
 from sheafline.operators.detect import detect, resolve
+from sheafline.functions.text import source_stem
 from sheafline.schema import REQUIRED
 from sheafline.sinks import exports as X
 from sheafline.sources import readers
@@ -26,15 +27,24 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("sheafline").getOrCreate()
 
 
-def _records(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+def _records(spark: SparkSession, a: argparse.Namespace, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     catalog = C.load(spark, a.catalog)
-    docs = readers.read_content(readers.scan(spark, a.path, a.recursive)).persist()
+    docs = readers.read_content(readers.scan(spark, path or a.path, a.recursive)).persist()
     matched = detect(docs.withColumn("plain_text", F.coalesce("plain_text", F.lit(""))), catalog)
     used = resolve(matched, catalog, a.on_unmatched, a.provider).withColumn("provider_id", F.col("used_provider"))
     ready = R.documents_of(used).withColumnRenamed("source_path", "doc_id")
     return docs, R.extract_records(ready, C.rows(catalog), key="doc_id")
 
 
+def _with_report(spark: SparkSession, a: argparse.Namespace, wide: DataFrame) -> DataFrame:
+    """``wide`` with the engineer's reports laid over it: a single report over a single record, else by plate."""
+    report = R.wide(_records(spark, a, a.engineer_report)[1], "doc_id").drop("doc_id", "provider_id")
+    if wide.count() == 1 and report.count() == 1:
+        return R.overlay(wide.withColumn("_key", F.lit(1)), report.withColumn("_key", F.lit(1)), "_key").drop("_key")
+    by_plate = report.where(F.col("vrm") != "").dropDuplicates(["vrm"])
+    return R.overlay(wide.withColumn("_key", F.col("vrm")), by_plate.withColumn("_key", F.col("vrm")), "_key").drop("_key")
+
+
 def _print(df: DataFrame, limit: int) -> None:
     for r in df.limit(limit).toJSON().collect():
         print(r)
@@ -54,15 +64,25 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--show", type=int, default=20)
         s.add_argument("--fail-on-missing", action="store_true")
         s.add_argument("--format", choices=("json", "docx"), default="json")
+        s.add_argument("--engineer-report", help="process: file or folder of reports laid over the records")
+        s.add_argument("--out-dir", help="process: a folder for each record with its JSON, and with --docx its letter, with --images its pictures")
+        s.add_argument("--records-dir", help="process: the full record of each file as JSON")
+        s.add_argument("--docx", action="store_true")
+        s.add_argument("--images", action="store_true")
+        s.add_argument("--include-document", action="store_true", help="extract: the lines of the document beside its record")
     s = sub.add_parser("providers")
-    s.add_argument("action", choices=("list", "show", "import", "check", "delete"))
+    s.add_argument("action", choices=("list", "show", "import", "check", "delete", "export", "set"))
     s.add_argument("--catalog")
     s.add_argument("--incoming")
     s.add_argument("--id")
     s.add_argument("--replace", action="store_true")
+    s.add_argument("--column", help="set: the column, with --value as JSON")
+    s.add_argument("--value")
     s.add_argument("--out")
     s = sub.add_parser("rules")
-    s.add_argument("action", choices=("show", "run"))
+    s.add_argument("action", choices=("show", "run", "set"))
+    s.add_argument("--id")
+    s.add_argument("--out")
     s.add_argument("path", nargs="?")
     s.add_argument("--catalog")
     s.add_argument("--field")
@@ -79,6 +99,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "rules":
         if a.action == "show":
             _print(C.load(spark, a.catalog).select("provider_id", "field_rules"), 10_000)
+        elif a.action == "set":
+            catalog = C.load(spark, a.catalog)
+            if not catalog.where(F.col("provider_id") == a.id).limit(1).count():
+                return 4
+            _save(C.set_rule(catalog, a.id, a.field, json.loads(a.rule)), a.out or a.catalog)
         else:
             docs = readers.read_content(readers.scan(spark, a.path, a.recursive)).withColumnRenamed("source_path", "doc_id")
             _print(R.rerun_rule(R.documents_of(docs), a.field, json.loads(a.rule), key="doc_id"), 10_000)
@@ -98,6 +123,8 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 4
     wide = R.wide(records, "doc_id").persist()
+    if a.engineer_report:
+        wide = _with_report(spark, a, wide).persist()
     if a.command == "audit":
         flagged = wide.join(R.audit_flags(wide, "doc_id"), "doc_id")
         X.write_audit(X.record_json(records, "doc_id"), docs.where("plain_text is not null"), R.audit_summary(flagged), a.out or "audit")
@@ -106,8 +133,18 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "export":
         out = X.export_json(wide, "doc_id")
         out.write.mode("overwrite").json(a.out) if a.out else _print(out, a.show)
+    elif a.command == "process" and (a.out_dir or a.records_dir):
+        if a.records_dir:
+            name = F.concat(source_stem(F.regexp_extract("doc_id", r"([^/]+)$", 1)), F.lit(".json"))
+            full = X.record_json(records, "doc_id").select("doc_id", name.alias("name"), F.encode("json", "UTF-8").alias("content"))
+            X.write_files(X.unique_names(full, "name", "doc_id").select(F.lit(".").alias("folder"), F.col("unique_name").alias("name"), "content"), a.records_dir)
+        if a.out_dir:
+            pictures = readers.images(readers.scan(spark, a.path, a.recursive)) if a.images else None
+            X.write_files(X.bundles(wide, "doc_id", F.current_timestamp(), pictures, a.docx), a.out_dir)
     else:
         out = R.long(records, "doc_id") if a.command == "extract" else wide
+        if a.command == "extract" and a.include_document:
+            out = out.join(docs.select(F.col("source_path").alias("doc_id"), "source_type", "plain_text", "lines"), "doc_id", "left")
         out.write.mode("overwrite").json(a.out) if a.out else _print(out, a.show)
     if docs.where(F.col("reader_error").isNotNull()).limit(1).count():
         return 1
@@ -115,6 +152,12 @@ def main(argv: list[str] | None = None) -> int:
     return 5 if a.fail_on_missing and wide.where(missing).limit(1).count() else 0
 
 
+def _save(catalog: DataFrame, path: str) -> None:
+    text = C.to_json(catalog)  # read in full before the file is replaced
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
 def _providers(spark: SparkSession, a: argparse.Namespace) -> int:
     catalog = C.load(spark, a.catalog)
     if a.action == "check":
@@ -124,6 +167,16 @@ def _providers(spark: SparkSession, a: argparse.Namespace) -> int:
         return int(bool(said))
     if a.action == "import":
         catalog = C.upsert(catalog, C.load(spark, a.incoming), replace=a.replace)
+    elif a.action in ("export", "set"):
+        if a.action == "set":
+            if not catalog.where(F.col("provider_id") == a.id).limit(1).count():
+                return 4
+            catalog = C.set_value(catalog, a.id, a.column, json.loads(a.value))
+        if a.out or a.action == "set":
+            _save(catalog, a.out or a.catalog)
+        else:
+            print(C.to_json(catalog))
+        return 0
     elif a.action == "delete":
         catalog = C.delete(catalog, a.id)
     elif a.action == "show":

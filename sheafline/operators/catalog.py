@@ -155,3 +155,16 @@ def set_rule(catalog: DataFrame, provider_id: str, field: str, rule: dict) -> Da
 def rows(catalog: DataFrame) -> list[dict]:
     """The catalog as dicts, for ``extract_records``."""
     return [r.asDict(recursive=True) for r in catalog.orderBy(*(["catalog_pos"] if "catalog_pos" in catalog.columns else ["provider_id"])).collect()]
+
+
+def to_json(catalog: DataFrame) -> str:
+    """The catalog as a JSON file of the present layout, which ``load`` reads; nulls are left out."""
+    import json
+
+    def bare(x):
+        if isinstance(x, dict):
+            return {k: bare(v) for k, v in x.items() if v is not None}
+        return [bare(v) for v in x] if isinstance(x, list) else x
+
+    providers = [bare({"id" if k == "provider_id" else k: v for k, v in r.items() if k != "catalog_pos"}) for r in rows(catalog)]
+    return json.dumps({"schema_version": 2, "providers": providers}, ensure_ascii=False, indent=2)

@@ -132,3 +132,36 @@ def write_audit(records: DataFrame, texts: DataFrame, summary: DataFrame, folder
     records.write.mode("overwrite").json(f"{folder}/records")
     texts.select("plain_text").write.mode("overwrite").text(f"{folder}/texts")
     summary.write.mode("overwrite").json(f"{folder}/summary")
+
+
+def bundles(records: DataFrame, key: str, as_of: Column, images: DataFrame | None = None, docx: bool = False) -> DataFrame:
+    """folder, name, content: what is written for each wide record that may be exported: its JSON, its letter, its pictures (source_path, name, image).
+
+    A folder is named by time, work provider and plate; the folders of equal names are numbered.
+    """
+    good = records.join(export_json(records, key).where(F.col("json").isNotNull()).select(key, "json"), key)
+    named = unique_names(good.withColumn("folder", output_folder(as_of)), "folder", key).drop("folder").withColumnRenamed("unique_name", "folder")
+    files = named.select("folder", bundle_name(".json").alias("name"), F.encode("json", "UTF-8").alias("content"))
+    if docx:
+        files = files.unionByName(letters(named, key, as_of).join(named.select(key, "folder"), key).select("folder", "name", "content"))
+    if images is not None:
+        n = F.row_number().over(Window.partitionBy("source_path").orderBy("name"))
+        suffix = F.concat(F.lit("."), F.coalesce(F.nullif(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1), F.lit("")), F.lit("bin")))
+        numbered = images.select("source_path", "image", F.concat(F.lit("_img_"), n.cast("string"), suffix).alias("_end"))
+        files = files.unionByName(named.join(numbered, F.col(key) == F.col("source_path")).select("folder", F.concat(bundle_name(""), "_end").alias("name"), F.col("image").alias("content")))
+    return files
+
+
+def write_files(files: DataFrame, out: str) -> int:
+    """Writes rows of folder, name and content below ``out``, a path that all hosts share; returns how many. A file that stands is replaced, so that a task may be repeated."""
+    import os
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder, name, content in zip(*(c.to_pylist() for c in b.columns)):
+                os.makedirs(os.path.join(out, folder), exist_ok=True)
+                with open(os.path.join(out, folder, name), "wb") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return files.select("folder", "name", "content").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]

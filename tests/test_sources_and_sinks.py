@@ -180,3 +180,35 @@ def test_queries_equal_sql(spark, name):
     cols = sorted(got.columns)
     want = sorted(map(str, con.execute(f"select {', '.join(cols)} from want").fetchall()))
     assert sorted(str(tuple(r)) for r in got.select(*cols).collect()) == want
+
+
+def test_command_line_writes(spark, tmp_path):
+    import json
+
+    from sheafline import cli
+    from sheafline.sinks.exports import docx
+
+    inbox, reports = tmp_path / "in", tmp_path / "reports"
+    inbox.mkdir()
+    reports.mkdir()
+    lines = ["Acme Law", "Our Ref: Q123-01", "Client Name: Mr Jo Bloggs", "Vehicle Registration: AB12 CDE", "Make/Model: Ford Fiesta", "Date of Accident: 3rd March 2024", "Received: 05/03/2024", "Inspection Address: Unit 4, 1 High St, Town, AB1 2DE"]
+    (inbox / "a.docx").write_bytes(docx(lines))
+    (reports / "r.docx").write_bytes(docx(["Acme Law", "Vehicle Registration: AB12 CDE", "Make/Model: Ford Fiesta Zetec", "Mileage: 12,345 miles"]))
+    catalog = tmp_path / "catalog.json"
+    catalog.write_text(json.dumps({"schema_version": 2, "providers": [{"id": "acme", "name": "Acme", "work_provider": "Acme Law", "enabled": True, "detect": {"required_phrases": ["acme law"]}}]}))
+    assert cli.main(["rules", "set", "--catalog", str(catalog), "--id", "acme", "--field", "reference", "--rule", json.dumps({"id": "r", "kind": "label_same_line", "labels": ["Our Ref"]})]) == 0
+    assert cli.main(["providers", "set", "--catalog", str(catalog), "--id", "acme", "--column", "priority", "--value", "7"]) == 0
+    assert cli.main(["providers", "export", "--catalog", str(catalog), "--out", str(tmp_path / "copy.json")]) == 0
+    kept = json.loads((tmp_path / "copy.json").read_text())["providers"][0]
+    assert kept["priority"] == 7 and kept["field_rules"]["reference"]["labels"] == ["Our Ref"] and kept["id"] == "acme"
+    assert cli.main(["rules", "set", "--catalog", str(catalog), "--id", "nobody", "--field", "vrm", "--rule", "{}"]) == 4
+    catalog.write_text(json.dumps({"schema_version": 2, "providers": [{k: v for k, v in kept.items() if k != "field_rules"}]}))
+    out, full = tmp_path / "out", tmp_path / "records"
+    assert cli.main(["process", str(inbox), "--catalog", str(catalog), "--engineer-report", str(reports), "--out-dir", str(out), "--records-dir", str(full), "--docx", "--images"]) == 0
+    made = sorted(p.name for p in out.rglob("*") if p.is_file())
+    assert len(made) == 2 and {m.rpartition(".")[2] for m in made} == {"docx", "json"}
+    record = json.loads(next(out.rglob("*.json")).read_text())
+    assert record["VRM"] == "AB12CDE" and record["Vehicle Model"] == "Ford Fiesta Zetec" and record["Mileage"] == "12345" and record["Reference"] == "Q123-01"
+    assert [p.name for p in full.rglob("*.json")] == ["a.docx.json"]
+    assert cli.main(["extract", str(inbox), "--catalog", str(catalog), "--include-document", "--out", str(tmp_path / "long")]) == 0
+    assert spark.read.json(str(tmp_path / "long")).where("plain_text like 'Acme Law%'").count() == 13
