@@ -20,7 +20,7 @@ from sheafline.operators import rules as U
 from sheafline.operators.ladder import LADDERS
 from sheafline.operators.timestamps import date_cases, estimate_zones, find_dates, normalise_timestamps
 from sheafline.plans import core_sql as Q
-from sheafline.schema import FIELD_ORDER, REQUIRED
+from sheafline.schema import FIELD_ORDER, FIELDS, REQUIRED
 from sheafline.session import table
 from sheafline.sinks import exports
 from sheafline.sources import readers
@@ -526,3 +526,98 @@ def fixture_compare(spark: SparkSession, d: str) -> DataFrame:
     got = F.coalesce("value", F.lit(""))
     allowed = F.coalesce(F.array_contains("allowed_blank_fields", F.col("field_key")), F.lit(False))
     return f.join(e, ["model_id", "field_key"], "left").select("model_id", "record_id", "field_key", F.when(got == F.col("want"), "equal").when((got == "") & allowed, "blank").otherwise("differs").alias("outcome"))
+
+
+# ---- primitives and sinks over extracted values
+
+_STEM = "coalesce(nullif(regexp_replace(source_path, '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}._-]', '_', 'g'), ''), 'document')"
+_TOKENS = "list_filter(list_transform(string_split(raw_value, ','), lambda x: trim(regexp_replace(x, '[\\r\\n]', '', 'g'))), lambda x: x <> '')"
+_FILLED = lambda c: f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: " + Q.strip("x") + "), lambda x: x <> '')"
+
+
+@query(f"SELECT model_id, {_STEM} AS stem FROM document_models")
+def source_stem(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "document_models").select("model_id", X.source_stem(F.col("source_path")).alias("stem"))
+
+
+@query(f"SELECT record_id, array_to_string({_TOKENS}, '|') AS tokens FROM field_extractions WHERE raw_value IS NOT NULL")
+def split_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "field_extractions").where("raw_value is not null").select("record_id", F.array_join(X.split_tokens(F.col("raw_value")), "|").alias("tokens"))
+
+
+_TWO = "CASE WHEN contains(raw_value, '||') THEN {0} WHEN len(l) >= 2 THEN l[{1}] ELSE '' END"
+
+
+@query(f"SELECT record_id, {_TWO.replace('{0}', Q.strip("split_part(raw_value, '||', 1)")).replace('{1}', '1')} AS first, {_TWO.replace('{0}', Q.strip("substr(raw_value, instr(raw_value, '||') + 2)")).replace('{1}', '2')} AS second FROM (SELECT record_id, raw_value, {_FILLED('raw_value')} AS l FROM field_extractions WHERE raw_value IS NOT NULL)")
+def two_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "field_extractions").where("raw_value is not null").select("record_id", X.two_labels(F.col("raw_value")).alias("x"))
+    return rows.select("record_id", F.col("x.start").alias("first"), F.col("x.end").alias("second"))
+
+
+_ADDRESS_PARTS = lambda c: f"list_filter(list_transform(string_split({c}, CASE WHEN contains({c}, chr(10)) THEN chr(10) ELSE ',' END), lambda x: " + Q.strip("x") + "), lambda x: x <> '')[1:6]"
+_SLOTS = "coalesce({0}[1], '') AS line1, coalesce({0}[2], '') AS line2, CASE WHEN len({0}) > 3 THEN {0}[len({0})] ELSE coalesce({0}[3], '') END AS line3"
+
+
+@query(f"SELECT record_id, array_to_string(l, '|') AS lines, {_SLOTS.format('l')} FROM (SELECT record_id, {_ADDRESS_PARTS('raw_value')} AS l FROM field_extractions WHERE field_key = 'inspection_address' AND raw_value IS NOT NULL)")
+def address_block(spark: SparkSession, d: str) -> DataFrame:
+    rows = _raw(spark, d, "inspection_address").where("raw_value is not null").withColumn("b", X.address_block(F.col("raw_value")))
+    return rows.select("record_id", F.array_join(X.address_lines(F.col("raw_value")), "|").alias("lines"), *(F.col("b")[i].alias(f"line{i + 1}") for i in range(3)))
+
+
+_REJECTS = ("name", "client", "our client", "claimant")
+
+
+@query(f"SELECT record_id, {Q.label_only('raw_value')} AS only_label, {Q.rejected('raw_value', _REJECTS)} AS rejected, {Q.any_of('lower(raw_value)', X.NARRATIVE)} AS narrative FROM field_extractions WHERE raw_value IS NOT NULL")
+def value_tests(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("raw_value")
+    return table(spark, d, "field_extractions").where("raw_value is not null").select("record_id", X.is_label_only(v).alias("only_label"), X.is_rejected(v, _REJECTS).alias("rejected"), X.is_narrative(v).alias("narrative"))
+
+
+@query("SELECT record_id, " + ", ".join(f"coalesce(expected_values['{f}'], '') AS {f}" for f in FIELD_ORDER) + " FROM expected_fixtures")
+def record_from_map(spark: SparkSession, d: str) -> DataFrame:
+    return exports.record_from_map(table(spark, d, "expected_fixtures"), "record_id", "expected_values")
+
+
+_SAFE = lambda c: "coalesce(nullif(replace(" + Q.strip(f"regexp_replace({c}, '[^A-Za-z0-9._ -]', '', 'g')") + ", ' ', '_'), ''), 'export')"
+
+
+@query(f"WITH {_WIDE} SELECT model_id, concat_ws('_', '20260415_000000', {_SAFE('work_provider')}, {_SAFE('vrm')}) AS folder, {_SAFE('work_provider')} || '_' || {_SAFE('vrm')} || '.json' AS name FROM w")
+def output_names(spark: SparkSession, d: str) -> DataFrame:
+    return _wide_values(spark, d).select("model_id", exports.output_folder(F.lit(AS_OF).cast("timestamp")).alias("folder"), exports.bundle_name(".json").alias("name"))
+
+
+_SQL_PROBLEMS = [("work_provider", "trim(work_provider) = ''"), ("vrm", "trim(vrm) = ''")] + [(f, f"{f} <> '' AND NOT regexp_full_match({f}, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}')") for f in ("incident_date", "instruction_date", "inspection_date")]
+_SQL_PROBLEMS += [
+    ("inspection_address", "NOT regexp_full_match(inspection_address, '[^\\n]*(\\n[^\\n]*){5}')"), ("vat_status", "vat_status NOT IN ('', 'Yes', 'No')"), ("mileage", "NOT regexp_full_match(mileage, '[0-9]*')"), ("mileage_unit", "mileage_unit NOT IN ('', 'Miles', 'Km')"),
+]
+_PROBLEMS = "concat_ws('|', " + ", ".join(f"CASE WHEN {test} THEN '{f}' END" for f, test in _SQL_PROBLEMS) + ")"
+
+
+@query(f"WITH {_WIDE.partition(', w AS')[0]}, x AS (SELECT" + _WIDE.partition("w AS (SELECT")[2].rstrip(")") + f"), w AS (SELECT * REPLACE (replace(split_part(inspection_address, chr(10), 1), ',', ' ') || repeat(chr(10), 5) AS inspection_address) FROM x) SELECT model_id, {_PROBLEMS} AS problems, CASE WHEN {_PROBLEMS} = '' THEN CAST(json_object(" + ", ".join(f"'{name}', {f}" for f, name in FIELDS.items()) + ") AS VARCHAR) END AS json FROM w")
+def export_values(spark: SparkSession, d: str) -> DataFrame:
+    """The export of extracted values, their addresses brought to six lines."""
+    six = F.concat(F.replace(F.substring_index("inspection_address", "\n", 1), F.lit(","), F.lit(" ")), F.lit("\n" * 5))
+    j = exports.export_json(_wide_values(spark, d).withColumn("inspection_address", six), "model_id")
+    return j.select("model_id", F.array_join("problems", "|").alias("problems"), "json")
+
+
+_ORDINAL = "CASE WHEN regexp_full_match({0}, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') AND try_strptime({0}, '%d/%m/%Y') IS NOT NULL THEN day(try_strptime({0}, '%d/%m/%Y')) || CASE WHEN day(try_strptime({0}, '%d/%m/%Y')) BETWEEN 10 AND 20 THEN 'th' WHEN day(try_strptime({0}, '%d/%m/%Y')) % 10 = 1 THEN 'st' WHEN day(try_strptime({0}, '%d/%m/%Y')) % 10 = 2 THEN 'nd' WHEN day(try_strptime({0}, '%d/%m/%Y')) % 10 = 3 THEN 'rd' ELSE 'th' END || strftime(try_strptime({0}, '%d/%m/%Y'), ' %B %Y') ELSE {0} END"
+
+
+@query(f"WITH {_WIDE}, b AS (SELECT *, {_ADDRESS_PARTS('inspection_address')} AS l FROM w) SELECT model_id, '15th April 2026' AS today, {_ORDINAL.format('incident_date')} AS incident, {_ORDINAL.format('inspection_date')} AS inspection, {_SLOTS.format('l')} FROM b")
+def letter_values(spark: SparkSession, d: str) -> DataFrame:
+    return exports.letter_values(_wide_values(spark, d), F.lit(AS_OF).cast("timestamp")).select("model_id", "today", "incident", "inspection", "line1", "line2", "line3")
+
+
+@query("SELECT model_id, 'hollin_gate' AS used FROM document_models")
+def provider_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The provider that a user names, by any of its names, without regard to case."""
+    return D.resolve(_models(spark, d), table(spark, d, "provider_catalog"), explicit="HOLLIN_GATE").select("model_id", F.col("used_provider").alias("used"))
+
+
+@query("SELECT source_path, source_type, plain_text, len(coalesce(reader_notes, [])) AS n_notes FROM document_models")
+def document_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as JSON and back."""
+    m = table(spark, d, "document_models").select("source_path", "source_type", "plain_text", "reader_notes", "metadata")
+    back = exports.document_from_json(exports.document_json(m), "json")
+    return back.select("source_path", "source_type", "plain_text", F.size(F.coalesce("reader_notes", F.array().cast("array<string>"))).cast("bigint").alias("n_notes"))
