@@ -787,8 +787,8 @@ def train(models: DataFrame, fixtures: DataFrame, most: int = MOST_WORDS) -> tup
 def find_personal(models: DataFrame, fixtures: DataFrame, redacted: bool = False, most: int = MOST_WORDS) -> DataFrame:
     """place, rec_id, kind, surface of each distinct piece of personal data; with ``redacted`` place, rec_id, text with placeholders.
 
-    Null and empty texts give no row; repeated rows of a record count once; a text without personal data comes out
-    unchanged. Texts are searched whole, whatever their length. most: entries of the lexicons that are broadcast; the result
+    Null and empty texts give no row; repeated rows of a record count once (texts that differ under one id count each); a text without
+    personal data comes out unchanged. Texts are searched whole, whatever their length. most: entries of the lexicons that are broadcast; the result
     does not depend on it.
     """
     fitted, rest = train(models, fixtures, most)
@@ -800,18 +800,17 @@ def find_personal(models: DataFrame, fixtures: DataFrame, redacted: bool = False
         base, common = _tagger(data)
         gc.disable()  # what is remembered is large, lasting and without cycles: looking through it again and again would find nothing
         for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for place, rec, text, more in zip(*(c.to_pylist() for c in b.columns)):
+            found = []
+            for text, more in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 tagger = Tagger(coder_of(base, ((x["kind"], x["w"]) for x in more)), common.weights) if more else common
-                if redacted:
-                    for c, v in zip(cols, (place, rec, tagger.redacted(text))):
-                        c.append(v)
-                else:
-                    for kind, surface in sorted(tagger.pieces(text)):
-                        for c, v in zip(cols, (place, rec, kind, surface)):
-                            c.append(v)
-            names = ["place", "rec_id", "text"] if redacted else ["place", "rec_id", "kind", "surface"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "rec_id" else pa.string()) for c, n in zip(cols, names)], names=names)
+                found.append(tagger.redacted(text) if redacted else [{"kind": k, "surface": s} for k, s in sorted(tagger.pieces(text))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string() if redacted else PIECES)], names=["place", "rec_id", "found"])
 
     src = src.select("place", "rec_id", "text", "more")
-    return src.mapInArrow(run, "place string, rec_id bigint, text string" if redacted else "place string, rec_id bigint, kind string, surface string").dropDuplicates()
+    out = src.mapInArrow(run, f"place string, rec_id bigint, found {'string' if redacted else 'array<struct<kind:string,surface:string>>'}").dropDuplicates()
+    if redacted:
+        return out.withColumnRenamed("found", "text")
+    return out.select("place", "rec_id", F.explode("found").alias("x")).select("place", "rec_id", "x.kind", "x.surface")
+
+
+PIECES = pa.list_(pa.struct([("kind", pa.string()), ("surface", pa.string())]))
