@@ -91,6 +91,7 @@ class Coder(dict):
         #: Outside a chunk words, figures and the rest count by their coarse class only.
         self.outside: dict[int, str] = {}
         self.leads: set[str] = set()
+        self.written: dict[int, str] = {}
         self.forms: dict[tuple, str] = {}
         self.house = self.figures("1")
         self.read("\n")
@@ -189,7 +190,10 @@ class Coder(dict):
         if case == "l" and not lex and not place and role != "particle":
             return self.of(O, Token("o", group)) if group else self.of("u", Token("u", "word")) if len(w) > 2 else self.of(O, Token("o", "word"))
         name = f"{lex}{place or '-'}{case}{role[:1]}" + (":" + group if label else f":{len(w)}" if case == "U" and len(w) in (2, 5) and not lex and not place else "")
-        return self.of(P if place else M, Token("m", name, lex=lex, place=place, case=case, role=role, size=len(w)))
+        got = self.of(P if place else M, Token("m", name, lex=lex, place=place, case=case, role=role, size=len(w)))
+        if place and case != "T" and ord(got) not in self.written:
+            self.written[ord(got)] = self.of(P, Token("m", f"{lex}{place}T{role[:1]}" + (":" + group if label else ""), lex=lex, place=place, case="T", role=role, size=0))
+        return got
 
 
 def mails_in(text: str) -> list[tuple[int, int]]:
@@ -237,7 +241,7 @@ _SOFT = frozenset("\n,;/.()+'-w") | {"quote", "wide", ":", "dash", "sign"}
 
 
 def canonical(key: str, coder: Coder) -> str:
-    """``key`` without what no feature sees: words beyond the nearest one unless they are labels, what follows a word, lengths of figures too few for a number."""
+    """``key`` without what no feature sees: words beyond the nearest one unless they are labels, what follows a word, lengths of figures too few for a number, and in an address how its words are written."""
     before, inner, after = key.split("\0")
     t = coder.tokens
     left, seen = [], False
@@ -245,9 +249,18 @@ def canonical(key: str, coder: Coder) -> str:
         x = t[c]
         left.append("m" if seen and x.name not in _TELLING else c)
         seen = seen or x.name not in _SOFT
-    if t[after[0]].name not in _SOFT:
+    addressed = any(t[c].mark == "c" or t[c].place == "K" for c in inner)
+    if addressed or t[after[0]].name not in _SOFT:
         after = after[0] + "m"
-    if sum(t[c].digits for c in inner) < 9 and not any(t[c].role == "mixed" or (t[c].upper and t[c].size in (1, 2, 5)) for c in inner):
+    if addressed:  # the words of an address count alike however they are written
+        inner = inner.translate(coder.written)
+    else:  # without one, unknown words on a line of their own at the end cannot belong to what stands before
+        cut = inner.rfind("\n")
+        if cut > 0 and all(t[c].mark == "m" and not t[c].lex and not t[c].place for c in inner[cut + 1 :]):
+            inner, after = inner[:cut], "\nm"
+    # lengths of short figures matter only where a telephone or identity number may be made of them
+    digits = sum(t[c].digits for c in inner)
+    if digits < 9 and not any((t[c].role == "mixed" and t[c].begins) or (digits >= 4 and t[c].upper and t[c].size == 2) for c in inner):
         inner = "".join(coder.house if t[c].role == "house" else c for c in inner)
     return f"{''.join(reversed(left))}\0{inner}\0{after}"
 
