@@ -484,7 +484,7 @@ def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
     return C.upsert(base, inc).select("provider_id", "name", "catalog_pos")
 
 
-@query()
+@query("SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS catalog_pos, trim(regexp_replace(lower(trim(name)), '[^a-z0-9]+', '_', 'g'), '_') AS provider_id, trim(name) AS name, 'label_same_line' AS vrm_kind, 'Ref' AS start_label FROM provider_catalog")
 def catalog_migrate(spark: SparkSession, d: str) -> DataFrame:
     old = {"providers": [{"name": r[0], "detect_phrases": list(r[1] or []), "field_rules": {"vrm": {"method": "labels", "config": "Reg, VRM"}, "reference": {"method": "two_labels", "config": "Ref||Date"}}} for r in table(spark, d, "provider_catalog").select("name", "detect.required_phrases").collect()]}
     return C.to_frame(spark, old).select("catalog_pos", "provider_id", "name", F.col("field_rules")["vrm"]["kind"].alias("vrm_kind"), F.col("field_rules")["reference"]["start_label"].alias("start_label"))
@@ -621,3 +621,13 @@ def document_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "document_models").select("source_path", "source_type", "plain_text", "reader_notes", "metadata")
     back = exports.document_from_json(exports.document_json(m), "json")
     return back.select("source_path", "source_type", "plain_text", F.size(F.coalesce("reader_notes", F.array().cast("array<string>"))).cast("bigint").alias("n_notes"))
+
+
+_PARAGRAPHS = (
+    "'15th April 2026'", "'Our reference: ' || reference", "'Registration: ' || vrm", "'Vehicle: ' || vehicle_model", "'For: ' || claimant_name", "'We have been asked by ' || work_provider || ' to inspect this vehicle after the event of ' || incident || '.'",
+    "'The inspection is to take place on ' || inspection || ' at:'", "line1", "line2", "line3",
+)
+_SQL_LETTER = f"""WITH {_WIDE}, b AS (SELECT *, {_ADDRESS_PARTS('inspection_address')} AS l FROM w), z AS (SELECT *, {_ORDINAL.format("incident_date")} AS incident, {_ORDINAL.format("inspection_date")} AS inspection, {_SLOTS.format("l")} FROM b),
+p AS (SELECT model_id, list_filter([{", ".join(Q.strip(x) for x in _PARAGRAPHS)}], lambda x: x <> '') AS p FROM z)
+SELECT model_id || '.docx' AS source_path, array_to_string(p, chr(10)) AS plain_text, len(list_distinct(list_transform(p, lambda x: lower(x)))) AS n_lines, CAST(NULL AS VARCHAR) AS reader_error FROM p"""
+ORACLES["docx_letter"] = _SQL_LETTER
