@@ -1,9 +1,10 @@
 """Records of one postal address written differently (problem 3).
 
-Method: each address is expanded into its plausible normalised forms (parts in any order, abbreviations spelled out,
-a missing post town or postcode made good by the area that the other one stands for), combinations of the
-components are hashed, the hashes exploded and equi-joined, and pairs with conflicting parts rejected: another house
-number, letter, flat or unit, another postcode, another kind of street, or another street.
+Method: each address is expanded into its plausible normalised forms (parts in any order, abbreviations spelled out, the numbers of
+a slash both ways round, a misspelt street as it stands and as the frequent name it misspells, a missing postcode made
+good by the area of the post town), combinations of the components are hashed, the hashes exploded and equi-joined, and
+pairs with conflicting parts rejected: another house number, letter, flat or unit, another postcode, another kind of
+street, or another street.
 
 Every step works on classes of equal normalised forms, so that copies of an address meet no bucket; only the result,
 which is pairs of records, expands them.
@@ -38,11 +39,14 @@ _POSTCODE = re.compile(r"(?<![a-z0-9])([a-z]{1,2})([0-9][0-9a-z]?) ?([0-9][a-z]{
 _UNIT = re.compile(rf"(?<![a-z])(?:{'|'.join(sorted(UNIT_WORDS, key=len, reverse=True))})(?![a-z])\.? ?(?:no\.? ?)?#?([0-9]+[a-z]?|[a-z])(?![a-z0-9])[ ,;/\n]*")
 _SLASH = re.compile(r"(?<![0-9a-z])([0-9]+[a-z]?) ?/ ?([0-9]+[a-z]?)(?![0-9])")
 _NUMBER = re.compile(r"(?:no\.? ?|number |nr\.? ?|#)?(?<![a-z0-9])([0-9]+)([a-z]?)(?![a-z0-9])")
-FIELDS = ("unit", "house", "street", "kind", "area", "code", "rest")
+FIELDS = ("unit", "house", "street", "kind", "area", "code", "turned", "rest")
 
 
 def parse(text: str | None) -> tuple | None:
-    """(unit, house with letter, street, kind, postcode area, postcode, other words) of one address; None without a house number or street."""
+    """(unit, house with letter, street, kind, postcode area, postcode, turned, other words) of one address; None without a house number or street.
+
+    turned: the house number if the two numbers of a slash are read the other way round.
+    """
     if not text:
         return None
     t = re.sub(r"['’`]", "", text.lower()).replace("\r", "\n").replace("\t", " ")
@@ -53,7 +57,7 @@ def parse(text: str | None) -> tuple | None:
         m = hits[-1]
         area, code = m[1], m[1] + m[2] + m[3]
         t = t[: m.start()] + "\n" + t[m.end() :]
-    unit = None
+    unit = turned = None
     m = _UNIT.search(t)
     if m:
         unit = m[1]
@@ -61,7 +65,7 @@ def parse(text: str | None) -> tuple | None:
     else:
         m = _SLASH.search(t)
         if m:
-            unit = m[1]
+            unit, turned = m[1], m[1]
             t = t[: m.start()] + m[2] + t[m.end() :]
     m = _NUMBER.search(t)
     if not m:
@@ -93,7 +97,7 @@ def parse(text: str | None) -> tuple | None:
         return None
     others = rest + [w for j, q in enumerate(parts) if j != k and j not in used for w in q]
     words = sorted({w for w in others if len(w) > 3 and w.isalpha() and w not in BUSINESS_WORDS and w not in _KIND})
-    return unit, house, "".join(street), kind, area, code, words
+    return unit, house, "".join(street), kind, area, code, turned, words
 
 
 def parsed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -108,7 +112,7 @@ def parsed(df: DataFrame, key: str, text: str) -> DataFrame:
             cols = [pa.array([g[i] for g in got if g is not None], pa.list_(pa.string()) if f == "rest" else pa.string()) for i, f in enumerate(FIELDS)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), *cols], names=[key, *FIELDS])
 
-    return src.mapInArrow(run, f"`{key}` {kind}, unit string, house string, street string, kind string, area string, code string, rest array<string>")
+    return src.mapInArrow(run, f"`{key}` {kind}, unit string, house string, street string, kind string, area string, code string, turned string, rest array<string>")
 
 
 def towns(parts: DataFrame) -> DataFrame:
@@ -141,7 +145,7 @@ def with_area(parts: DataFrame) -> DataFrame:
 
 
 def with_usual_streets(parts: DataFrame) -> DataFrame:
-    """``parts`` with each rare street name put right to the frequent one that it misspells, if there is one."""
+    """``parts`` with usual: the frequent street name that a rare one misspells, or the name itself."""
     names = parts.groupBy("street").agg(F.count("*").alias("times"))
     usual = names.where(F.col("times") >= USUAL_TIMES).withColumn("half", F.explode(_halves(F.col("street"))))
     rare = names.where(F.length("street") >= 5).withColumn("half", F.explode(_halves(F.col("street"))))
@@ -151,21 +155,33 @@ def with_usual_streets(parts: DataFrame) -> DataFrame:
         r.join(u, (F.col("r.half") == F.col("u.half")) & (F.col("r.times") * 8 <= F.col("u.times")) & (near <= 2)).groupBy(F.col("r.street").alias("street"))
         .agg(F.min_by(F.col("u.street"), F.struct(near, -F.col("u.times"), F.col("u.street"))).alias("usual"))
     )
-    return parts.join(fixed, "street", "left").withColumn("street", F.coalesce("usual", "street")).drop("usual")
+    return parts.join(fixed, "street", "left").withColumn("usual", F.coalesce("usual", "street"))
 
 
 def classes(parts: DataFrame) -> DataFrame:
     """record_id, class_id and the components; without postcode and known town, the other words stand for the place."""
     place = F.coalesce("area", F.array_join("rest", " "))
     parts = parts.withColumn("area", place)
-    return parts.withColumn("class_id", F.xxhash64(*(F.coalesce(F.col(c), F.lit("\x00")) for c in ("unit", "house", "street", "kind", "area", "code")))).drop("rest")
+    return parts.withColumn("class_id", F.xxhash64(*(F.coalesce(F.col(c), F.lit("\x00")) for c in ("unit", "house", "street", "kind", "area", "code", "turned")))).drop("rest")
+
+
+def forms(cls: DataFrame) -> DataFrame:
+    """A row for each plausible form of each class: class_id, unit, house, street, main, times, kind, area, code.
+
+    The street as it is written and as the frequent name that it misspells (the main form, with how often that name stands), the two
+    numbers of a slash as unit and house and as house and unit.
+    """
+    counts = cls.groupBy(F.col("usual").alias("street")).agg(F.count("*").alias("times"))
+    c = cls.dropDuplicates(["class_id"])
+    numbers = F.array_compact(F.array(F.struct("unit", "house"), F.when(F.col("turned").isNotNull(), F.struct(F.col("house").alias("unit"), F.col("turned").alias("house")))))
+    streets = F.array_compact(F.array(F.struct(F.col("usual").alias("street"), F.lit(True).alias("main")), F.when(F.col("street") != F.col("usual"), F.struct(F.col("street"), F.lit(False).alias("main")))))
+    each = c.select("class_id", "kind", "area", "code", F.explode(numbers).alias("n"), streets.alias("s")).select("class_id", "kind", "area", "code", "n.unit", "n.house", F.explode("s").alias("s"))
+    return each.select("class_id", "kind", "area", "code", "unit", "house", "s.street", "s.main").join(counts, "street", "left")
 
 
 def linked(cls: DataFrame) -> DataFrame:
-    """a, b: the classes that denote one place, the smaller first, each pair once."""
-    c = cls.dropDuplicates(["class_id"]).drop("record_id")
-    counts = cls.groupBy("street").agg(F.count("*").alias("times"))
-    c = c.join(counts, "street")
+    """a, b: the classes of which some forms denote one place, the smaller first, each pair once."""
+    c = forms(cls)
     head = lambda *more: F.xxhash64(F.coalesce("unit", F.lit("")), "house", *more)
     by_code = F.when(F.col("code").isNotNull(), F.array(head(F.lit("c"), "code")))
     by_street = F.transform(_halves(F.col("street")), lambda h: head(F.lit("s"), "area", h))
@@ -175,7 +191,8 @@ def linked(cls: DataFrame) -> DataFrame:
     either = lambda n: x(n).isNull() | y(n).isNull() | (x(n) == y(n))
     rarer, oftener = F.least(x("times"), y("times")), F.greatest(x("times"), y("times"))
     both_real = (rarer >= 4) & (rarer * 5 >= oftener)
-    street = (x("street") == y("street")) | ((F.levenshtein(x("street"), y("street")) <= F.when(F.least(F.length(x("street")), F.length(y("street"))) >= 5, 2).otherwise(1)) & ~both_real)
+    near = F.levenshtein(x("street"), y("street")) <= F.when(F.least(F.length(x("street")), F.length(y("street"))) >= 5, 2).otherwise(1)
+    street = (x("street") == y("street")) | (x("main") & y("main") & near & ~both_real)
     # a postcode with two characters swapped is a slip, if all else agrees
     letters = lambda c: F.array_sort(F.split(c, ""))
     swapped = (letters(x("code")) == letters(y("code"))) & (F.levenshtein(x("code"), y("code")) <= 2) & (x("street") == y("street")) & (x("kind") == y("kind"))
