@@ -43,6 +43,8 @@ CONFUSED = (
 _CLASS = str.maketrans({"©": "c", "e": "c", "@": "a", "!": "i", "|": "i", "l": "i", "1": "i", "0": "o", "5": "s", "$": "s", "6": "h", "8": "h", "b": "h", "9": "g", "q": "g", "f": "t", "ﬁ": "ti", "ﬂ": "ti"})
 _WORDLIKE = re.compile(r"[^\W\d_]")
 _SINGLES = re.compile(r"(?<![^\s])[^\W\d_](?: [^\W\d_]){2,}(?![^\s.,;:])|(?<![^\s])[^\W\d_]{2} [^\W\d_](?: [^\W\d_])+(?![^\s.,;:])")
+_PLATES = re.compile(r"\b[A-Z]{1,3}[0-9]{1,4} ?[A-Z]{0,3}\b|\b[A-Z]{3} [0-9]{1,3}[A-Z]?\b")
+_MARKS = re.compile("#(?: ?#)+")
 _ROMAN = re.compile(r"^[ivxlc]{1,7}$", re.I)
 
 
@@ -55,11 +57,36 @@ def skeleton(word: str) -> str:
 @lru_cache(maxsize=200_000)
 def form(text: str) -> str:
     """What stays of a line if figures, plates, references and misreadings are taken out of it."""
-    t = re.sub(r"\b[A-Z]{1,3}[0-9]{1,4} ?[A-Z]{0,3}\b|\b[A-Z]{3} [0-9]{1,3}[A-Z]?\b", "#", text.strip())
+    t = text.strip()
+    figures = any(map(str.isdigit, t))
+    if figures:
+        t = _PLATES.sub("#", t)
     if _ROMAN.match(t):
         return "#roman"
-    words = ["#" if any(c.isdigit() for c in w) and sum(c.isdigit() for c in w) * 2 > len(w.strip("()[].,-")) else w for w in t.lower().split()]
-    return re.sub(r"#(?: ?#)+", "#", skeleton(" ".join(words)))
+    words = t.lower().split()
+    if figures:
+        words = ["#" if (n := sum(map(str.isdigit, w))) and n * 2 > len(w.strip("()[].,-")) else w for w in words]
+    bones = skeleton(" ".join(words))
+    return _MARKS.sub("#", bones) if "#" in bones else bones
+
+
+@lru_cache(maxsize=50_000)
+def _places(a: str) -> dict[str, int]:
+    """For each letter of ``a`` the bits of its places."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def in_order(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a column of the table at a time in the bits of one number."""
+    at, whole = _places(a), (1 << len(a)) - 1
+    open_ = whole
+    for c in b:
+        hit = open_ & at.get(c, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & whole
+    return len(a) - open_.bit_count()
 
 
 @lru_cache(maxsize=200_000)
@@ -67,8 +94,8 @@ def alike(a: str, b: str) -> bool:
     if abs(len(a) - len(b)) > 0.25 * len(b) or len(b) <= 7:
         return False
     least = SIMILAR * (len(a) + len(b))
-    # letters in common bound the similarity and spare most comparisons
-    return 2 * sum([min(a.count(c), b.count(c)) for c in set(b)]) >= least and SequenceMatcher(None, a, b, False).ratio() >= SIMILAR
+    # letters in common, and letters in common in order, bound the similarity and spare most comparisons
+    return 2 * sum([min(a.count(c), b.count(c)) for c in set(b)]) >= least and 2 * in_order(a, b) >= least and SequenceMatcher(None, a, b, False).ratio() >= SIMILAR
 
 
 class Document:

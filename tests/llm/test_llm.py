@@ -258,6 +258,19 @@ def doc(*pages):
     return scans.Document([(i, p, k, t) for i, (p, k, t) in enumerate((p, k, t) for p, page in enumerate(pages) for k, t in enumerate(page))])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc ", max_size=30), st.text("abc ", max_size=30))
+def test_similarity_of_forms_is_bounded(a, b):
+    from difflib import SequenceMatcher
+
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    assert scans.in_order(a, b) == table[-1][-1]
+    assert scans.alike(a, b) == (abs(len(a) - len(b)) <= 0.25 * len(b) and len(b) > 7 and SequenceMatcher(None, a, b, False).ratio() >= scans.SIMILAR)
+
+
 def test_scan_defects():
     d = doc(["Acme Law | 123", "the vehic1e was damaged", "and app-", "Page 1 of 2"], ["Acme Law | 123", "roved by this", "offic© because no b o d y", "the hospital", "call-", "out", "Pagc 2 0f 2"])
     found, text = reader().judge(d)
