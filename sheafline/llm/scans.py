@@ -375,8 +375,14 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     return counts.where(F.col("n") >= KNOWN)
 
 
-def _rows(lines: list[dict]) -> list[tuple[int, int, int, str]]:
-    return [(x["flat_pos"], x["page_index"], x["line_index"], x["text"]) for x in lines]
+def _rows(lines: pa.ListArray) -> list[list[tuple[int, int, int, str]]]:
+    """(flat_pos, page_index, line_index, text) of the lines of each document, read column by column."""
+    every = list(zip(*(c.to_pylist() for c in lines.flatten().flatten())))
+    out, at = [], 0
+    for n in lines.value_lengths().to_pylist():
+        out.append(every[at : at + (n or 0)])
+        at += n or 0
+    return out
 
 
 def with_forms(docs: DataFrame) -> DataFrame:
@@ -384,7 +390,7 @@ def with_forms(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            read = [Document(_rows(lines)) for lines in b.column(1).to_pylist()]
+            read = [Document(lines) for lines in _rows(b.column(1))]
             weak = [d.repeated() for d in read]
             many = [len(d.pages) > 1 for d in read]
             strings = pa.list_(pa.string())
@@ -435,10 +441,10 @@ def with_answers(docs: DataFrame, data, answers: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, forms, bones = data.value
         for b in batches:
-            for m, rows, edges, weak, own in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for m, rows, edges, weak, own in zip(b.column(0).to_pylist(), _rows(b.column(1)), *(b.column(i).to_pylist() for i in (2, 3, 4))):
                 given = _given(own)
                 reader = Reader(words, forms, bones, given, asks=True)
-                reader.judge(Document(_rows(rows), edges, weak))
+                reader.judge(Document(rows, edges, weak))
                 open_ = sorted(reader.asked - given.keys())
                 yield pa.RecordBatch.from_arrays([pa.array([m] * len(open_), pa.int64()), pa.array([k for k, _ in open_], pa.string()), pa.array([k for _, k in open_], pa.string())], names=["model_id", "kind", "key"])
 
@@ -477,9 +483,9 @@ def repair_scans(lines: DataFrame, texts: bool = False, most_words: int = MOST_W
         reader = _reader(data)
         for b in batches:
             ids, pos, kinds, bodies = [], [], [], []
-            for m, rows, edges, weak, own in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for m, rows, edges, weak, own in zip(b.column(0).to_pylist(), _rows(b.column(1)), *(b.column(i).to_pylist() for i in (2, 3, 4))):
                 by = Reader(reader.words, reader.forms, reader.bones, _given(own)) if own else reader
-                found, body = by.judge(Document(_rows(rows), edges, weak))
+                found, body = by.judge(Document(rows, edges, weak))
                 if texts:
                     ids.append(m)
                     bodies.append(body)
