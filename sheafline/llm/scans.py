@@ -43,6 +43,9 @@ CONFUSED = (
 _CLASS = str.maketrans({"©": "c", "e": "c", "@": "a", "!": "i", "|": "i", "l": "i", "1": "i", "0": "o", "5": "s", "$": "s", "6": "h", "8": "h", "b": "h", "9": "g", "q": "g", "f": "t", "ﬁ": "ti", "ﬂ": "ti"})
 _WORDLIKE = re.compile(r"[^\W\d_]")
 _SINGLES = re.compile(r"(?<![^\s])[^\W\d_](?: [^\W\d_]){2,}(?![^\s.,;:])|(?<![^\s])[^\W\d_]{2} [^\W\d_](?: [^\W\d_])+(?![^\s.,;:])")
+_HYPHENS = frozenset(HYPHENS)
+_BROKEN = re.compile(rf"[^\W\d_][{HYPHENS}]$")
+_NO_WORD = re.compile(r"[A-Z]{1,3}[0-9]{1,4}[A-Z]{0,3}|[0-9]+(?:st|nd|rd|th|hrs|am|pm|km)|[A-Z][A-Z0-9]+[/-][A-Z0-9/-]+")
 _PLATES = re.compile(r"\b[A-Z]{1,3}[0-9]{1,4} ?[A-Z]{0,3}\b|\b[A-Z]{3} [0-9]{1,3}[A-Z]?\b")
 _MARKS = re.compile("#(?: ?#)+")
 _ROMAN = re.compile(r"^[ivxlc]{1,7}$", re.I)
@@ -256,7 +259,7 @@ class Reader:
             head = carried
             carried = ""
             last = tokens[-1] if tokens else ""
-            broken = bool(re.search(rf"[^\W\d_][{HYPHENS}]$", last)) and bool(nxt.split())
+            broken = last[-1:] in _HYPHENS and bool(_BROKEN.search(last)) and bool(nxt.split())
             if broken:
                 a, b = last.rstrip(HYPHENS), nxt.split()[0]
                 whole, tied = _core(a + b), _core(a + "-" + b)
@@ -305,7 +308,7 @@ class Reader:
             if wrong:
                 out.add((pos, "misread"))
             parts.append(" ".join(fixed))
-            if re.search(r"[.:!?]$", line.rstrip()) and not carried:
+            if line.rstrip().endswith((".", ":", "!", "?")) and not carried:
                 parts.append("\n")
         body = re.sub(r" *\n *", "\n", " ".join(p for p in parts if p))
         return sorted(out), body.strip()
@@ -353,10 +356,10 @@ def _cased(real: str, like: str) -> str:
 
 def _skip(core: str) -> bool:
     """Tokens that are no words: figures, plates, references, mail and web addresses."""
-    digits = sum(c.isdigit() for c in core)
+    digits = sum(map(str.isdigit, core))
     return (
         not core or ("@" in core and "." in core.partition("@")[2]) or "://" in core or digits > 2 or digits * 2 >= len(core)
-        or (core.isupper() and len(core) <= 3) or bool(re.fullmatch(r"[A-Z]{1,3}[0-9]{1,4}[A-Z]{0,3}|[0-9]+(?:st|nd|rd|th|hrs|am|pm|km)|[A-Z][A-Z0-9]+[/-][A-Z0-9/-]+", core)) or core[:1] in "+£#"
+        or (core.isupper() and len(core) <= 3) or bool(_NO_WORD.fullmatch(core)) or core[:1] in "+£#"
     )
 
 
