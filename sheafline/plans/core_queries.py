@@ -18,7 +18,7 @@ from sheafline.operators import fallbacks as K
 from sheafline.operators import record as R
 from sheafline.operators import rules as U
 from sheafline.operators.ladder import LADDERS
-from sheafline.operators.timestamps import date_cases, estimate_zones, find_dates, normalise_timestamps
+from sheafline.operators.timestamps import date_cases, dates_of, estimate_zones, find_dates
 from sheafline.plans import core_sql as Q
 from sheafline.schema import FIELD_ORDER, FIELDS, REQUIRED
 from sheafline.session import table
@@ -66,8 +66,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p1_zone_sources(spark: SparkSession, d: str) -> DataFrame:
     """How many dates are placed by which knowledge of their zone."""
-    cases = date_cases(*(table(spark, d, n) for n in ("field_extractions", "expected_fixtures", "document_models")))
-    got = normalise_timestamps(cases, "spelling", "tz_name", "sent_at", "arrived_at", estimate_missing=True)
+    got = dates_of(*(table(spark, d, n) for n in ("field_extractions", "expected_fixtures", "document_models")), estimate_missing=True)
     return got.groupBy("field", "zone_from").agg(F.count("*").alias("cases"))
 
 

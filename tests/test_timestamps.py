@@ -93,3 +93,61 @@ def test_zones_by_offset_history(spark):
     by_order = {r["g"]: r["zone"] for r in T.estimate_zones(df.where("g <> 'd'"), "g", "t", sent="sent", zones=zones[1:2]).collect()}
     assert by_order["a"] == "Europe/Madrid"
     assert T.estimate_zones(df.limit(0), "g", "t", zones=zones).count() == 0
+
+
+def _tables(spark, docs):
+    """docs: model_id, sender, zone, sent, arrived, {field: spelling}."""
+    fe = spark.createDataFrame([(10 * i + k, i, f, t) for i, *_, dates in docs for k, (f, t) in enumerate(dates.items())], "record_id long, model_id long, field_key string, raw_value string")
+    fx = spark.createDataFrame([], "record_id long, model_id long, expected_values map<string,string>")
+    m = spark.createDataFrame([(i, p, z, a, {"sent": s and s.isoformat(), "from_address": p if "@" in p else None}) for i, p, z, s, a, _ in docs], "model_id long, provider_id string, tz_name string, imported_at timestamp, metadata map<string,string>")
+    return fe, fx, m
+
+
+def _utc(text, zone, fold=0):
+    return dt.datetime.strptime(text, "%d/%m/%Y %H:%M").replace(tzinfo=ZoneInfo(zone), fold=fold).astimezone(dt.UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+
+
+def test_dates_without_zone_by_the_histories_of_their_sender(spark):
+    """Times that no sending time places are read by the histories that their sender's times leave; where these disagree there is no result."""
+    docs, want = [], {}
+    other = ("01/07/2024 14:15", "15/01/2024 10:00")
+    senders = [("ny@x.test", ["America/New_York"], True), ("KA@x.test", ["Asia/Kathmandu"], True), ("mixed@x.test", ["Europe/London", "Asia/Karachi"], True), ("late@x.test", ["America/New_York"], False)]
+    for g, (sender, zones, sent) in enumerate(senders):
+        for j in range(24):
+            u = dt.datetime(2024, 1, 3, 5, 0, tzinfo=dt.UTC) + dt.timedelta(days=15 * j, hours=j % 7)
+            zone, i, t = zones[j % len(zones)], 100 * g + j, other[j % 2]
+            at = u.replace(tzinfo=None) + dt.timedelta(hours=30 * (j == 5))  # one is sent much later than it says
+            own = u.astimezone(ZoneInfo(zone)).strftime("%d/%m/%Y %H:%M")
+            docs.append((i, sender.upper() if j % 3 else sender, None if j % 4 else "Nowhere/Atlantis", at if sent else None, at + dt.timedelta(hours=40), {"instruction_date": own, "incident_date": t, "inspection_date": "3 May 2024"}))
+            want[10 * i + 2] = "2024-05-03"
+            if sent and j != 5 or len(zones) == 1 and sent:
+                want[10 * i] = _utc(own, zone)
+            if sent and len(zones) == 1:
+                want[10 * i + 1] = _utc(t, zone)
+    for i in [i for i in want if i % 10 == 1]:  # no event after the arrival of its document
+        arrived = next(d[4] for d in docs if d[0] == i // 10)
+        if want[i] > arrived.strftime("%Y-%m-%dT%H:%M:%S.%fZ"):
+            del want[i]
+    tables = _tables(spark, docs)
+    assert {r["record_id"]: r["normal_form"] for r in find_dates(*tables, estimate_missing=True).collect()} == want
+    assert {r["record_id"] for r in find_dates(*tables).collect()} == {i for i in want if i % 10 == 2}  # nothing is estimated unless asked for
+
+
+def test_doubled_hours_by_the_order_of_the_sender(spark):
+    """The place at which the clock went back is found from an order that is kept; an order that is not kept, and the dates of other events, tell nothing."""
+    docs, want, start = [], {}, dt.datetime(2024, 10, 26, 14, 0, tzinfo=dt.UTC)
+    for g, lag in enumerate((lambda j: 300, lambda j: 20 + 97 * (7 * j % 10) % 600)):
+        for j in range(60):
+            u = start + dt.timedelta(minutes=20 * j + 7 * (j % 2))
+            local, i = u.astimezone(ZoneInfo("Europe/London")), 100 * g + j
+            text = local.strftime("%d/%m/%Y %H:%M")
+            docs.append((i, f"s{g}", "Europe/London", None, (u + dt.timedelta(minutes=lag(j) if g else 300)).replace(tzinfo=None), {"instruction_date": text, "incident_date": "27/10/2024 01:30"}))
+            if not (twice := _utc(text, "Europe/London") != _utc(text, "Europe/London", 1)) or not g:
+                want[10 * i] = _utc(text, "Europe/London", local.fold)
+    assert sum(x.startswith("2024-10-27T0") for x in want.values()) > 40
+    got = {r["record_id"]: r["normal_form"] for r in find_dates(*_tables(spark, docs)).collect()}
+    assert {i: x for i, x in got.items() if i % 10 == 0 and i < 1000} == {i: x for i, x in want.items() if i < 1000}
+    assert all(want.get(i, x) == x for i, x in got.items())
+    # of other events, and out of order, only what arrival tells is placed
+    late = {10 * d[0] + 1 for d in docs if d[4] >= dt.datetime(2024, 10, 27, 1, 30) or d[4] < dt.datetime(2024, 10, 27, 0, 30)}
+    assert not late & set(got)
